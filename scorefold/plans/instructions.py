@@ -10,7 +10,7 @@ from scorefold.functions import parsing as P, rendering as R
 from scorefold.functions.text import reasoning, strip_newlines
 from scorefold.operators.filters import with_any
 from scorefold.operators.selection import THRESHOLDS, best_generator, keep_first
-from scorefold.schemas import CODE_LIST, DIAGNOSIS_LIST, FINDING_MAP, INSTRUCTIONS
+from scorefold.schemas import CODE_LIST, DIAGNOSIS_LIST, FINDING_MAP, INSTRUCTION_COLUMNS
 
 STAGES = (1, 2, 3, 4)
 EVAL_SPLITS = ("dev", "val")
@@ -126,7 +126,7 @@ def render(raw: DataFrame) -> DataFrame:
         }
     )
     extra = [c for c in ("variant",) if c in raw.columns]
-    return out.filter("Output IS NOT NULL AND Input IS NOT NULL").select(*extra, *INSTRUCTIONS.fieldNames())
+    return out.filter("Output IS NOT NULL AND Input IS NOT NULL").select(*extra, *INSTRUCTION_COLUMNS)
 
 
 def build_variants(patients: DataFrame, variants: dict[str, Variant] | None = None, complaint: str = "cc") -> DataFrame:

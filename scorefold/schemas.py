@@ -1,44 +1,39 @@
-"""Schemas of the tables the operators read and write."""
+"""Schemas of the tables the operators read and write, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-NOTES = _schema(
+NOTES = (
     "subject_id bigint, hadm_id bigint, charttime timestamp, ICD_CODES array<string>, "
     "admission_note string, discharge_note string, ICD_version int, data_source string, split string"
 )
-ADMISSIONS = _schema("hadm_id bigint, admittime timestamp, dischtime timestamp")
-LABEVENTS = _schema(
+ADMISSIONS = "hadm_id bigint, admittime timestamp, dischtime timestamp"
+LABEVENTS = (
     "hadm_id bigint, itemid bigint, storetime timestamp, valuenum double, "
     "valueuom string, label string, flag string"
 )
-COMPLAINT_SYNONYMS = _schema("chief_complaint string, synonyms string, systems string")
-DISEASES = _schema(
+COMPLAINT_SYNONYMS = "chief_complaint string, synonyms string, systems string"
+DISEASES = (
     "chief_complaint string, pos int, disease string, synonyms string, "
     "icd10_regex string, features array<int>"
 )
-SYMPTOM_SCHEME = _schema(
+SYMPTOM_SCHEME = (
     "chief_complaint string, pos int, feature string, min_value int, max_value int"
 )
-CANDIDATES = _schema(
+CANDIDATES = (
     "hadm_id bigint, chief_complaint string, model string, stage int, round int, "
     "choice_idx int, text string"
 )
-INSTRUCTIONS = _schema(
+INSTRUCTIONS = (
     "hadm_id bigint, subject_id bigint, split string, chief_complaint string, model string, "
     "Verifier int, Score double, trace boolean, Input string, Thinking string, Output string"
 )
-DIRECT_INSTRUCTIONS = _schema(
+DIRECT_INSTRUCTIONS = (
     "hadm_id bigint, subject_id bigint, split string, chief_complaint string, "
     "Verifier int, Input string, Output string"
 )
 
+INSTRUCTION_COLUMNS = [c.split()[0] for c in INSTRUCTIONS.split(", ")]
+
 # Answer shapes, as DDL for from_json.
 DIAGNOSIS_LIST = "array<struct<name:string,reason:string>>"
 CODE_LIST = "array<struct<icd_code:string,reason:string>>"
