@@ -130,7 +130,7 @@ def primary_diagnosis(note: Column, rules: LineRules) -> Column:
 def phrase_pattern(phrase: str) -> str:
     """Word-bounded, case-insensitive, flexible white space."""
     words = [re.escape(w) for w in phrase.strip().lower().split()]
-    return r"(?i)(?<!\w)" + r"\s+".join(words) + r"(?!\w)"
+    return r"(?iU)(?<!\w)" + r"\s+".join(words) + r"(?!\w)"
 
 
 def matching_keys(text: Column, phrases_by_key: dict[str, list[str]]) -> Column:
