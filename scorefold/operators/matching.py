@@ -17,9 +17,9 @@ def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "
     distinct = codes.select(group, "code").distinct()
     dictionary = diseases.select(
         F.col(group).alias("dict_group"), "pos", "disease",
-        F.concat(F.lit("^(?:"), F.col("icd10_regex"), F.lit(")")).alias("pattern"),
+        F.concat(F.lit("^(?:"), "icd10_regex", F.lit(")")).alias("pattern"),
     )
-    hit = (F.col(group) == F.col("dict_group")) & F.col("code").rlike(F.col("pattern"))
+    hit = (F.col(group) == F.col("dict_group")) & F.rlike("code", "pattern")
     return distinct.join(dictionary, hit).groupBy(group, "code").agg(
         F.min_by("disease", "pos").alias("disease")
     )
