@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from scorefold.functions.binding import let
 from scorefold.schemas import CODE_LIST, DIAGNOSIS_LIST, FINDING_MAP
 
 # Cells that mean "no value", the answer patterns, list sizes
@@ -59,34 +60,38 @@ def _unquoted_field(text: Column, fields: tuple[str, ...]) -> Column:
     return text.rlike(rf"[\"'](?:{names})[\"']\s*:\s*[^\"'\s]")
 
 
-def valid_list(text: Column, schema: str, fields: tuple[str, str], sizes: tuple[int, int]) -> Column:
-    """The parsed list if every entry has both text fields and the size fits."""
-    parsed = F.from_json(json_text(text), schema)
+def list_is_valid(parsed: Column, fields: tuple[str, str], sizes: tuple[int, int]) -> Column:
+    """Every entry has both text fields and the size fits."""
     complete = F.forall(parsed, lambda e: e[fields[0]].isNotNull() & e[fields[1]].isNotNull())
-    fits = F.size(parsed).between(*sizes)
-    return F.when(fits & complete & ~_unquoted_field(text, fields), parsed)
+    return F.size(parsed).between(*sizes) & complete
 
 
-def valid_findings(text: Column, features: Column, low: int = -1, high: int = 1) -> Column:
-    """The parsed map if every feature is there with a value in range and a reason."""
-    parsed = F.from_json(json_text(text), FINDING_MAP)
+def findings_are_valid(parsed: Column, features: Column, low: int = -1, high: int = 1) -> Column:
+    """Every feature is there with a value in range and a reason."""
 
-    def good(name: Column) -> Column:
-        entry = F.element_at(parsed, name)
-        return (
-            entry["value"].isNotNull()
-            & entry["value"].between(low, high)
-            & entry["reasoning"].isNotNull()
-        )
+    def good(entry: Column) -> Column:
+        return entry["value"].between(low, high) & entry["reasoning"].isNotNull()
 
-    return F.when(F.coalesce(F.forall(features, good), F.lit(False)), parsed)
+    entries = F.transform(features, lambda name: F.element_at(parsed, name))
+    return F.forall(entries, lambda e: F.coalesce(good(e), F.lit(False)))
 
 
-def last_valid(response: Column, pattern: str, validate) -> Column:
-    """The last match of ``pattern`` that ``validate`` accepts, else null."""
+def last_valid(response: Column, pattern: str, schema: str, is_valid, is_strict=None) -> Column:
+    """The last match of ``pattern`` that parses and passes both checks, else null.
+
+    ``is_valid`` looks at the parsed value, ``is_strict`` at its text. Every
+    match is parsed once.
+    """
     found = F.reverse(F.regexp_extract_all(response, F.lit(pattern), F.lit(1)))
-    parsed = F.filter(F.transform(found, validate), lambda v: v.isNotNull())
-    return F.get(parsed, F.lit(0))
+    parsed = F.transform(
+        found, lambda t: F.struct(t.alias("text"), F.from_json(json_text(t), schema).alias("value"))
+    )
+    good = F.filter(
+        parsed,
+        lambda m: m["value"].isNotNull() & F.coalesce(is_valid(m["value"]), F.lit(False))
+        & (is_strict(m["text"]) if is_strict else F.lit(True)),
+    )
+    return F.get(good, F.lit(0))["value"]
 
 
 def shortened(reason: Column, limit: int = MAX_REASON) -> Column:
@@ -105,8 +110,9 @@ def extract_diagnoses(response: Column) -> Column:
     """The last valid ranked diagnosis list of a response, else null."""
     picked = last_valid(
         response,
-        LIST_PATTERN,
-        lambda t: valid_list(t, DIAGNOSIS_LIST, ("name", "reason"), DIAGNOSIS_SIZES),
+        LIST_PATTERN, DIAGNOSIS_LIST,
+        lambda v: list_is_valid(v, ("name", "reason"), DIAGNOSIS_SIZES),
+        lambda t: ~_unquoted_field(t, ("name", "reason")),
     )
     return truncate_reasons(picked, "name")
 
@@ -115,18 +121,23 @@ def extract_codes(response: Column) -> Column:
     """The last valid code list of a response, else null."""
     picked = last_valid(
         response,
-        LIST_PATTERN,
-        lambda t: valid_list(t, CODE_LIST, ("icd_code", "reason"), CODE_SIZES),
+        LIST_PATTERN, CODE_LIST,
+        lambda v: list_is_valid(v, ("icd_code", "reason"), CODE_SIZES),
+        lambda t: ~_unquoted_field(t, ("icd_code", "reason")),
     )
     return truncate_reasons(picked, "icd_code")
 
 
 def extract_findings(response: Column, features: Column) -> Column:
     """The last valid finding map of a response, else null."""
-    return last_valid(response, MAP_PATTERN, lambda t: valid_findings(t, features))
+    return last_valid(response, MAP_PATTERN, FINDING_MAP, lambda v: findings_are_valid(v, features))
 
 
 def finding_vector(findings: Column, features: Column) -> Column:
     """Finding values in scheme order; null without an answer."""
-    vector = F.transform(features, lambda name: F.element_at(findings, name)["value"])
-    return F.when(findings.isNotNull(), vector)
+
+    def values(found: Column) -> Column:
+        vector = F.transform(features, lambda name: F.element_at(found, name)["value"])
+        return F.when(found.isNotNull(), vector)
+
+    return let(findings, values)

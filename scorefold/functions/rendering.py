@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from scorefold.functions.binding import let
 from scorefold.functions.codes import short_code, short_codes
 from scorefold.functions.text import strip_newlines
 
@@ -37,8 +38,7 @@ def filled(sentence: str, value: Column) -> Column:
 def json_string(value: Column, ascii_only: bool = False) -> Column:
     """One quoted JSON string."""
     options = {"writeNonAsciiCharacterAsCodePoint": "true"} if ascii_only else {}
-    wrapped = F.to_json(F.struct(value.alias("v")), options)
-    return F.substring(wrapped, 6, F.length(wrapped) - 6)
+    return F.btrim(F.to_json(F.array(value), options), F.lit("[]"))
 
 
 def json_entries(entries: Column, key: str, ascii_only: bool = False) -> Column:
@@ -75,24 +75,31 @@ def name_entry(name: Column) -> Column:
 
 def align_codes(entries: Column, gold: Column, version: int = 10) -> Column:
     """Keep entries with a gold short code, then add the gold codes left over."""
-    wanted = short_codes(gold, version)
 
     def short_of(e: Column) -> Column:
         return short_code(F.replace(e["icd_code"], F.lit("."), F.lit("")), version)
 
-    seen = F.transform(entries, short_of)
-    kept = F.filter(entries, lambda e: F.array_contains(wanted, short_of(e)))
-    missing = F.filter(gold, lambda c: ~F.array_contains(seen, short_code(c, version)))
+    kept = let(
+        short_codes(gold, version),
+        lambda wanted: F.filter(entries, lambda e: F.array_contains(wanted, short_of(e))),
+    )
+    missing = let(
+        F.transform(entries, short_of),
+        lambda seen: F.filter(gold, lambda c: ~F.array_contains(seen, short_code(c, version))),
+    )
     return F.concat(kept, F.transform(missing, code_entry))
 
 
 def target_first(entries: Column, target: Column) -> Column:
     """Move the first entry named ``target`` to the front, or put one there."""
+
+    def moved(at: Column) -> Column:
+        rest = F.filter(entries, lambda e, i: i + 1 != at)
+        front = F.when(at > 0, F.get(entries, (at - 1).cast("int"))).otherwise(name_entry(target))
+        return F.concat(F.array(front), rest)
+
     names = F.transform(entries, lambda e: e["name"])
-    at = F.coalesce(F.array_position(names, target), F.lit(0))
-    rest = F.filter(entries, lambda e, i: i + 1 != at)
-    front = F.when(at > 0, F.get(entries, (at - 1).cast("int"))).otherwise(name_entry(target))
-    return F.concat(F.array(front), rest)
+    return let(F.coalesce(F.array_position(names, target), F.lit(0)), moved)
 
 
 def numbered(items: Column, separator: str) -> Column:
@@ -168,19 +175,22 @@ def findings_text(findings: Column) -> Column:
 
 def ranked_names_text(entries: Column, label: Column, fallback: Column) -> Column:
     """Numbered names; a list longer than five stops after the label."""
-    at_label = F.filter(
-        F.transform(entries, lambda e, i: F.when((i > 4) & (e["name"] == label), i + 1)),
-        lambda p: p.isNotNull(),
-    )
-    stop = F.coalesce(F.get(at_label, F.lit(0)), F.size(entries))
-    lines = F.transform(
-        F.slice(entries, 1, F.greatest(stop, F.lit(0))),
-        lambda e, i: F.concat(
+
+    def line(e: Column, i: Column) -> Column:
+        return F.concat(
             F.lit("  "), (i + 1).cast("string"), F.lit(". "), e["name"], F.lit(": "),
             F.coalesce(e["reason"], F.lit("No reason provided.")), F.lit("\n"),
-        ),
-    )
-    return F.when(entries.isNull(), fallback).otherwise(F.array_join(lines, ""))
+        )
+
+    def rendered(items: Column) -> Column:
+        at_label = F.filter(
+            F.transform(items, lambda e, i: F.when((i > 4) & (e["name"] == label), i + 1)),
+            lambda p: p.isNotNull(),
+        )
+        stop = F.coalesce(F.get(at_label, F.lit(0)), F.size(items))
+        return F.array_join(F.transform(F.slice(items, 1, stop), line), "")
+
+    return F.coalesce(let(entries, rendered), fallback)
 
 
 def fill_template(template: Column, slots: dict[str, Column], limit: int | None = None) -> Column:
@@ -197,11 +207,14 @@ def fill_template(template: Column, slots: dict[str, Column], limit: int | None
         F.split(template, SLOT),
         lambda s: F.replace(F.replace(s, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")),
     )
-    pieces = F.zip_with(
-        literals, names, lambda s, n: F.concat(s, F.coalesce(F.element_at(values, n), F.lit("")))
-    )
     # zip_with pads the shorter side: the last literal has no slot after it.
-    pieces = F.zip_with(pieces, literals, lambda p, s: F.coalesce(p, s))
+    pieces = let(
+        values,
+        lambda filled_in: F.zip_with(
+            literals, names,
+            lambda s, n: F.concat(s, F.coalesce(F.element_at(filled_in, n), F.lit(""))),
+        ),
+    )
     text = F.array_join(pieces, "")
     return F.substring(text, 1, limit) if limit else text
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from scorefold.functions.binding import let
+
 
 def ratio(num: Column, den: Column) -> Column:
     """``num / den`` and 0 where the denominator is 0 or null."""
@@ -44,18 +46,28 @@ def norm_dot(pred: Column, label: Column, empty: float = 0.5) -> Column:
     Unequal lengths score 0, a label without entries scores ``empty``, a null
     prediction has no score.
     """
-    k = nonzero_count(label).cast("double")
-    return (
-        F.when(pred.isNull() | label.isNull(), F.lit(None).cast("double"))
-        .when(F.size(pred) != F.size(label), F.lit(0.0))
-        .when(k == 0, F.lit(float(empty)))
-        .otherwise((dot(pred, label) + k) / (2 * k))
-    )
+
+    def score(v: Column) -> Column:
+        p, truth = v["p"], v["l"]
+        k = nonzero_count(truth).cast("double")
+        return (
+            F.when(p.isNull() | truth.isNull(), F.lit(None).cast("double"))
+            .when(F.size(p) != F.size(truth), F.lit(0.0))
+            .when(k == 0, F.lit(float(empty)))
+            .otherwise((dot(p, truth) + k) / (2 * k))
+        )
+
+    return let(F.struct(pred.alias("p"), label.alias("l")), score)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine, 0 where a vector is all zero."""
-    return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda v: ratio(
+            dot(v["a"], v["b"]), F.sqrt(dot(v["a"], v["a"])) * F.sqrt(dot(v["b"], v["b"]))
+        ),
+    )
 
 
 def zero_filled(pred: Column, label: Column) -> Column:
@@ -85,14 +97,18 @@ def average_precision(pred: Column, gold: Column, top_n: int | None = None) -> C
 
     Null where gold is empty, so that ``avg`` skips the row.
     """
-    ranked = F.slice(pred, 1, top_n) if top_n else pred
-    ranks = F.filter(
-        F.transform(ranked, lambda c, i: F.when(F.array_contains(gold, c), i + 1)),
-        lambda r: r.isNotNull(),
-    )
-    gains = F.transform(ranks, lambda r, j: (j + 1).cast("double") / r.cast("double"))
-    size = F.size(F.array_distinct(gold))
-    return F.when(size > 0, F.coalesce(_sum(gains), F.lit(0.0)) / size)
+
+    def score(relevant: Column) -> Column:
+        ranked = F.slice(pred, 1, top_n) if top_n else pred
+        ranks = F.filter(
+            F.transform(ranked, lambda c, i: F.when(F.array_contains(relevant, c), i + 1)),
+            lambda r: r.isNotNull(),
+        )
+        gains = F.transform(ranks, lambda r, j: (j + 1).cast("double") / r.cast("double"))
+        size = F.size(relevant)
+        return F.when(size > 0, F.coalesce(_sum(gains), F.lit(0.0)) / size)
+
+    return let(F.array_distinct(gold), score)
 
 
 def first_gold_hit(pred: Column, gold: Column) -> Column:

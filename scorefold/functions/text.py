@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from scorefold.functions.binding import let
+
 # Section headers of the notes.
 COMPLAINT_SECTION = (
     r"(?is)(?:chief complaint\s*:|___ complaint\s*:|chief\s+___\s*:)"
@@ -72,7 +74,6 @@ def _words(words: list[str]) -> list[str]:
 
 def clean_pass(lines: Column, rules: LineRules) -> Column:
     """One pass: cut at the first end line, drop noise, trim known prefixes."""
-    stripped = F.transform(lines, strip)
 
     def stops(line: Column) -> Column:
         hit = F.upper(line).isin(_words(rules.stop_lines)) if rules.stop_lines else F.lit(False)
@@ -80,10 +81,14 @@ def clean_pass(lines: Column, rules: LineRules) -> Column:
             hit = hit | line.rlike(_prefix_pattern(rules.stop_prefixes))
         return hit
 
-    stop_at = F.coalesce(F.array_position(F.transform(stripped, stops), True), F.lit(0))
-    kept = F.when(stop_at > 0, F.slice(stripped, 1, F.greatest(stop_at - 1, F.lit(0)).cast("int")))
-    kept = kept.otherwise(stripped)
+    def before_stop(stripped: Column) -> Column:
+        if not rules.stop_lines and not rules.stop_prefixes:
+            return stripped
+        # Position of the first end line, or one past the last line.
+        ends = F.array_append(F.transform(stripped, stops), True)
+        return F.slice(stripped, 1, (F.array_position(ends, True) - 1).cast("int"))
 
+    kept = let(F.transform(lines, strip), before_stop)
     noise = r"^(?:=+|-+)\z"
     kept = F.filter(kept, lambda x: ~x.rlike(noise))
     if rules.headings:
@@ -109,8 +114,10 @@ def clean_lines(text: Column, rules: LineRules) -> Column:
     start = F.struct(F.split(text, r"\R").alias("lines"), F.lit(False).alias("stable"))
 
     def step(state: Column, _: Column) -> Column:
-        new = clean_pass(state["lines"], rules)
-        moved = F.struct(new.alias("lines"), (new == state["lines"]).alias("stable"))
+        moved = let(
+            clean_pass(state["lines"], rules),
+            lambda new: F.struct(new.alias("lines"), (new == state["lines"]).alias("stable")),
+        )
         return F.when(state["stable"], state).otherwise(moved)
 
     passes = F.sequence(F.lit(1), F.length(text) + 1)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorefold.functions import codes as C
+from scorefold.functions.binding import let
 from scorefold.functions.scoring import (
     average_precision, f1, first_gold_hit, precision, ratio, recall,
 )
@@ -31,11 +32,14 @@ def _marked(items: Column, gold: bool, pred: bool) -> Column:
 def compare_lists(gold: Column, pred: Column) -> Column:
     """Distinct codes of either list with their two flags."""
     empty = F.array().cast("array<string>")
-    g, p = F.coalesce(gold, empty), F.coalesce(pred, empty)
-    return F.concat(
-        _marked(F.array_intersect(g, p), True, True),
-        _marked(F.array_except(g, p), True, False),
-        _marked(F.array_except(p, g), False, True),
+    both = F.struct(F.coalesce(gold, empty).alias("g"), F.coalesce(pred, empty).alias("p"))
+    return let(
+        both,
+        lambda v: F.concat(
+            _marked(F.array_intersect(v["g"], v["p"]), True, True),
+            _marked(F.array_except(v["g"], v["p"]), True, False),
+            _marked(F.array_except(v["p"], v["g"]), False, True),
+        ),
     )
 
 
@@ -227,8 +231,10 @@ def pairs_by_level(df: DataFrame, keys: list[str], gold: Column, pred: Column) -
 
 def specificity(df: DataFrame, by: list[str], gold: Column, pred: Column) -> DataFrame:
     """Share of gold codes predicted exactly among those whose category was predicted."""
-    categories = C.short_codes(pred)
-    covered = F.filter(gold, lambda c: F.array_contains(categories, C.short_code(c)))
+    covered = let(
+        C.short_codes(pred),
+        lambda categories: F.filter(gold, lambda c: F.array_contains(categories, C.short_code(c))),
+    )
     sums = df.groupBy(*by).agg(
         F.sum(F.size(F.array_intersect(gold, pred))).alias("cat_hit_exact"),
         F.sum(F.size(covered)).alias("covered"),
