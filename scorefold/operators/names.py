@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from scorefold.functions.text import none_if_empty
 
 # Run families as name -> (model size, dataset, mode).
 FAMILIES = {
@@ -57,64 +59,64 @@ DIMENSIONS = [
 ]
 
 
-def _lookup(table: dict[str, tuple[str, str, str]]) -> Column:
-    parts = []
-    for name, (size, dataset, mode) in table.items():
-        parts += [
-            F.lit(name),
-            F.struct(F.lit(size).alias("size"), F.lit(dataset).alias("dataset"), F.lit(mode).alias("mode")),
-        ]
-    return F.create_map(*parts)
+def _values(spark: SparkSession, rows: list[tuple[str, ...]], columns: list[str]) -> DataFrame:
+    """A fixed table of the plan; its size is known to the optimizer."""
+    text = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(columns)})")
+
+
+def families(spark: SparkSession) -> DataFrame:
+    rows = [(n, *v, "dev") for n, v in FAMILIES.items()] + [(n, *v, "test") for n, v in TEST_FAMILIES.items()]
+    return _values(spark, rows, ["_family", "_size", "_dataset", "_mode", "_split"])
+
+
+def external_models(spark: SparkSession) -> DataFrame:
+    return _values(spark, list(EXTERNAL_MODELS.items()), ["_name", "model_name"])
 
 
 def size_label(digits: Column) -> Column:
     """``06`` is 0.6b, ``14`` is 14b."""
-    small = F.concat((digits.cast("int") / 10).cast("string"), F.lit("b"))
-    return F.when(digits.startswith("0"), small).otherwise(F.concat(digits, F.lit("b")))
+    return F.concat(F.regexp_replace(digits, "^0", "0."), F.lit("b"))
 
 
 def parse_name(df: DataFrame, name: str = "collection") -> DataFrame:
-    """Adds the dimensions of a run name; rows with unknown names are dropped."""
+    """Adds the dimensions of a run name; rows with unknown names are dropped.
+
+    The text is taken apart first; families and external models are then looked
+    up in two fixed tables.
+    """
     n = F.col(name)
-    external = F.element_at(
-        F.create_map(*[F.lit(v) for pair in EXTERNAL_MODELS.items() for v in pair]), n
-    )
-    seeded_base, base = n.rlike(SEEDED_BASE_NAME), n.rlike(BASE_NAME)
-    seeded_run = n.rlike(SEEDED_RUN_NAME)
-    family_name = F.when(seeded_run, F.regexp_extract(n, SEEDED_RUN_NAME, 1)).otherwise(
-        F.regexp_extract(n, RUN_NAME, 1)
-    )
-    test_family = F.element_at(_lookup(TEST_FAMILIES), family_name)
-    dev_family = F.when(~seeded_run, F.element_at(_lookup(FAMILIES), family_name))
-    family = F.coalesce(test_family, dev_family)
-    digits = F.when(seeded_base, F.regexp_extract(n, SEEDED_BASE_NAME, 1)).otherwise(
-        F.regexp_extract(n, BASE_NAME, 1)
-    )
-    epoch = F.when(seeded_run, F.regexp_extract(n, SEEDED_RUN_NAME, 3)).otherwise(
-        F.regexp_extract(n, RUN_NAME, 2)
-    )
-    seed = (
-        F.when(seeded_base, F.regexp_extract(n, SEEDED_BASE_NAME, 2))
-        .when(seeded_run, F.regexp_extract(n, SEEDED_RUN_NAME, 2))
-        .otherwise(F.lit(str(DEFAULT_SEED)))
+
+    def part(pattern: str, group: int) -> Column:
+        return none_if_empty(F.regexp_extract(n, pattern, group))
+
+    parts = df.withColumns(
+        {
+            "_base": F.coalesce(part(SEEDED_BASE_NAME, 1), part(BASE_NAME, 1)),
+            "_run": F.coalesce(part(SEEDED_RUN_NAME, 1), part(RUN_NAME, 1)),
+            "_epoch": F.coalesce(part(SEEDED_RUN_NAME, 3), part(RUN_NAME, 2)),
+            "_seed": F.coalesce(part(SEEDED_BASE_NAME, 2), part(SEEDED_RUN_NAME, 2)),
+        }
     )
-    is_external, is_base = external.isNotNull(), seeded_base | base
-    is_run = ~is_external & ~is_base
-    parsed = df.withColumns(
+    spark = df.sparkSession
+    # Both tables are constants of a few rows.
+    joined = parts.join(F.broadcast(families(spark)), F.col("_run") == F.col("_family"), "left")
+    joined = joined.join(F.broadcast(external_models(spark)), n == F.col("_name"), "left")
+    is_base, is_external = F.col("_base").isNotNull(), F.col("model_name").isNotNull()
+    is_run = F.col("_family").isNotNull()
+    known = joined.filter(is_base | is_run | is_external)
+    return known.withColumns(
         {
-            "model_size": F.when(is_base, size_label(F.when(is_base, digits)))
-            .when(is_run, family["size"]),
-            "dataset": F.when(is_run, family["dataset"]),
-            "mode": F.when(is_external, F.lit("external")).when(is_run, family["mode"]),
-            "epoch": F.when(is_run & family.isNotNull(), epoch).cast("int"),
+            "model_size": F.coalesce(size_label(F.col("_base")), "_size"),
+            "dataset": F.col("_dataset"),
+            "mode": F.when(is_external, F.lit("external")).otherwise(F.col("_mode")),
+            "epoch": F.when(is_run, F.col("_epoch")).cast("int"),
             "is_base": is_base,
-            "is_test": is_external | (is_base & n.startswith("test-")) | (is_run & test_family.isNotNull()),
+            "is_test": is_external | (is_base & n.startswith("test-")) | F.col("_split").eqNullSafe("test"),
             "is_external": is_external,
-            "seed": seed.cast("int"),
-            "model_name": external,
+            "seed": F.coalesce(F.col("_seed").cast("int"), F.lit(DEFAULT_SEED)),
         }
-    )
-    return parsed.filter(F.col("model_size").isNotNull() | F.col("is_external"))
+    ).select(*df.columns, *DIMENSIONS)
 
 
 def checkpoint_table(metrics: DataFrame, name: str = "collection") -> DataFrame:

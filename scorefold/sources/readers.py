@@ -13,15 +13,17 @@ def file_path() -> Column:
 
 
 def file_stem() -> Column:
-    """File name without its extension."""
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    """Name of the file, or of the Spark output folder it lies in, without extension."""
+    return F.regexp_extract(file_path(), r"([^/]+?)\.(?:pq|parquet|csv|json|yaml)(?:/[^/]+)?$", 1)
 
 
-def _tree(spark: SparkSession, root: str, pattern: str = "*.pq") -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(root)
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """All Parquet files below ``root``, single files and Spark output folders alike."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pq,parquet}")
+    return reader.option("mergeSchema", "true").parquet(root)
 
 
-NOTE_FILE = r"(train|dev|test)_(\d+)_(hosp|icu)\.pq$"
+NOTE_FILE = r"(train|dev|test)_(\d+)_(hosp|icu)\.pq"
 
 
 def _tagged(df: DataFrame) -> DataFrame:
@@ -130,19 +132,22 @@ def schemes_by_complaint(schemes: DataFrame) -> DataFrame:
 
 def read_generated(spark: SparkSession, root: str) -> DataFrame:
     """Generated answers ``<root>/<model>/cc_<complaint>.pq``, with ``model`` and ``cc``."""
-    df = spark.read.option("pathGlobFilter", "cc_*.pq").option("mergeSchema", "true").parquet(f"{root}/*/")
-    return df.withColumns({"model": F.regexp_extract(file_path(), r"([^/]+)/[^/]+$", 1), "cc": file_stem()})
+    parts = r"([^/]+)/(cc_[^/]+)\.pq"
+    df = _tree(spark, root).withColumns(
+        {"model": F.regexp_extract(file_path(), parts, 1), "cc": F.regexp_extract(file_path(), parts, 2)}
+    )
+    return df.filter(F.col("cc") != "")
 
 
 def read_models(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("combined",)) -> DataFrame:
-    """Merged per-model files, never the combined output of an earlier run."""
-    df = spark.read.option("pathGlobFilter", "*.pq").option("mergeSchema", "true").parquet(root)
-    return df.withColumn("gen_model", file_stem()).filter(~F.col("gen_model").isin(list(exclude)))
+    """Merged per-model files ``<root>/<model>.pq``, never the combined output of an earlier run."""
+    df = _tree(spark, root).withColumn("gen_model", file_stem())
+    return df.filter(~F.col("gen_model").isin(list(exclude)) & ~F.col("gen_model").startswith("cc_"))
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
     """Evaluation results ``<root>/eval_results_<collection>/*.pq`` with ``collection``."""
-    folder = F.regexp_extract(file_path(), r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(file_path(), r"(eval_results_[^/]+)/", 1)
     return _tree(spark, root).withColumn("collection", without_prefix(folder))
 
 
@@ -155,8 +160,8 @@ def read_newest(spark: SparkSession, root: str, experiments: list[str], k: int =
     path = file_path()
     df = _tree(spark, root).withColumns(
         {
-            "experiment": F.regexp_extract(path, r"([^/]+)/v\d+/[^/]+$", 1),
-            "version": none_if_empty(F.regexp_extract(path, r"/v(\d+)/[^/]+$", 1)).cast("int"),
+            "experiment": F.regexp_extract(path, r"([^/]+)/v\d+/", 1),
+            "version": none_if_empty(F.regexp_extract(path, r"/v(\d+)/", 1)).cast("int"),
         }
     ).filter(F.col("experiment").isin(experiments))
     order = F.array_position(F.array(*[F.lit(e) for e in experiments]), F.col("experiment"))
