@@ -28,10 +28,15 @@ def json_text(cell: Column) -> Column:
 
     Single quotes are left to the JSON reader, which accepts them.
     """
-    out = none_if_blank(cell)
-    for name, value in _LITERALS.items():
-        out = F.regexp_replace(out, rf"(?<=[\[,:(]\s?){name}(?=\s*[\],}}])", value)
-    return out
+
+    def replaced(text: Column) -> Column:
+        out = text
+        for name, value in _LITERALS.items():
+            pattern = rf"(?<=[\[,:(]\s?){name}(?=\s*[\],}}])"
+            out = F.when(text.contains(name), F.regexp_replace(out, pattern, value)).otherwise(out)
+        return out
+
+    return let(none_if_blank(cell), replaced)
 
 
 def parse_list(cell: Column) -> Column:

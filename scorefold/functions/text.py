@@ -30,7 +30,7 @@ def strip(text: Column) -> Column:
 
 
 def none_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def section(text: Column, pattern: str) -> Column:
@@ -108,30 +108,35 @@ def clean_pass(lines: Column, rules: LineRules) -> Column:
 def clean_lines(text: Column, rules: LineRules) -> Column:
     """Repeat :func:`clean_pass` until nothing changes.
 
-    A pass that changes anything shortens the text, so its length bounds the
-    number of passes; once stable, the remaining steps only hand the value on.
+    Every pass trims one prefix of each line, so the longest run of known
+    prefixes at the start of a line, plus one pass for what the last trim lays
+    bare, reaches the fixpoint exactly.
     """
-    start = F.struct(F.split(text, r"\R").alias("lines"), F.lit(False).alias("stable"))
 
-    def step(state: Column, _: Column) -> Column:
-        moved = let(
-            clean_pass(state["lines"], rules),
-            lambda new: F.struct(new.alias("lines"), (new == state["lines"]).alias("stable")),
-        )
-        return F.when(state["stable"], state).otherwise(moved)
+    def to_fixpoint(lines: Column) -> Column:
+        passes = F.lit(1)
+        if rules.trim_prefixes:
+            run = _prefix_pattern(rules.trim_prefixes).replace("^", r"\G", 1) + r"\s*"
+            runs = F.transform(lines, lambda x: F.regexp_count(strip(x), F.lit(run)))
+            passes = F.array_max(runs) + 1
+        return F.aggregate(F.sequence(F.lit(1), passes), lines, lambda kept, _: clean_pass(kept, rules))
 
-    passes = F.sequence(F.lit(1), F.length(text) + 1)
-    return F.aggregate(passes, start, step, lambda s: s["lines"])
+    return let(F.split(text, r"\R"), to_fixpoint)
 
 
 def primary_diagnosis(note: Column, rules: LineRules) -> Column:
     """The cleaned diagnosis block of a discharge note, null where there is none."""
-    tail = last_section(note, "(?is)" + PREVIOUS_HEADERS)
     pattern = rf"(?is){TARGET_HEADERS}\s*(.*?)\s*(?={NEXT_HEADERS}|$)"
-    block = F.when(tail.rlike(pattern), F.regexp_extract(tail, pattern, 1))
-    joined = F.array_join(clean_lines(block, rules), "\n")
-    trimmed = F.regexp_replace(F.regexp_replace(joined, r"^[.\-):+=]+", ""), r":+\z", "")
-    return none_if_empty(strip(trimmed))
+
+    def cleaned(block: Column) -> Column:
+        joined = F.array_join(clean_lines(block, rules), "\n")
+        trimmed = F.regexp_replace(F.regexp_replace(joined, r"^[.\-):+=]+", ""), r":+\z", "")
+        return strip(trimmed)
+
+    blocks = F.regexp_extract_all(last_section(note, "(?is)" + PREVIOUS_HEADERS), F.lit(pattern), F.lit(1))
+    # Only the first block counts; without one there is no diagnosis.
+    first = F.transform(F.slice(blocks, 1, 1), cleaned)
+    return none_if_empty(F.get(first, F.lit(0)))
 
 
 def phrase_pattern(phrase: str) -> str:

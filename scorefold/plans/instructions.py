@@ -81,59 +81,70 @@ def _variant_column(variants: dict[str, Variant], model: Column, stage: Column)
     return F.concat(*uses)
 
 
-def render(raw: DataFrame) -> DataFrame:
-    """Reasoning or fallback target of every raw row; rows without a target are dropped.
+def rendered_arms(raw: DataFrame) -> DataFrame:
+    """The texts a raw row can end up with, whatever the variant.
 
-    A row keeps its reasoning if its answer parses and its score is positive
-    and reaches ``threshold``. A score below 1 moves the answer towards the
-    reference and says so in the reasoning. All other rows fall back to a
-    target without reasoning, or are dropped where ``drop`` is set.
+    ``kept`` is the answer with a score of 1 or more, ``fixed`` the answer
+    moved towards the reference, ``gold_only`` the target without any answer,
+    ``told`` the reasoning (which names the moved answer below a score of 1).
     """
     v, score = F.col("Verifier"), F.col("Score")
     is_name, is_code = v.isin(2, 3), v == 4
-    names = F.when(is_name, P.parse_answer(F.col("answer"), DIAGNOSIS_LIST))
-    codes = F.when(is_code, P.parse_answer(F.col("answer"), CODE_LIST))
-    findings = F.when(v == 1, P.parse_answer(F.col("answer"), FINDING_MAP))
-    parsed = raw.withColumns({"names": names, "codes": codes, "findings": findings})
-
+    parsed = raw.withColumns(
+        {
+            "names": F.when(is_name, P.parse_answer(F.col("answer"), DIAGNOSIS_LIST)),
+            "codes": F.when(is_code, P.parse_answer(F.col("answer"), CODE_LIST)),
+            "findings": F.when(v == 1, P.parse_answer(F.col("answer"), FINDING_MAP)),
+        }
+    )
     names, codes, findings = F.col("names"), F.col("codes"), F.col("findings")
-    usable = F.coalesce(names.isNotNull() | codes.isNotNull() | findings.isNotNull(), F.lit(False))
-    trace = usable & F.coalesce((score > 0) & (score >= F.col("threshold")), F.lit(False))
-    routed = parsed.withColumns({"usable": usable, "trace": trace}).filter(F.col("trace") | ~F.col("drop"))
-
-    # An accepted answer with a full score is kept as it is.
-    aligned = ~F.col("trace") | (score < 1.0)
     thinking = reasoning(F.col("text"))
     told = (
         F.when(is_name & (score < 1.0), R.with_name_order(thinking, names))
         .when(is_code & (score < 1.0), R.with_code_order(thinking, codes))
         .otherwise(thinking)
     )
-    final_names = F.when(aligned, R.target_first(names, F.col("disease"))).otherwise(names)
-    final_codes = F.when(aligned, R.align_codes(codes, F.col("ICD_CODES"))).otherwise(codes)
-    answered = (
-        F.when(is_name, R.json_entries(final_names, "name"))
-        .when(is_code, R.json_entries(final_codes, "icd_code"))
-        .otherwise(R.json_findings(findings))
-    )
-    gold_only = F.when(is_code, R.gold_codes_target(F.col("ICD_CODES"))).when(
-        is_name & F.col("disease").isNotNull(), R.gold_name_target(F.col("disease"))
+    full = score >= 1.0
+    return parsed.select(
+        *raw.columns,
+        (names.isNotNull() | codes.isNotNull() | findings.isNotNull()).alias("usable"),
+        strip_newlines(told).alias("told"),
+        F.when(full & is_name, R.json_entries(names, "name"))
+        .when(full & is_code, R.json_entries(codes, "icd_code")).alias("kept"),
+        F.when(is_name, R.json_entries(R.target_first(names, F.col("disease")), "name"))
+        .when(is_code, R.json_entries(R.align_codes(codes, F.col("ICD_CODES")), "icd_code"))
+        .otherwise(R.json_findings(findings)).alias("fixed"),
+        F.when(is_code, R.gold_codes_target(F.col("ICD_CODES")))
+        .when(is_name & F.col("disease").isNotNull(), R.gold_name_target(F.col("disease"))).alias("gold_only"),
     )
+
+
+def route(rows: DataFrame) -> DataFrame:
+    """Reasoning or fallback for every (raw row, variant); rows without a target are dropped.
+
+    A row keeps its reasoning if its answer parses and its score is positive
+    and reaches ``threshold``. All other rows fall back to a target without
+    reasoning, or are dropped where ``drop`` is set.
+    """
+    score = F.col("Score")
+    trace = F.coalesce(F.col("usable") & (score > 0) & (score >= F.col("threshold")), F.lit(False))
+    routed = rows.withColumn("trace", trace).filter(F.col("trace") | ~F.col("drop"))
     out = routed.withColumns(
         {
-            "Thinking": F.when(F.col("trace"), strip_newlines(told)).otherwise(F.lit("")),
-            "Output": F.when(F.col("usable"), answered).otherwise(gold_only),
+            "Thinking": F.when(F.col("trace"), F.col("told")).otherwise(F.lit("")),
+            "Output": F.when(~F.col("usable"), F.col("gold_only"))
+            .when(F.col("trace"), F.coalesce("kept", "fixed"))
+            .otherwise(F.col("fixed")),
         }
     )
-    extra = [c for c in ("variant",) if c in raw.columns]
-    return out.filter("Output IS NOT NULL AND Input IS NOT NULL").select(*extra, *INSTRUCTION_COLUMNS)
+    return out.filter("Output IS NOT NULL AND Input IS NOT NULL").select("variant", *INSTRUCTION_COLUMNS)
 
 
 def build_variants(patients: DataFrame, variants: dict[str, Variant] | None = None, complaint: str = "cc") -> DataFrame:
     """All variants in one table with a ``variant`` column.
 
-    Raw rows are read once for every variant that uses all generators, by
-    exploding the short list of variants a row belongs to; best-per-id
+    Every raw row is parsed and rendered once; exploding the short list of
+    variants it belongs to only chooses among the rendered texts. Best-per-id
     variants share one selection of the best generator per stage.
     """
     variants = variants or VARIANTS
@@ -144,7 +155,7 @@ def build_variants(patients: DataFrame, variants: dict[str, Variant] | None = No
     for chosen, rows in ((plain, raw), (best, best_generator(raw, ["hadm_id", "Verifier"]))):
         if chosen:
             uses = _variant_column(chosen, F.col("model"), F.col("Verifier"))
-            parts.append(render(rows.select("*", F.inline(uses))))
+            parts.append(route(rendered_arms(rows).select("*", F.inline(uses))))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
