@@ -9,19 +9,17 @@ from pyspark.sql import Column, functions as F
 
 from scorefold.functions.binding import let
 
-# Section headers of the notes.
-COMPLAINT_SECTION = (
-    r"(?is)(?:chief complaint\s*:|___ complaint\s*:|chief\s+___\s*:)"
-    r"(.*?)(?=\n\s*\.?\s*\n|\n[A-Z][A-Za-z ]+:|\z)"
-)
+# Section headers of the notes and what ends a section.
+COMPLAINT_HEADERS = r"(?i)(?:chief complaint\s*:|___ complaint\s*:|chief\s+___\s*:)"
+COMPLAINT_END = r"(?i)(?:\n\s*\.?\s*\n|\n[A-Z][A-Za-z ]+:)"
 PREVIOUS_HEADERS = (
-    r"(?:___ Disposition:|Discharge Disposition:|Facility:|___:\nHome|___:\nHome with Service)"
+    r"(?i)(?:___ Disposition:|Discharge Disposition:|Facility:|___:\nHome|___:\nHome with Service)"
 )
 TARGET_HEADERS = (
-    r"(?:Discharge Diagnosis:|___ Diagnosis:|Discharge ___:|Current Diagnoses:"
+    r"(?i)(?:Discharge Diagnosis:|___ Diagnosis:|Discharge ___:|Current Diagnoses:"
     r"|___ischarge Diagnosis:|___:)"
 )
-NEXT_HEADERS = r"(?:Discharge Condition:|___ Condition:|CONDITION:)"
+NEXT_HEADERS = r"(?i)(?:Discharge Condition:|___ Condition:|CONDITION:)"
 
 
 def strip(text: Column) -> Column:
@@ -33,13 +31,19 @@ def none_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def section(text: Column, pattern: str) -> Column:
-    """First group of ``pattern``, stripped; null where absent or empty."""
-    return strip(none_if_empty(F.regexp_extract(text, pattern, 1)))
+def section(text: Column, header: str, end: str) -> Column:
+    """Text between the first ``header`` and the first ``end`` after it (or the end of the text).
+
+    Null without a header. Splitting reads the text once, where a lazy group
+    with look-ahead would test the end at every character.
+    """
+    rest = F.get(F.split(text, header, 2), F.lit(1))
+    return F.get(F.split(rest, end, 2), F.lit(0))
 
 
 def chief_complaint(note: Column) -> Column:
-    return section(note, COMPLAINT_SECTION)
+    """The complaint section, stripped; null where absent or empty."""
+    return strip(none_if_empty(section(note, COMPLAINT_HEADERS, COMPLAINT_END)))
 
 
 def last_section(text: Column, delimiter: str) -> Column:
@@ -126,17 +130,14 @@ def clean_lines(text: Column, rules: LineRules) -> Column:
 
 def primary_diagnosis(note: Column, rules: LineRules) -> Column:
     """The cleaned diagnosis block of a discharge note, null where there is none."""
-    pattern = rf"(?is){TARGET_HEADERS}\s*(.*?)\s*(?={NEXT_HEADERS}|$)"
 
     def cleaned(block: Column) -> Column:
-        joined = F.array_join(clean_lines(block, rules), "\n")
+        joined = F.array_join(clean_lines(strip(block), rules), "\n")
         trimmed = F.regexp_replace(F.regexp_replace(joined, r"^[.\-):+=]+", ""), r":+\z", "")
-        return strip(trimmed)
+        return none_if_empty(strip(trimmed))
 
-    blocks = F.regexp_extract_all(last_section(note, "(?is)" + PREVIOUS_HEADERS), F.lit(pattern), F.lit(1))
-    # Only the first block counts; without one there is no diagnosis.
-    first = F.transform(F.slice(blocks, 1, 1), cleaned)
-    return none_if_empty(F.get(first, F.lit(0)))
+    block = section(last_section(note, PREVIOUS_HEADERS), TARGET_HEADERS, NEXT_HEADERS)
+    return let(block, lambda b: F.when(b.isNotNull(), cleaned(b)))
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -149,7 +150,8 @@ def matching_keys(text: Column, phrases_by_key: dict[str, list[str]]) -> Column:
     """All keys with a phrase in ``text``, ordered by their longest matching phrase.
 
     Every key counts as one of its own phrases. Phrases are tried longest
-    first, so a key stops at the phrase that decides its place.
+    first, so a key stops at the phrase that decides its place; the pattern is
+    only tried where plain search finds all words of the phrase.
     """
     ranked = sorted(
         (
@@ -164,14 +166,23 @@ def matching_keys(text: Column, phrases_by_key: dict[str, list[str]]) -> Column:
     for rank, (phrase, key) in enumerate(ranked):
         by_key.setdefault(key, []).append((rank, phrase))
 
-    hits = []
-    for key, entries in by_key.items():
-        place = F.lit(None).cast("int")
-        for rank, phrase in reversed(entries):
-            place = F.when(text.rlike(phrase_pattern(phrase)), rank).otherwise(place)
-        hits.append(F.struct(place.alias("place"), F.lit(key).alias("key")))
-    found = F.filter(F.array(*hits), lambda h: h["place"].isNotNull())
-    return F.transform(F.sort_array(found), lambda h: h["key"])
+    def found_in(folded: Column, phrase: str) -> Column:
+        hit = text.rlike(phrase_pattern(phrase))
+        for word in reversed(phrase.split()):
+            hit = folded.contains(word.upper().lower()) & hit
+        return hit
+
+    def keys(folded: Column) -> Column:
+        hits = []
+        for key, entries in by_key.items():
+            place = F.lit(None).cast("int")
+            for rank, phrase in reversed(entries):
+                place = F.when(found_in(folded, phrase), rank).otherwise(place)
+            hits.append(F.struct(place.alias("place"), F.lit(key).alias("key")))
+        found = F.filter(F.array(*hits), lambda h: h["place"].isNotNull())
+        return F.transform(F.sort_array(found), lambda h: h["key"])
+
+    return let(F.lower(F.upper(text)), keys)
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -81,10 +81,12 @@ def add_complaints(df: DataFrame, synonyms: dict[str, list[str]], systems: dict[
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
     lookup = F.create_map(*[F.lit(v) for k, s in systems.items() for v in (k.lower(), s)])
-    matched = df.withColumn("cc_list", matching_keys(F.coalesce(text, F.lit("")), synonyms))
-    return matched.filter(F.size("cc_list") > 0).withColumn(
-        "system_list", F.transform("cc_list", lambda k: F.element_at(lookup, k))
+    # A generator drops rows without a match and, unlike a filter, is never
+    # evaluated a second time below the projection.
+    matched = df.select(
+        "*", F.explode(F.filter(F.array(matching_keys(F.coalesce(text, F.lit("")), synonyms)), lambda k: F.size(k) > 0)).alias("cc_list")
     )
+    return matched.withColumn("system_list", F.transform("cc_list", lambda k: F.element_at(lookup, k)))
 
 
 def add_disease_vector(df: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:

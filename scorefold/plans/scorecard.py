@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scorefold.functions import parsing as P
 from scorefold.functions.codes import short_codes
 from scorefold.operators import rank_metrics as RM
-from scorefold.operators.set_metrics import code_counts, micro_macro, pairs_from_lists, with_total
+from scorefold.functions.scoring import hit_at, reciprocal_rank
+from scorefold.operators.set_metrics import code_counts, compare_lists, micro_macro, pairs_from_lists, with_total
 
 RATES = {"v1_json_valid": "v1_json", "v2_json_valid": "v2_json", "v4_json_valid": "v4_json"}
 
@@ -26,28 +27,59 @@ def parsed_results(results: DataFrame, shorten_predictions: bool = False) -> Dat
 
 
 def scorecard(rows: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
-    """Code, diagnosis, vector and validity metrics (percent) with the sample count."""
+    """Code, diagnosis, vector and validity metrics (percent) with the sample count.
+
+    Two passes over the rows, whatever the number of metrics: one that sums
+    the row scores (per label length, because vector means are rounded per
+    length), one that counts codes and first diagnoses together.
+    """
     name_pred, disease = F.col("name_pred"), F.col("disease")
-    pairs = pairs_from_lists(rows, by, F.col("code_gold"), F.col("code_pred"))
-    codes = micro_macro(code_counts(pairs, by), by).drop("tp", "fp", "fn", "n_labels")
-    parts = [
-        rows.groupBy(*by).agg(F.count("*").alias("n_samples")),
-        codes,
-        RM.ranking(rows, by, name_pred, disease),
-        RM.top1_f1(rows, by, name_pred, disease),
-        RM.vector_agreement(rows, by, F.col("vector_pred"), F.col("disease_vector")),
-        RM.answer_validity(rows, by, RATES),
-        RM.list_lengths(rows, by, {"code_len": F.col("code_pred"), "code_label_len": F.col("code_gold")}),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, by, "left")
+    scores = {
+        "mrr": reciprocal_rank(name_pred, disease),
+        **{f"recall_at_{k}": F.coalesce(hit_at(name_pred, disease, k), F.lit(0)) for k in RM.RECALL_KS},
+        **{name: P.is_valid_cell(F.col(c)).cast("int") for name, c in RATES.items() if c in rows.columns},
+        "code_len": F.coalesce(F.size("code_pred"), F.lit(0)),
+        "code_label_len": F.coalesce(F.size("code_gold"), F.lit(0)),
+    }
+    filled = RM.zero_filled(F.col("vector_pred"), F.col("disease_vector"))
+    vectors = {"cos_sim": RM.cosine(filled, F.col("disease_vector")),
+               "dot_product": RM.norm_dot(filled, F.col("disease_vector"), empty=0.0)}
+    values = {**scores, **vectors}
+    sums = (
+        rows.select(*by, F.size("disease_vector").alias("_length"), *[c.alias(n) for n, c in values.items()])
+        .groupBy(*by, "_length")
+        .agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in scores],
+             *[F.round(F.avg(n), RM.GROUP_DIGITS).alias(n) for n in vectors])
+        .groupBy(*by)
+        .agg(F.sum("n").alias("n_samples"), *[(F.sum(n) / F.sum("n")).alias(n) for n in scores],
+             *[(F.sum(F.col(n) * F.col("n")) / F.sum("n")).alias(n) for n in vectors])
+    )
+
+    def of_kind(kind: str, items: Column) -> Column:
+        return F.transform(items, lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["code"].alias("code"), e["is_gold"].alias("is_gold"), e["is_pred"].alias("is_pred")))
+
+    first = F.coalesce(F.get(name_pred, F.lit(0)), F.lit(""))
+    pairs = rows.select(*by, F.inline(F.concat(
+        of_kind("codes", compare_lists(F.col("code_gold"), F.col("code_pred"))),
+        of_kind("first", compare_lists(F.array(disease), F.array(first))),
+    )))
+    counted = micro_macro(code_counts(pairs, [*by, "kind"]), [*by, "kind"])
+
+    def of(kind: str, column: str, name: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column))).alias(name)
+
+    names = [f"{m}_{a}" for a in ("micro", "macro") for m in ("precision", "recall", "f1")]
+    wide = counted.groupBy(*by).agg(
+        *[of("codes", n, n) for n in names], *[of("first", f"f1_{a}", f"f1_{a}_at_1") for a in ("micro", "macro")]
+    )
+    out = sums.join(wide, by, "left")
     lengths = ("code_len", "code_label_len")
     metrics = [c for c in out.columns if c not in (*by, "n_samples")]
 
     def shown(c: str) -> Column:
         if c in lengths:
-            return F.col(c).alias(c)
+            return F.round(F.col(c), 2).alias(c)
         return F.round(F.round(F.col(c), 4) * 100, digits).alias(c)
 
     return out.select(*by, *[shown(c) for c in metrics], "n_samples")
