@@ -233,6 +233,19 @@ def code_pattern_match(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "j04_code_pattern_match_joined",
+    f"""WITH {CODE_MATCH_SQL} SELECT l.system, l.id, coalesce(array_to_string(ds, ','), '') AS diseases, coalesce(rs[1], -1)::INT AS disease_icd_rank
+    FROM lists l JOIN adm USING (id) LEFT JOIN m USING (system, id)""",
+)
+def code_pattern_match_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The way taken for dictionaries too large to become literals."""
+    matched = M.add_code_matches(cohort_rows(spark, d), diseases(spark), ["system", "id"], max_inline_patterns=0)
+    return matched.select(
+        "system", "id", F.array_join("diseases_by_icd_match", ",").alias("diseases"), "disease_icd_rank"
+    )
+
+
 @query(
     "j04_first_pattern_literal",
     f"WITH {CODE_ROWS} SELECT CASE " + " ".join(f"WHEN regexp_matches(code, '^(?:{p})') THEN '{n}'" for n, p in PATTERNS)

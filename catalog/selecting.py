@@ -218,7 +218,7 @@ def _signs(column: str, low: float) -> Column:
 )
 def score_finding_answers(spark: SparkSession, d: str) -> DataFrame:
     """Finding maps as text; every fifth answer lacks one feature and is not valid."""
-    emb = table(spark, d, "embeddings")
+    emb = table(spark, d, "embeddings").withColumn("chief_complaint", F.concat(F.lit("c"), (F.col("label") % 2).cast("string")))
     values = _signs("embedding", 0.0625)
     pairs = F.zip_with(F.array(*[F.lit(f) for f in FEATURES]), values, lambda n, v: F.concat(
         F.lit('"'), n, F.lit('": {"value": '), v.cast("string"), F.lit(', "reasoning": "seen"}')
@@ -226,11 +226,11 @@ def score_finding_answers(spark: SparkSession, d: str) -> DataFrame:
     kept = F.when(F.col("vec_id") % 5 == 0, F.slice(pairs, 1, 7)).otherwise(pairs)
     text = F.concat(F.lit("Here: {"), F.array_join(kept, ", "), F.lit("}"))
     answers = emb.select(
-        F.col("vec_id").alias("hadm_id"), F.lit("any").alias("chief_complaint"), F.lit("m").alias("model"),
+        F.col("vec_id").alias("hadm_id"), "chief_complaint", F.lit("m").alias("model"),
         F.lit(1).alias("stage"), F.lit(1).alias("round"), F.lit(0).alias("choice_idx"), text.alias("text"),
     )
     gold = emb.select(F.col("vec_id").alias("hadm_id"), _signs("embedding", 0.125).alias("disease_vector"))
-    schemes = spark.createDataFrame([("any", FEATURES)], "chief_complaint string, features array<string>")
+    schemes = spark.createDataFrame([("c0", FEATURES), ("c1", FEATURES)], "chief_complaint string, features array<string>")
     return SE.score_findings(answers, schemes, gold).select("hadm_id", "score")
 
 

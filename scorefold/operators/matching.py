@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scorefold.functions.scoring import match_category, position_of
-from scorefold.functions.text import matching_keys
+from scorefold.functions.text import first_pattern, matching_keys
+from scorefold.session import fits
+
+MAX_INLINE_PATTERNS = 2_000
 
 
 def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:
@@ -25,20 +28,50 @@ def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "
     )
 
 
-def add_code_matches(df: DataFrame, diseases: DataFrame, keys: list[str],
-                     group: str = "chief_complaint", codes: str = "ICD_CODES") -> DataFrame:
-    """Matched diseases, their code positions and the first match of every row.
+def _matches_in_row(rows: list, group: str, codes: str) -> Column:
+    """(code_pos, disease) of the matching codes, from a dictionary of a few hundred patterns."""
+    by_group: dict[str, list[tuple[str, str]]] = {}
+    for row in sorted(rows, key=lambda r: r["pos"]):
+        by_group.setdefault(row[group], []).append((row["disease"], row["icd10_regex"]))
+    found = F.lit(None).cast("array<string>")
 
-    Without a match: ``[null]``, ``[-1]``, count 0, no disease and rank -1.
-    """
+    def tried(patterns: list[tuple[str, str]]) -> Column:
+        return F.transform(codes, lambda c: first_pattern(c, patterns))
+
+    for name, patterns in by_group.items():
+        found = F.when(F.col(group) == name, tried(patterns)).otherwise(found)
+    placed = F.transform(found, lambda d, i: F.struct(i.alias("code_pos"), d.alias("disease")))
+    return F.nullif(
+        F.filter(placed, lambda m: m["disease"].isNotNull()),
+        F.array().cast("array<struct<code_pos:int,disease:string>>"),
+    )
+
+
+def _matches_joined(df: DataFrame, diseases: DataFrame, keys: list[str], group: str, codes: str) -> DataFrame:
+    """The same for larger dictionaries: distinct codes are matched and joined back."""
     exploded = df.select(*keys, group, F.posexplode(codes).alias("code_pos", "code"))
     found = exploded.join(first_disease_per_code(exploded, diseases, group), [group, "code"])
     per_row = found.groupBy(*keys, group).agg(
         F.sort_array(F.collect_list(F.struct("code_pos", "disease"))).alias("m")
     )
-    joined = df.join(per_row, [*keys, group], "left")
+    return df.join(per_row, [*keys, group], "left")
+
+
+def add_code_matches(df: DataFrame, diseases: DataFrame, keys: list[str], group: str = "chief_complaint",
+                     codes: str = "ICD_CODES", max_inline_patterns: int = MAX_INLINE_PATTERNS) -> DataFrame:
+    """Matched diseases, their code positions and the first match of every row.
+
+    Without a match: ``[null]``, ``[-1]``, count 0, no disease and rank -1. A
+    dictionary that a count shows to be small becomes literal patterns, so rows
+    are matched where they are, without a shuffle.
+    """
+    if fits(diseases, max_inline_patterns):
+        rows = diseases.select(group, "pos", "disease", "icd10_regex").collect()
+        matched = df.withColumn("m", _matches_in_row(rows, group, codes))
+    else:
+        matched = _matches_joined(df, diseases, keys, group, codes)
     none = F.col("m").isNull()
-    return joined.withColumns(
+    return matched.withColumns(
         {
             "diseases_by_icd_match": F.when(none, F.array(F.lit(None).cast("string"))).otherwise(F.col("m.disease")),
             "icd_codes_rank": F.when(none, F.array(F.lit(-1))).otherwise(F.col("m.code_pos")),

@@ -65,23 +65,19 @@ def accept(rounds: DataFrame, keys: list[str], threshold: Column, floor: Column
     if floor is not None:
         passes = passes & (score >= F.coalesce(floor, score))
     window = Window.partitionBy(*keys)
-    accept_round = F.min(F.when(passes, F.col("round"))).over(window)
-    leave_round = accept_round
-    if compat:
-        first = F.min("round").over(window)
-        lost = F.max(F.when((F.col("round") == F.col("_first")) & score.isNull(), F.col("round"))).over(window)
-        counted = rounds.filter(F.col("round") <= budget).withColumn("_first", first)
-        counted = counted.withColumns({"_lost": lost, "_accept": accept_round})
-        counted = counted.withColumn("_leave", F.coalesce("_lost", "_accept"))
-        counted = counted.withColumn("_accept", F.when(F.col("_lost").isNull(), F.col("_accept"))).drop("_first", "_lost")
-    else:
-        counted = rounds.filter(F.col("round") <= budget).withColumns(
-            {"_accept": accept_round, "_leave": leave_round}
-        )
-    counted = counted.filter(F.col("_leave").isNull() | (F.col("round") <= F.col("_leave")))
-    counted = counted.withColumn("rounds_used", F.max("round").over(window))
-    best = best_round(counted, keys)
-    return best.withColumn("accepted", F.col("_accept").isNotNull()).drop("_accept", "_leave")
+    rows = rounds.filter(F.col("round") <= budget).withColumns(
+        {
+            "_accept": F.min(F.when(passes, F.col("round"))).over(window),
+            "_first": F.min(F.struct("round", "score")).over(window),
+        }
+    )
+    lost = F.col("_first.score").isNull() if compat else F.lit(False)
+    leave = F.when(lost, F.col("_first.round")).otherwise(F.col("_accept"))
+    counted = rows.filter(leave.isNull() | (F.col("round") <= leave))
+    counted = counted.withColumns(
+        {"rounds_used": F.max("round").over(window), "accepted": F.col("_accept").isNotNull() & ~lost}
+    )
+    return best_round(counted, keys).drop("_accept", "_first")
 
 
 def accept_stages(stages: DataFrame, keys: list[str], thresholds: dict[int, float] | None = None,

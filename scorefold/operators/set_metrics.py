@@ -15,6 +15,7 @@ from scorefold.functions.binding import let
 from scorefold.functions.scoring import (
     average_precision, f1, first_gold_hit, precision, ratio, recall,
 )
+from scorefold.session import cut_lineage
 
 # Strata as (name, fewest training admissions), high to low.
 STRATA = [("head", 100), ("body", 10), ("tail", 0)]
@@ -229,29 +230,37 @@ def pairs_by_level(df: DataFrame, keys: list[str], gold: Column, pred: Column) -
     return df.select(*keys, F.inline(both))
 
 
-def specificity(df: DataFrame, by: list[str], gold: Column, pred: Column) -> DataFrame:
-    """Share of gold codes predicted exactly among those whose category was predicted."""
+def _specificity_sums(gold: Column, pred: Column) -> list[Column]:
     covered = let(
         C.short_codes(pred),
         lambda categories: F.filter(gold, lambda c: F.array_contains(categories, C.short_code(c))),
     )
-    sums = df.groupBy(*by).agg(
+    return [
         F.sum(F.size(F.array_intersect(gold, pred))).alias("cat_hit_exact"),
         F.sum(F.size(covered)).alias("covered"),
-    )
+    ]
+
+
+def _with_specificity(sums: DataFrame) -> DataFrame:
     exact, n = F.col("cat_hit_exact"), F.col("covered")
-    return sums.select(
-        *by, ratio(exact, n).alias("specificity_given_cat_hit"), "cat_hit_exact",
-        (n - exact).alias("cat_hit_inexact"),
-    )
+    return sums.withColumns(
+        {"specificity_given_cat_hit": ratio(exact, n), "cat_hit_inexact": n - exact}
+    ).drop("covered")
+
+
+def specificity(df: DataFrame, by: list[str], gold: Column, pred: Column) -> DataFrame:
+    """Share of gold codes predicted exactly among those whose category was predicted."""
+    return _with_specificity(df.groupBy(*by).agg(*_specificity_sums(gold, pred)))
+
+
+def _invalid_rate(raw: Column) -> Column:
+    share = ratio(F.sum(C.invalid_entry_count(raw)), F.sum(C.raw_entry_count(raw)))
+    return share.alias("invalid_token_rate")
 
 
 def invalid_token_rate(df: DataFrame, by: list[str], raw: Column) -> DataFrame:
     """Share of raw entries that hold no valid code."""
-    return df.groupBy(*by).agg(
-        ratio(F.sum(C.invalid_entry_count(raw)), F.sum(C.raw_entry_count(raw)))
-        .alias("invalid_token_rate")
-    )
+    return df.groupBy(*by).agg(_invalid_rate(raw))
 
 
 def full_code_scores(df: DataFrame, by: list[str], gold: str = "ICD_CODES", raw: str = "raw_codes") -> DataFrame:
@@ -268,12 +277,10 @@ def full_code_scores(df: DataFrame, by: list[str], gold: str = "ICD_CODES", raw:
             for lvl in ("category", "full") for c in [*names, "n_labels"]
         ]
     )
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    return (
-        sizes.join(wide, by, "left")
-        .join(specificity(rows, by, g, p), by)
-        .join(invalid_token_rate(rows, by, F.col("r")), by)
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), *_specificity_sums(g, p), _invalid_rate(F.col("r"))
     )
+    return _with_specificity(sums).join(wide, by, "left")
 
 
 def rank_scores(df: DataFrame, by: list[str], gold: Column, pred: Column, top_n: int = 20) -> DataFrame:
@@ -292,7 +299,8 @@ def score_systems(df: DataFrame, by: list[str], gold: str = "gold", pred: str =
     Without a vocabulary the gold codes of the table are used.
     """
     pairs = pairs_from_lists(df, by, F.col(gold), F.col(pred))
-    counts = code_counts(pairs, by)
+    # One row per system and code; written once because three steps read it.
+    counts = cut_lineage(code_counts(pairs, by), "counts")
     if vocabulary is None:
         vocabulary = counts.filter((F.col("tp") + F.col("fn")) > 0).select("code")
     micro = micro_macro(counts, by).select(

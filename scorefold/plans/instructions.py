@@ -182,9 +182,8 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     complaint, template), with ``generic`` as the complaint of the fallback.
     Rows whose vector and scheme differ in length have a null stage-1 output.
     """
-    note = keep_first(combined, ["hadm_id"], ["gen_model"]) if "gen_model" in combined.columns else (
-        keep_first(combined, ["hadm_id"], ["subject_id"])
-    )
+    first = "gen_model" if "gen_model" in combined.columns else "subject_id"
+    note = keep_first(combined, ["hadm_id"], [first])
     prepared = (
         note.withColumn("chief_complaint", F.col("`Chief Complaint`"))
         .join(schemes, "chief_complaint", "left")
@@ -202,26 +201,34 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     stage = F.array(*[F.struct(F.lit(s).alias("Verifier"), outputs[s].alias("Output")) for s in copies])
     rows = prepared.withColumn("chief_complaint", F.replace("chief_complaint", F.lit(" "), F.lit("_")))
     rows = rows.select("*", F.inline(stage))
-    filled = with_template(rows, templates, F.col("Verifier"), F.col("chief_complaint"))
+    rows = rows.withColumn("template", template_for(templates, F.col("Verifier"), F.col("chief_complaint")))
     slots = {
         "admission_note": F.col("admission_note"),
         "laboratory_results": F.col("labs_text"),
         "potential_diagnoses": F.col("potential_diagnoses"),
         "symptom_format_example": R.findings_example(F.col("features")),
     }
-    return filled.select(
+    return rows.select(
         "hadm_id", "subject_id", "split", "chief_complaint", "Verifier",
         R.fill_template(F.col("template"), slots).alias("Input"), "Output",
     )
 
 
-def with_template(rows: DataFrame, templates: DataFrame, stage: Column, complaint: Column) -> DataFrame:
-    """The stage's template for the complaint, else its generic one."""
-    own = templates.select(F.col("stage").alias("_s"), F.col("complaint").alias("_c"), F.col("template").alias("_own"))
-    generic = templates.filter("complaint = 'generic'").select(F.col("stage").alias("_g"), F.col("template").alias("_generic"))
-    joined = rows.join(own, (F.col("_s") == stage) & (F.col("_c") == complaint), "left")
-    joined = joined.join(generic, F.col("_g") == stage, "left")
-    return joined.withColumn("template", F.coalesce("_own", "_generic")).drop("_s", "_c", "_own", "_g", "_generic")
+def template_for(templates: DataFrame, stage: Column, complaint: Column) -> Column:
+    """The stage's template for the complaint, else its generic one.
+
+    ``templates`` is configuration with one row per stage and complaint; it
+    becomes one small map value of the plan.
+    """
+
+    def key(s: Column, c: Column) -> Column:
+        return F.concat_ws("|", s.cast("string"), c)
+
+    entry = F.struct(key(F.col("stage"), F.col("complaint")), F.col("template"))
+    known = templates.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    return F.coalesce(
+        F.element_at(known, key(stage, complaint)), F.element_at(known, key(stage, F.lit("generic")))
+    )
 
 
 def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, templates: DataFrame,
@@ -231,7 +238,7 @@ def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, te
     has = set(patients.columns)
     rows = patients.withColumn("chief_complaint", F.col("`Chief Complaint`"))
     rows = rows.join(schemes, "chief_complaint", "left").join(numbered_vocabulary(labels), "chief_complaint", "left")
-    rows = with_template(rows, templates, F.lit(stage), F.col("chief_complaint"))
+    rows = rows.withColumn("template", template_for(templates, F.lit(stage), F.col("chief_complaint")))
     findings = R.findings_text(answer[1]) if "v1_json" in has else F.lit(R.NO_FINDINGS)
     second = answer[2] if "v2_json" in has else F.lit(None).cast(DIAGNOSIS_LIST)
     third = answer[3] if "v3_json" in has else second

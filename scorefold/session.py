@@ -20,6 +20,8 @@ def spark_session(app: str = "scorefold", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Short lists per key: keep hashing instead of falling back to sorting at 128 keys.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         **conf,
     }
     for key, value in settings.items():
