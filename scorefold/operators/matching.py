@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from scorefold.functions.scoring import match_category, position_of
 from scorefold.functions.text import first_pattern, matching_keys
-from scorefold.session import fits
+from scorefold.session import rows_if_small
 
 MAX_INLINE_PATTERNS = 2_000
 
@@ -28,7 +28,7 @@ def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "
     )
 
 
-def _matches_in_row(rows: list, group: str, codes: str) -> Column:
+def _matches_in_row(rows: list[Row], group: str, codes: str) -> Column:
     """(code_pos, disease) of the matching codes, from a dictionary of a few hundred patterns."""
     by_group: dict[str, list[tuple[str, str]]] = {}
     for row in sorted(rows, key=lambda r: r["pos"]):
@@ -65,8 +65,8 @@ def add_code_matches(df: DataFrame, diseases: DataFrame, keys: list[str], group:
     dictionary that a count shows to be small becomes literal patterns, so rows
     are matched where they are, without a shuffle.
     """
-    if fits(diseases, max_inline_patterns):
-        rows = diseases.select(group, "pos", "disease", "icd10_regex").collect()
+    rows = rows_if_small(diseases.select(group, "pos", "disease", "icd10_regex"), max_inline_patterns)
+    if rows is not None:
         matched = df.withColumn("m", _matches_in_row(rows, group, codes))
     else:
         matched = _matches_joined(df, diseases, keys, group, codes)

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 
 from scorefold.functions.scoring import cosine
-from scorefold.session import fits
+from scorefold.session import rows_if_small
 
 MAX_LOCAL_LABELS = 20_000
 
@@ -19,9 +19,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _rank_blockwise(items: DataFrame, labels: DataFrame, group: str | None) -> DataFrame:
+def _rank_blockwise(items: DataFrame, rows: list[Row], group: str | None) -> DataFrame:
     """One matrix product per Arrow batch and group against the broadcast labels."""
-    rows = labels.select(*([group] if group else []), "pos", "label", "embedding").collect()
     packed: dict = {}
     for row in sorted(rows, key=lambda r: r["pos"]):
         names, vectors = packed.setdefault(row[group] if group else None, ([], []))
@@ -93,8 +92,9 @@ def rank_labels(items: DataFrame, labels: DataFrame, keys: list[str], group: str
     ``pos``. The labels are broadcast only after a count shows they are few;
     otherwise they are joined on the group. ``keys`` identify an item.
     """
-    if fits(labels, max_local_labels):
-        ranked = _rank_blockwise(items, labels, group)
+    rows = rows_if_small(labels.select(*([group] if group else []), "pos", "label", "embedding"), max_local_labels)
+    if rows is not None:
+        ranked = _rank_blockwise(items, rows, group)
     else:
         ranked = _rank_joined(items, labels, keys, group)
     return ranked.withColumn("disease", F.get("diseases", F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -50,6 +50,10 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (reads no more than one row past it)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
+    """The rows of a table of at most ``max_rows`` rows, else nothing.
+
+    Never fetches more than one row past the bound.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
