@@ -10,21 +10,33 @@ from pyspark.sql import Column, functions as F
 from scorefold.functions.binding import let
 
 # Section headers of the notes and what ends a section.
-COMPLAINT_HEADERS = r"(?i)(?:chief complaint\s*:|___ complaint\s*:|chief\s+___\s*:)"
-COMPLAINT_END = r"(?i)(?:\n\s*\.?\s*\n|\n[A-Z][A-Za-z ]+:)"
-PREVIOUS_HEADERS = (
-    r"(?i)(?:___ Disposition:|Discharge Disposition:|Facility:|___:\nHome|___:\nHome with Service)"
+COMPLAINT_HEADERS = [r"chief complaint\s*:", r"___ complaint\s*:", r"chief\s+___\s*:"]
+COMPLAINT_END = r"(?i)\n(?:\s*\.?\s*\n|[A-Z][A-Za-z ]+:)"
+PREVIOUS_HEADERS = [
+    "___ Disposition:", "Discharge Disposition:", "Facility:", r"___:\nHome", r"___:\nHome with Service",
+]
+TARGET_HEADERS = [
+    "Discharge Diagnosis:", "___ Diagnosis:", "Discharge ___:", "Current Diagnoses:",
+    "___ischarge Diagnosis:", "___:",
+]
+NEXT_HEADERS = ["Discharge Condition:", "___ Condition:", "CONDITION:"]
+
+# The characters counted as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-TARGET_HEADERS = (
-    r"(?i)(?:Discharge Diagnosis:|___ Diagnosis:|Discharge ___:|Current Diagnoses:"
-    r"|___ischarge Diagnosis:|___:)"
-)
-NEXT_HEADERS = r"(?i)(?:Discharge Condition:|___ Condition:|CONDITION:)"
+
+
+def any_header(headers: list[str]) -> str:
+    """Case-insensitive alternation; the first characters are tested together first."""
+    first = "".join(dict.fromkeys(h[0].lower() for h in headers))
+    return f"(?i)(?=[{first}])(?:{'|'.join(headers)})"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def none_if_empty(text: Column) -> Column:
@@ -43,7 +55,7 @@ def section(text: Column, header: str, end: str) -> Column:
 
 def chief_complaint(note: Column) -> Column:
     """The complaint section, stripped; null where absent or empty."""
-    return strip(none_if_empty(section(note, COMPLAINT_HEADERS, COMPLAINT_END)))
+    return strip(none_if_empty(section(note, any_header(COMPLAINT_HEADERS), COMPLAINT_END)))
 
 
 def last_section(text: Column, delimiter: str) -> Column:
@@ -136,7 +148,8 @@ def primary_diagnosis(note: Column, rules: LineRules) -> Column:
         trimmed = F.regexp_replace(F.regexp_replace(joined, r"^[.\-):+=]+", ""), r":+\z", "")
         return none_if_empty(strip(trimmed))
 
-    block = section(last_section(note, PREVIOUS_HEADERS), TARGET_HEADERS, NEXT_HEADERS)
+    tail = last_section(note, any_header(PREVIOUS_HEADERS))
+    block = section(tail, any_header(TARGET_HEADERS), any_header(NEXT_HEADERS))
     return let(block, lambda b: F.when(b.isNotNull(), cleaned(b)))
 
 
