@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 
 
 def none_if_empty(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def section(text: Column, header: str, end: str) -> Column:

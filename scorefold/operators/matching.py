@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from scorefold.functions.binding import let
 from scorefold.functions.scoring import match_category, position_of
 from scorefold.functions.text import first_pattern, matching_keys
 from scorefold.session import rows_if_small
@@ -41,10 +42,8 @@ def _matches_in_row(rows: list[Row], group: str, codes: str) -> Column:
     for name, patterns in by_group.items():
         found = F.when(F.col(group) == name, tried(patterns)).otherwise(found)
     placed = F.transform(found, lambda d, i: F.struct(i.alias("code_pos"), d.alias("disease")))
-    return F.nullif(
-        F.filter(placed, lambda m: m["disease"].isNotNull()),
-        F.array().cast("array<struct<code_pos:int,disease:string>>"),
-    )
+    kept = F.filter(placed, lambda m: m["disease"].isNotNull())
+    return let(kept, lambda m: F.when(F.size(m) > 0, m))
 
 
 def _matches_joined(df: DataFrame, diseases: DataFrame, keys: list[str], group: str, codes: str) -> DataFrame:
