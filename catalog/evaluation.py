@@ -522,3 +522,16 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
         "system", "metric", F.round("value", 2).alias("published"), (F.col("metric") == "f1").alias("asserted")
     )
     return RP.audit(per_seed.select("system", F.inline(cells)), published, ["system"])
+
+
+@query(
+    "j13_align_to_reference",
+    f"""WITH {CODE_ROWS}, {LISTS}, ref AS (SELECT id, gold FROM lists WHERE system = 'A')
+    SELECT l.system, l.id, len(list_intersect(l.pred, ref.gold)) AS n_common, len(ref.gold) AS n_gold FROM lists l JOIN ref USING (id)""",
+)
+def align_to_reference(spark: SparkSession, d: str) -> DataFrame:
+    rows = answer_lists(spark, d)
+    aligned = SM.align_to_reference(rows, rows.filter("system = 'A'"), "id")
+    return aligned.select(
+        "system", "id", F.size(F.array_intersect("pred", "gold")).cast("bigint").alias("n_common"), F.size("gold").cast("bigint").alias("n_gold")
+    )

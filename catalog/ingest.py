@@ -198,6 +198,6 @@ def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
     return Q.repeated_ids(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("j16_u01_unmatched", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("j08_qc_unmatched", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unmatched(spark: SparkSession, d: str) -> DataFrame:
     return Q.unmatched(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), ["doc_id"])

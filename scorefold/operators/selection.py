@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorefold.functions import parsing as P
+from scorefold.functions.binding import let
 from scorefold.functions.codes import short_codes
-from scorefold.functions.scoring import harmonic, norm_dot, ratio
+from scorefold.functions.scoring import harmonic, norm_dot, ratio, set_f1
+from scorefold.session import rows_if_small
 
 # Acceptance thresholds per stage, the number of rounds and the
 # digits of a row score.
@@ -118,6 +120,7 @@ def round_means(rounds: DataFrame, by: list[str]) -> DataFrame:
 
 # --- scoring one stage ------------------------------------------------------
 
+MAX_LABEL_SPACE = 50_000
 CANDIDATE_KEYS = ["hadm_id", "chief_complaint", "model", "stage", "round", "choice_idx"]
 
 
@@ -126,11 +129,13 @@ def score_findings(candidates: DataFrame, schemes: DataFrame, gold: DataFrame) -
 
     ``schemes``: (chief_complaint, features); ``gold``: (hadm_id, disease_vector).
     """
-    rows = candidates.join(schemes, "chief_complaint").join(gold.select("hadm_id", "disease_vector"), "hadm_id")
-    found = P.extract_findings(F.col("text"), F.col("features"))
-    vector = P.finding_vector(found, F.col("features"))
-    score = F.round(norm_dot(vector, F.col("disease_vector")), SCORE_DIGITS)
-    return rows.select(*CANDIDATE_KEYS, "text", score.alias("score"))
+    rows = candidates.join(schemes, "chief_complaint")
+    vector = P.finding_vector(P.extract_findings(F.col("text"), F.col("features")), F.col("features"))
+    parsed = rows.select(*CANDIDATE_KEYS, vector.alias("vector"))
+    score = F.round(norm_dot(F.col("vector"), F.col("disease_vector")), SCORE_DIGITS)
+    return parsed.join(gold.select("hadm_id", "disease_vector"), "hadm_id").select(
+        *CANDIDATE_KEYS, score.alias("score")
+    )
 
 
 def score_diagnoses(candidates: DataFrame, labels: DataFrame, gold: DataFrame) -> DataFrame:
@@ -141,43 +146,64 @@ def score_diagnoses(candidates: DataFrame, labels: DataFrame, gold: DataFrame) -
     """
     parsed = candidates.select(*CANDIDATE_KEYS, P.extract_diagnoses(F.col("text")).alias("answer"))
     named = (
-        parsed.join(gold.select("hadm_id", "disease"), "hadm_id")
-        .select(*CANDIDATE_KEYS, "disease", F.posexplode("answer.name").alias("pos", "name"))
-        .join(labels, ["chief_complaint", "name"], "left")
+        parsed.select(*CANDIDATE_KEYS, F.posexplode_outer("answer.name").alias("pos", "name"))
+        .join(gold.select("hadm_id", "disease"), "hadm_id")
+        .join(labels.select("chief_complaint", "name", "label"), ["chief_complaint", "name"], "left")
     )
     place = named.groupBy(*CANDIDATE_KEYS).agg(
-        F.min(F.when(F.col("label") == F.col("disease"), F.col("pos") + 1)).alias("place")
+        F.min(F.when(F.col("label") == F.col("disease"), F.col("pos") + 1)).alias("place"),
+        F.count("name").alias("n"),
     )
-    scored = place.select(*CANDIDATE_KEYS, ratio(F.lit(1.0), F.col("place")).alias("score"))
-    return candidates.select(*CANDIDATE_KEYS, "text").join(scored, CANDIDATE_KEYS, "left")
+    score = F.when(F.col("n") > 0, ratio(F.lit(1.0), F.col("place")))
+    return place.select(*CANDIDATE_KEYS, score.alias("score"))
 
 
-def score_codes(candidates: DataFrame, label_space: DataFrame, gold: DataFrame) -> DataFrame:
+def score_codes(candidates: DataFrame, label_space: DataFrame, gold: DataFrame,
+                max_label_space: int = MAX_LABEL_SPACE) -> DataFrame:
     """Stage 4: F1 of the short predicted codes inside the label space.
 
-    ``label_space``: (code); ``gold``: (hadm_id, ICD_CODES).
+    ``label_space``: (code); ``gold``: (hadm_id, ICD_CODES). A label space that
+    a bounded fetch shows to be small is tested in place; a larger one is
+    joined to the exploded codes.
     """
-    rows = candidates.join(gold.select("hadm_id", short_codes("ICD_CODES").alias("gold")), "hadm_id")
-    parsed = rows.select(*CANDIDATE_KEYS, "gold", P.extract_codes(F.col("text")).alias("answer"))
-    codes = parsed.select(
-        *CANDIDATE_KEYS, "gold", F.explode(short_codes("answer.icd_code")).alias("code")
-    ).join(label_space.select("code").distinct().withColumn("known", F.lit(True)), "code", "left")
+    parsed = candidates.select(
+        *CANDIDATE_KEYS, short_codes(P.extract_codes(F.col("text"))["icd_code"]).alias("pred")
+    )
+    rows = parsed.join(gold.select("hadm_id", short_codes("ICD_CODES").alias("gold")), "hadm_id")
+    space = label_space.select("code").distinct()
+    small = rows_if_small(space, max_label_space)
+    if small is not None:
+        known = F.filter("pred", lambda c: c.isin([r["code"] for r in small]))
+        score = let(known, lambda k: set_f1(k, F.col("gold")))
+        return rows.select(*CANDIDATE_KEYS, F.round(score, SCORE_DIGITS).alias("score"))
+    codes = rows.select(*CANDIDATE_KEYS, "gold", F.explode_outer("pred").alias("code")).join(
+        space.withColumn("known", F.lit(True)), "code", "left"
+    )
     known = F.coalesce(F.col("known"), F.lit(False))
     sums = codes.groupBy(*CANDIDATE_KEYS).agg(
-        F.count_if(known).alias("n_pred"),
+        F.count("code").alias("n_codes"), F.count_if(known).alias("n_pred"),
         F.count_if(known & F.array_contains("gold", F.col("code"))).alias("n_hit"),
         F.max(F.size("gold")).alias("n_gold"),
     )
     p, r = ratio(F.col("n_hit"), F.col("n_pred")), ratio(F.col("n_hit"), F.col("n_gold"))
-    scored = sums.select(*CANDIDATE_KEYS, F.round(harmonic(p, r), SCORE_DIGITS).alias("score"))
-    return candidates.select(*CANDIDATE_KEYS, "text").join(scored, CANDIDATE_KEYS, "left")
+    score = F.when(F.col("n_codes") > 0, F.round(harmonic(p, r), SCORE_DIGITS))
+    return sums.select(*CANDIDATE_KEYS, score.alias("score"))
 
 
 def score_candidates(candidates: DataFrame, schemes: DataFrame, labels: DataFrame,
                      label_space: DataFrame, gold: DataFrame) -> DataFrame:
-    """All stages; a candidate without a valid answer has a null score."""
+    """All stages; a candidate without a valid answer has a null score.
+
+    The result holds keys and scores only: answers are parsed where they are
+    read, and :func:`with_text` fetches the long texts of the winners.
+    """
     return (
         score_findings(candidates.filter("stage = 1"), schemes, gold)
         .unionByName(score_diagnoses(candidates.filter("stage IN (2, 3)"), labels, gold))
         .unionByName(score_codes(candidates.filter("stage = 4"), label_space, gold))
     )
+
+
+def with_text(best: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Adds the response text to selected candidates."""
+    return best.join(candidates.select(*CANDIDATE_KEYS, "text"), CANDIDATE_KEYS)

@@ -313,6 +313,11 @@ def score_systems(df: DataFrame, by: list[str], gold: str = "gold", pred: str =
     )
 
 
+def align_to_reference(systems: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """Every system's rows for the reference ids, with the gold list of the reference."""
+    return systems.drop("gold").join(reference.select(key, "gold"), key)
+
+
 def code_lists(rows: DataFrame, keys: list[str], code: str, gold_order: Column, pred_order: Column,
                is_gold: Column, is_pred: Column) -> DataFrame:
     """Ordered gold and predicted lists per key from one row per (key, code).
