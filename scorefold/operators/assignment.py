@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from scorefold.session import broadcast_if_small, cut_lineage
+
 ID = ["subject_id", "hadm_id"]
 
 
@@ -22,8 +24,9 @@ def assign(index: DataFrame, n_models: int | None = None) -> DataFrame:
 
     Ids without a complaint common to all models are left out.
     """
-    common = common_groups(index, n_models)
-    sizes = common.groupBy("cc").agg(F.count("*").alias("size"))
+    # Ids only, written once: the sizes, the choice and every model's merge read it.
+    common = cut_lineage(common_groups(index, n_models), "common")
+    sizes = broadcast_if_small(common.groupBy("cc").agg(F.count("*").alias("size")))
     choice = F.min(F.struct("size", "cc"))
     return common.join(sizes, "cc").groupBy(*ID).agg(choice.alias("c")).select(*ID, F.col("c.cc").alias("cc"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from scorefold.functions.binding import let
 from scorefold.functions.scoring import match_category, position_of
 from scorefold.functions.text import first_pattern, matching_keys
-from scorefold.session import rows_if_small
+from scorefold.session import broadcast_if_small, rows_if_small
 
 MAX_INLINE_PATTERNS = 2_000
 
@@ -124,4 +124,4 @@ def add_complaints(df: DataFrame, synonyms: dict[str, list[str]], systems: dict[
 def add_disease_vector(df: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:
     """Feature vector of the assigned disease of the row's group."""
     vectors = diseases.select(group, "disease", F.col("features").alias("disease_vector"))
-    return df.join(vectors, [group, "disease"], "left")
+    return df.join(broadcast_if_small(vectors), [group, "disease"], "left")

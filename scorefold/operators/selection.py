@@ -8,7 +8,7 @@ from scorefold.functions import parsing as P
 from scorefold.functions.binding import let
 from scorefold.functions.codes import short_codes
 from scorefold.functions.scoring import harmonic, norm_dot, ratio, set_f1
-from scorefold.session import rows_if_small
+from scorefold.session import broadcast_if_small, rows_if_small
 
 # Acceptance thresholds per stage, the number of rounds and the
 # digits of a row score.
@@ -129,7 +129,7 @@ def score_findings(candidates: DataFrame, schemes: DataFrame, gold: DataFrame) -
 
     ``schemes``: (chief_complaint, features); ``gold``: (hadm_id, disease_vector).
     """
-    rows = candidates.join(schemes, "chief_complaint")
+    rows = candidates.join(broadcast_if_small(schemes), "chief_complaint")
     vector = P.finding_vector(P.extract_findings(F.col("text"), F.col("features")), F.col("features"))
     parsed = rows.select(*CANDIDATE_KEYS, vector.alias("vector"))
     score = F.round(norm_dot(F.col("vector"), F.col("disease_vector")), SCORE_DIGITS)

@@ -11,6 +11,7 @@ from scorefold.functions.text import reasoning, strip_newlines
 from scorefold.operators.filters import with_any
 from scorefold.operators.selection import THRESHOLDS, best_generator, keep_first
 from scorefold.schemas import CODE_LIST, DIAGNOSIS_LIST, FINDING_MAP, INSTRUCTION_COLUMNS
+from scorefold.session import broadcast_if_small
 
 STAGES = (1, 2, 3, 4)
 EVAL_SPLITS = ("dev", "val")
@@ -186,8 +187,8 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     note = keep_first(combined, ["hadm_id"], [first])
     prepared = (
         note.withColumn("chief_complaint", F.col("`Chief Complaint`"))
-        .join(schemes, "chief_complaint", "left")
-        .join(numbered_vocabulary(labels), "chief_complaint", "left")
+        .join(broadcast_if_small(schemes), "chief_complaint", "left")
+        .join(broadcast_if_small(numbered_vocabulary(labels)), "chief_complaint", "left")
         .withColumn("labs_text", F.when(F.col("labs") != "None", F.col("labs")).otherwise(F.lit("")))
         .withColumn("labs_text", F.coalesce("labs_text", F.lit("")))
     )
@@ -237,7 +238,8 @@ def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, te
     answer = {n: P.parse_answer(F.col(f"v{n}_json"), t) for n, t in ((1, FINDING_MAP), (2, DIAGNOSIS_LIST), (3, DIAGNOSIS_LIST))}
     has = set(patients.columns)
     rows = patients.withColumn("chief_complaint", F.col("`Chief Complaint`"))
-    rows = rows.join(schemes, "chief_complaint", "left").join(numbered_vocabulary(labels), "chief_complaint", "left")
+    rows = rows.join(broadcast_if_small(schemes), "chief_complaint", "left")
+    rows = rows.join(broadcast_if_small(numbered_vocabulary(labels)), "chief_complaint", "left")
     rows = rows.withColumn("template", template_for(templates, F.lit(stage), F.col("chief_complaint")))
     findings = R.findings_text(answer[1]) if "v1_json" in has else F.lit(R.NO_FINDINGS)
     second = answer[2] if "v2_json" in has else F.lit(None).cast(DIAGNOSIS_LIST)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -57,3 +57,11 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """A broadcast hint for a dictionary that a bounded count shows to be small.
+
+    A larger table is left to Spark's own choice of join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
