@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorefold.functions.text import LineRules
+from scorefold.operators import selection as SE
 from scorefold.operators.selection import THRESHOLDS
 from scorefold.plans import cohort as CO, instructions as I, merge as MG
 from scorefold.session import shared_dir
@@ -169,3 +170,24 @@ def test_incremental_evaluation(spark, tmp_path):
 
     assert arrive([("a", ["x", "y"], ["x", "z"])]) == {"a": (1, 1, 1, 1)}
     assert arrive([("a", ["x"], ["x"]), ("b", ["q"], [])]) == {"a": (2, 1, 1, 2), "b": (0, 0, 1, 1)}
+
+
+def test_evaluated_runs_are_skipped(spark, tmp_path):
+    df = spark.createDataFrame([("a", ["x"], ["x"]), ("b", ["x"], [])], "collection string, gold array<string>, pred array<string>")
+    inbox, state = str(tmp_path / "in"), str(tmp_path / "state")
+    df.write.parquet(inbox)
+    INC.evaluate_stream(INC.prediction_stream(spark, inbox, df.schema), state, done=df.filter("collection = 'a'"))
+    assert rows(INC.scores_so_far(spark, state), "collection", "fn") == [("b", 1)]
+
+
+def test_large_label_space_is_joined(spark):
+    answer = json.dumps([{"icd_code": f"A0{i}", "reason": "r"} for i in range(4)])
+    data = [(1, "c", "m", 4, 1, 0, answer), (1, "c", "m", 4, 1, 1, "nothing")]
+    cands = spark.createDataFrame(data, "hadm_id long, chief_complaint string, model string, stage int, round int, choice_idx int, text string")
+    gold = spark.createDataFrame([(1, ["A001", "A013", "B1"])], "hadm_id long, ICD_CODES array<string>")
+    space = spark.createDataFrame([("A00",), ("A01",), ("A02",), ("B1",)], "code string")
+    for bound in (100, 0):
+        scores = SE.score_codes(cands, space, gold, bound)
+        assert rows(scores, "choice_idx", "score") == [(0, 0.667), (1, None)]
+    best = SE.best_choice(scores, ["hadm_id", "stage", "round"])
+    assert rows(SE.with_text(best, cands), "choice_idx", "text") == [(0, answer)]
