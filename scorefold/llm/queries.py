@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from scorefold.llm import bpe, exact_dedup, packing, secret_scan  # noqa: F401
+from scorefold.llm import bpe, exact_dedup, packing, secret_scan, toxicity  # noqa: F401
 from scorefold.llm.registry import QUERIES
 
 __all__ = ["QUERIES"]
