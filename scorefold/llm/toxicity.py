@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorefold.llm.common import bounded, filled, held_out, table, words
+from scorefold.llm.labelled import newton, training_rows
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
 
 DECAY = 0.6
 SPAN = 6  # letters between the first and the last of a subsequence, at most
 LETTERS = 48
-MAX_TRAIN = 20_000  # labelled rows used for fitting
 MAX_WORDS = 20_000  # example words
 LANDMARKS = 256
 LONG = 24  # a longer word is cut into overlapping windows of this size
@@ -93,28 +93,6 @@ def products(strings: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _newton(X: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, loss: str, rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the constant) of a squared-hinge or logistic fit with a ridge."""
-    X = np.column_stack([X, np.ones(len(X))])
-    w, penalty = np.zeros(X.shape[1]), np.full(X.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(rounds):
-        margin = y * (X @ w)
-        if loss == "hinge":
-            active = margin < 1
-            g = X.T @ (weight * np.where(active, margin - 1, 0) * y) + penalty * w
-            h = (X * (weight * active)[:, None]).T @ X
-        else:
-            p = 1 / (1 + np.exp(np.clip(margin, -30, 30)))
-            g = -X.T @ (weight * p * y) + penalty * w
-            h = (X * (weight * p * (1 - p))[:, None]).T @ X
-        step = np.linalg.solve(h + np.diag(penalty + 1e-9), g)
-        w -= step
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
-
-
 def fit_words(positive: list[str], negative: list[str]) -> np.ndarray:
     """One weight for each subsequence and, last, the constant."""
     if not positive or not negative:
@@ -132,7 +110,7 @@ def fit_words(positive: list[str], negative: list[str]) -> np.ndarray:
     X = products(sample, mapping.astype(np.float32))
     y = np.where(np.arange(len(sample)) < len(positive), 1.0, -1.0)
     weight = np.where(y > 0, 20.0 / len(positive), 20.0 / (len(sample) - len(positive)))
-    w = _newton(X, y, weight, 1e-3, "hinge")
+    w = newton(X, y, weight, 1e-3, "hinge")
     return np.append(mapping @ w[:-1], w[-1])
 
 
@@ -220,15 +198,6 @@ def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]
     return rows.mapInArrow(run, ddl + ", top double, past double, share double")
 
 
-def training_rows(df: DataFrame, labels: DataFrame, label: str, text: str, key: str, folds: int) -> DataFrame:
-    """At most MAX_TRAIN labelled rows outside the held-out fold, chosen by the hash of the key: k, text, y."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key), folds))
-    known = known.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
-    known = known.orderBy(F.xxhash64("k")).limit(MAX_TRAIN)
-    # The labels are at most MAX_TRAIN rows of two numbers.
-    return cut_lineage(df.select(F.col(key).alias("k"), filled(text).alias("text")).join(F.broadcast(known), "k").repartition(32), "training")
-
-
 def _text_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct words of each text, with a number that near copies of the text mostly share."""
     for part in parts:
@@ -278,7 +247,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "tex
     if seen.y.nunique() < 2:
         return Model(weights, np.array([0.0, 0.0, 0.0, -3.0]))
     X, y = seen[["top", "past", "share"]].to_numpy(float), np.where(seen.y == 1, 1.0, -1.0)
-    return Model(weights, _newton(X, y, np.ones(len(y)), 1e-2, "logistic"))
+    return Model(weights, newton(X, y, np.ones(len(y)), 1e-2, "logistic"))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
