@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorefold.llm.common import Spans, bounded, buffers, ranges, spaced_words, table, words
 from scorefold.llm.registry import query
 
-GROUP_BYTES = 12 << 20  # texts that share one index of distinct pieces
+GROUP_BYTES = 6 << 20  # texts that share one index of distinct pieces
 ODD = re.compile(rb"[\x00-\x1f\xc2\xe1-\xe3]|.[ ]|<\|")  # may hold white space inside, or a special token
 NONE = np.iinfo(np.int32).max
 
@@ -232,7 +232,7 @@ class Distinct:
 def encoded(batches: Iterator[pa.RecordBatch], column: str, vocab: Vocabulary, limit: int = GROUP_BYTES):
     """For each slice of the batches: the slice, the ids of all its texts, and where each text's ids begin.
 
-    Slices hold about 2 MB; those of about ``limit`` bytes share one encoding of
+    Slices hold about 1 MB; those of about ``limit`` bytes share one encoding of
     their distinct chunks. A longer text is one slice.
     """
 
@@ -244,7 +244,7 @@ def encoded(batches: Iterator[pa.RecordBatch], column: str, vocab: Vocabulary, l
             yield batch, flat, np.concatenate([[0], np.cumsum(sizes)])[first]
 
     held, distinct, size = [], Distinct(), 0
-    for batch in bounded(batches, column, 2 << 20):
+    for batch in bounded(batches, column, 1 << 20):
         spans = vocab.spans(batch.column(column))
         held.append((batch, distinct.codes(spans), spans.first))
         size += len(spans.data)
@@ -283,7 +283,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in bounded(batches, ids, 2 << 20):
+        for batch in bounded(batches, ids, 1 << 20):
             raw, offsets = buffers(batch.column(at))
             tokens = raw.view("<u4")
             sizes = vocab.token_sizes[tokens]
