@@ -72,24 +72,38 @@ def _scale(size: int) -> float:
     return float(np.sqrt(sum(w * w for *_, w in _steps(size)))) or 1.0
 
 
-def features(strings: list[str]) -> np.ndarray:
-    """Dense subsequence counts of a few words, scaled by length."""
-    out = np.zeros((len(strings), LETTERS**3), np.float32)
+def _occurrences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(positions in the list, subsequence of each, its weight) for every pick of three letters."""
     for which, codes in letter_codes(strings):
         scale = _scale(codes.shape[1])
         for i, j, k, w in _steps(codes.shape[1]):
-            np.add.at(out, (which, (codes[:, i] * LETTERS + codes[:, j]) * LETTERS + codes[:, k]), w / scale)
+            yield which, (codes[:, i] * LETTERS + codes[:, j]) * LETTERS + codes[:, k], w / scale
+
+
+def columns_of(strings: list[str]) -> np.ndarray:
+    """A column number for each subsequence in the strings, 0 for all others."""
+    columns = np.zeros(LETTERS**3, np.int32)
+    for _, found, _ in _occurrences(strings):
+        columns[found] = 1
+    used = np.flatnonzero(columns)
+    columns[used] = np.arange(1, len(used) + 1)
+    return columns
+
+
+def features(strings: list[str], columns: np.ndarray) -> np.ndarray:
+    """Dense subsequence counts of a few words, scaled by length; column 0 stays empty."""
+    out = np.zeros((len(strings), columns.max() + 1), np.float32)
+    for which, found, w in _occurrences(strings):
+        np.add.at(out, (which, columns[found]), w)
+    out[:, 0] = 0
     return out
 
 
-def products(strings: list[str], weights: np.ndarray) -> np.ndarray:
-    """Inner product of each word's subsequence counts with the weights (LETTERS^3 or LETTERS^3 x m)."""
-    out = np.zeros((len(strings), *weights.shape[1:]), np.float64)
-    for which, codes in letter_codes(strings):
-        total = np.zeros((len(which), *weights.shape[1:]))
-        for i, j, k, w in _steps(codes.shape[1]):
-            total += w * weights[(codes[:, i] * LETTERS + codes[:, j]) * LETTERS + codes[:, k]]
-        out[which] = total / _scale(codes.shape[1])
+def products(strings: list[str], weights: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
+    """Inner product of each word's subsequence counts with weights by subsequence, or by column."""
+    out = np.zeros((len(strings), *weights.shape[1:]), np.float32)
+    for which, found, w in _occurrences(strings):
+        out[which] += np.float32(w) * weights[found if columns is None else columns[found]]
     return out
 
 
@@ -97,21 +111,25 @@ def fit_words(positive: list[str], negative: list[str]) -> np.ndarray:
     """One weight for each subsequence and, last, the constant."""
     if not positive or not negative:
         return np.append(np.zeros(LETTERS**3), -1.0)
-    near = features(positive[: LANDMARKS // 2])
+    heads = positive[: LANDMARKS // 2]
+    columns = columns_of(heads)
     # Clean words that look most like toxic ones are landmarks and examples before any others.
-    likeness = products(negative, near.T.copy()).max(axis=1)
+    likeness = products(negative, features(heads, columns).T.copy(), columns).max(axis=1)
     negative = [negative[k] for k in np.argsort(-likeness, kind="stable")]
     spread = negative[: LANDMARKS // 4] + negative[:: max(1, len(negative) // (LANDMARKS // 4))][: LANDMARKS // 4]
-    basis = np.concatenate([near, features(spread)])
-    values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
+    columns = columns_of(heads + spread)
+    basis = features(heads + spread, columns).astype(float)
+    values, vectors = np.linalg.eigh(basis @ basis.T)
     good = values > 1e-6 * values[-1]
-    mapping = basis.T.astype(float) @ (vectors[:, good] / np.sqrt(values[good]))  # subsequences x dimensions
+    mapping = basis.T @ (vectors[:, good] / np.sqrt(values[good]))  # columns x dimensions
     sample = positive + negative[: MAX_WORDS // 2] + negative[MAX_WORDS // 2 :: 4]
-    X = products(sample, mapping.astype(np.float32))
+    X = products(sample, mapping.astype(np.float32), columns)
     y = np.where(np.arange(len(sample)) < len(positive), 1.0, -1.0)
     weight = np.where(y > 0, 20.0 / len(positive), 20.0 / (len(sample) - len(positive)))
     w = newton(X, y, weight, 1e-3, "hinge")
-    return np.append(mapping @ w[:-1], w[-1])
+    full = (mapping @ w[:-1])[columns]
+    full[columns == 0] = 0
+    return np.append(full, w[-1])
 
 
 @dataclass
