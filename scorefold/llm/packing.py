@@ -146,9 +146,14 @@ def pack_documents(df: DataFrame, path: str, text: str = "text", key: str = "doc
     return pack(cut_lineage(pieces(df, path, text=text, key=key), "pieces"), key)
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file used by the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op2_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 4096 tokens."""
-    import public_tokenizers
-
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())

@@ -113,10 +113,11 @@ def scan(df: DataFrame, ledger: str | None = None, text: str = "text", key: str
     )
 
 
-def redact(df: DataFrame, ledger: str | None = None, text: str = "text", key: str = "doc_id", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(df: DataFrame, ledger: str | None = None, text: str = "text", key: str = "doc_id", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES, size: str | None = None) -> DataFrame:
     """All columns; every span of a secret in the text becomes ``mark``. Texts without secrets stay as they are.
 
-    Overlapping spans become one mark. Null text stays null.
+    Overlapping spans become one mark. Null text stays null. A column named as
+    ``size`` gets the length of each text that was changed.
     """
     held = update_ledger(df, ledger or shared_dir(df.sparkSession, "ledger"), text, key, rules)
     held = held.where((F.col("rules") == rules_version(rules)) & (F.size("spans") > 0)).select(
@@ -135,7 +136,11 @@ def redact(df: DataFrame, ledger: str | None = None, text: str = "text", key: st
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cleaned = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
     joined = df.withColumn("__blob", blob_of(text)).join(held, "__blob", "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), body).otherwise(cleaned)).select(*[F.col(f"`{c}`") for c in df.columns])
+    changed = F.col("__spans").isNotNull()
+    out = joined.withColumn(text, F.when(changed, cleaned).otherwise(body))
+    if size:
+        out = out.withColumn(size, F.when(changed, F.length(text).cast(df.schema[size].dataType)).otherwise(F.col(size)))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def joined_spans(spans: Column) -> Column:

@@ -184,8 +184,8 @@ def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known.clear()
-        for batch in bounded(batches, "text", 4 << 20):
-            spans = words(batch.column("text"))
+        for batch in bounded(batches, "__text", 4 << 20):
+            spans = words(batch.column("__text"))
             codes, names = pd.factorize(spans.hashes(fold_case=True))
             n = batch.num_rows
             top, past = np.full(n, -2.0), np.zeros(n)
@@ -208,12 +208,12 @@ def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]
                     past[row] += m > 0
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(top), pa.array(np.log1p(past)), pa.array(past / np.maximum(counts, 1))],
-                [*batch.schema.names[:-1], "top", "past", "share"],
+                [*batch.schema.names[:-1], "__top", "__past", "__share"],
             )
 
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], filled(text).alias("text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], filled(text).alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, ddl + ", top double, past double, share double")
+    return rows.mapInArrow(run, ddl + ", __top double, __past double, __share double")
 
 
 def _text_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,20 +264,26 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "tex
     seen = text_features(rows, weights, "text", ["y"]).toPandas()
     if seen.y.nunique() < 2:
         return Model(weights, np.array([0.0, 0.0, 0.0, -3.0]))
-    X, y = seen[["top", "past", "share"]].to_numpy(float), np.where(seen.y == 1, 1.0, -1.0)
+    X, y = seen[["__top", "__past", "__share"]].to_numpy(float), np.where(seen.y == 1, 1.0, -1.0)
     return Model(weights, newton(X, y, np.ones(len(y)), 1e-2, "logistic"))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all but the text if not named) and score, from 0 to 1.
+def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
+    """The kept columns (all but the text if not named) and the score, from 0 to 1.
 
     Null counts as the empty text; an empty text has a score too. Rows that repeat
     stay rows of their own.
     """
     a, b, c, d = [float(x) for x in model.texts]
     rows = text_features(df, model.words, text, [c for c in df.columns if c != text] if keep is None else keep)
-    logit = a * F.col("top") + b * F.col("past") + c * F.col("share") + d
-    return rows.withColumn("score", 1 / (1 + F.exp(-logit))).drop("top", "past", "share")
+    logit = a * F.col("__top") + b * F.col("__past") + c * F.col("__share") + d
+    return rows.withColumn(to, 1 / (1 + F.exp(-logit))).drop("__top", "__past", "__share")
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows whose text scores less than ``below``, all columns unchanged."""
+    scored = score(df, model, text, df.columns, "__score")
+    return scored.where(F.col("__score") < below).drop("__score")
 
 
 @query("op7_toxicity")
