@@ -11,7 +11,7 @@ documents share weigh clearly less, and copies of one text do not tear each othe
 
 In a bucket every text is compared with one leader, another one in each band, so a bucket
 of any size costs one pair a row. Texts that do not match it form a smaller bucket with a
-leader of its own, until none is left. Equal texts are one class before all this.
+leader of its own, until what is left makes no more pairs than a few a text. Equal texts are one class before all this.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ BANDS, ROWS = 9, 3
 DF_BITS = 22
 DF_BLOCK_BITS = 14
 PRIOR = 0.001
-SMALL_BUCKET = 64  # what is left of a bucket is compared pair by pair below this size
+PAIRS_PER_TEXT = 4  # what is left is compared pair by pair once it makes no more pairs than this
 SLICE = 1 << 20
 
 _RNG = np.random.default_rng(5)
@@ -204,11 +204,10 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unlinked(stars: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the stars whose two ends are in different components of the links, and the components."""
-    member = cut_lineage(components(links), "members")
+def _apart(stars: DataFrame, member: DataFrame) -> DataFrame:
+    """Rows of the stars whose two ends are in different components."""
     left = stars.join(member.toDF("id", "ic"), "id", "left").join(member.toDF("leader", "lc"), "leader", "left")
-    return left.where(F.coalesce("ic", "id") != F.coalesce("lc", "leader")).drop("ic", "lc"), member
+    return left.where(F.coalesce("ic", "id") != F.coalesce("lc", "leader")).drop("ic", "lc")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -245,22 +244,25 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float
     shared = stars.groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = shared.groupBy("id").agg(F.max_by("leader", F.struct("n", F.xxhash64("leader"))).alias("leader"))
     links = cut_lineage(verified(first.toDF("a", "b"), texts, idf, least), "links")
+    member = cut_lineage(components(links), "members")
+    texts_in_all = reps.count()
     while True:
-        apart, _ = _unlinked(stars, links)
-        more = verified(apart.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, idf, least)
-        links = cut_lineage(links.unionByName(more), "links")
-        apart, member = _unlinked(stars, links)
-        left = cut_lineage(apart.select("band", "bucket", "id"), "left")
+        apart = _apart(stars, member)
+        more = cut_lineage(verified(apart.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, idf, least), "links")
+        links = links.unionByName(more)
+        member = cut_lineage(components(links), "members")
+        left = cut_lineage(_apart(stars, member).select("band", "bucket", "id"), "left")
         sizes = left.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-        largest = sizes.agg(F.max("n")).collect()[0][0] or 0
-        if largest <= SMALL_BUCKET:
+        pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1))).collect()[0][0] or 0
+        if pairs <= PAIRS_PER_TEXT * texts_in_all:
             break
         stars = _stars(left)
-    if largest:
+    if pairs:
         a, b = left.withColumnRenamed("id", "a"), left.withColumnRenamed("id", "b")
         rest = a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
-        links = cut_lineage(links.unionByName(verified(rest, texts, idf, least)), "links")
-        member = cut_lineage(components(links), "members")
+        more = cut_lineage(verified(rest, texts, idf, least), "links")
+        if more.limit(1).count():
+            member = cut_lineage(components(links.unionByName(more)), "members")
 
     named = reps.join(member, reps["id"] == member["node"], "left").select("s1", "s2", "id", F.coalesce("component", "id").alias("component"))
     # A key that stands in two texts joins their classes.
