@@ -41,14 +41,14 @@ ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(raw: bytes, kind: type) -> np.ndarray:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(data.reshape(width, len(data) // width).T).view(kind).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
