@@ -30,8 +30,8 @@ from scorefold.session import cut_lineage
 
 TOP = 5  # counts up to this are discounted by Good-Turing
 REST = 0.999
-BLOCK_BYTES = 16 << 20
-RANGE_TOKENS = 2_000_000  # tokens for each range of hashes
+BLOCK_BYTES = 8 << 20
+RANGE_TOKENS = 1_000_000  # tokens for each range of hashes
 FOLDS = 10
 END = np.uint64(0x5E2D58D8B3BCDEED)
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
