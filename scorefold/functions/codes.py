@@ -7,25 +7,27 @@ from pyspark.sql import Column, functions as F
 # The shape of one valid full code, without dots.
 FULL_CODE = r"^[A-Z]\d{2}[A-Z0-9]{0,4}$"
 
-# Three-character categories counted as chronic conditions,
-# as (letter, first, last) ranges.
-CHRONIC_RANGES = [
-    ("B", 18, 18), ("B", 20, 24),
-    ("C", 0, 96),
-    ("D", 50, 53), ("D", 63, 69),
-    ("E", 0, 3), ("E", 10, 11), ("E", 13, 14), ("E", 66, 66), ("E", 89, 89),
-    ("F", 10, 20), ("F", 22, 25), ("F", 28, 29), ("F", 31, 34),
-    ("G", 20, 20), ("G", 35, 35), ("G", 40, 41), ("G", 81, 83),
-    ("I", 5, 13), ("I", 15, 15), ("I", 25, 28), ("I", 34, 39), ("I", 42, 45),
-    ("I", 47, 50), ("I", 70, 71), ("I", 73, 73), ("I", 85, 85),
-    ("J", 40, 47), ("J", 60, 67),
-    ("K", 25, 28), ("K", 70, 74), ("K", 76, 76),
-    ("L", 94, 94),
-    ("M", 5, 6), ("M", 8, 8), ("M", 30, 36),
-    ("N", 18, 19), ("N", 25, 25),
-]
-
-CHRONIC = [f"{letter}{n:02d}" for letter, lo, hi in CHRONIC_RANGES for n in range(lo, hi + 1)]
+# Three-character categories counted as chronic conditions.
+CHRONIC = """
+    B18 B20 B21 B22 B23 B24
+    C00 C01 C02 C03 C04 C05 C06 C07 C08 C09 C10 C11 C12 C13 C14 C15 C16 C17 C18 C19
+    C20 C21 C22 C23 C24 C25 C26 C27 C28 C29 C30 C31 C32 C33 C34 C35 C36 C37 C38 C39
+    C40 C41 C42 C43 C44 C45 C46 C47 C48 C49 C50 C51 C52 C53 C54 C55 C56 C57 C58 C59
+    C60 C61 C62 C63 C64 C65 C66 C67 C68 C69 C70 C71 C72 C73 C74 C75 C76 C77 C78 C79
+    C80 C81 C82 C83 C84 C85 C86 C87 C88 C89 C90 C91 C92 C93 C94 C95 C96
+    D50 D51 D52 D53 D63 D64 D65 D66 D67 D68 D69
+    E00 E01 E02 E03 E10 E11 E13 E14 E66 E89
+    F10 F11 F12 F13 F14 F15 F16 F17 F18 F19 F20 F22 F23 F24 F25 F28 F29 F31 F32 F33
+    F34
+    G20 G35 G40 G41 G81 G82 G83
+    I05 I06 I07 I08 I09 I10 I11 I12 I13 I15 I25 I26 I27 I28 I34 I35 I36 I37 I38 I39
+    I42 I43 I44 I45 I47 I48 I49 I50 I70 I71 I73 I85
+    J40 J41 J42 J43 J44 J45 J46 J47 J60 J61 J62 J63 J64 J65 J66 J67
+    K25 K26 K27 K28 K70 K71 K72 K73 K74 K76
+    L94
+    M05 M06 M08 M30 M31 M32 M33 M34 M35 M36
+    N18 N19 N25
+""".split()
 
 
 def _col(c: Column | str) -> Column:

@@ -23,35 +23,52 @@ def none_if_blank(cell: Column) -> Column:
     return F.when(~F.trim(cell).isin(NULL_LIKE), cell)
 
 
+# A quoted string, with escapes.
+_QUOTED = r"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
+_MARK = "\x01"
+
+
 def json_text(cell: Column) -> Column:
-    """A printed Python value as JSON: bare None/True/False are replaced.
+    """A printed Python value as JSON; what stands inside quotes keeps its words.
 
-    Single quotes are left to the JSON reader, which accepts them.
+    Bare None, True and False are replaced, ``\\x..`` and ``\\U0000....`` escapes
+    become JSON escapes. Single quotes are left to the JSON reader.
     """
 
     def replaced(text: Column) -> Column:
         out = text
         for name, value in _LITERALS.items():
-            pattern = rf"(?<=[\[,:(]\s?){name}(?=\s*[\],}}])"
-            out = F.when(text.contains(name), F.regexp_replace(out, pattern, value)).otherwise(out)
-        return out
+            # Quoted strings and the bare word both get a mark; only after the word it does not follow a quote.
+            marked = F.regexp_replace(out, rf"({_QUOTED})|\b{name}\b", f"$1{_MARK}")
+            changed = F.replace(F.regexp_replace(marked, rf"(?<![\"']){_MARK}", value), F.lit(_MARK), F.lit(""))
+            out = F.when(text.contains(name), changed).otherwise(out)
+        short = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\(?:x|U000000)([0-9a-fA-F]{2})", r"$1\\u00$2")
+        return F.regexp_replace(short, r"(?<!\\)((?:\\\\)*)\\U0000([0-9a-fA-F]{4})", r"$1\\u$2")
 
     return let(none_if_blank(cell), replaced)
 
 
+def read_json(cell: Column, schema: str) -> Column:
+    """The cell as JSON; only where that fails as a printed Python value. Null where neither works."""
+    raw = none_if_blank(cell)
+    strict = F.from_json(raw, schema, {"mode": "PERMISSIVE"})
+    loose = F.from_json(json_text(cell), schema, {"allowBackslashEscapingAnyCharacter": "true"})
+    return F.coalesce(strict, loose)
+
+
 def parse_list(cell: Column) -> Column:
     """A list of strings; null-like and malformed cells give an empty list."""
-    return F.coalesce(F.from_json(json_text(cell), "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(read_json(cell, "array<string>"), F.array().cast("array<string>"))
 
 
 def parse_vector(cell: Column) -> Column:
     """A list of integers, null where the cell is null-like or malformed."""
-    return F.from_json(json_text(cell), "array<int>")
+    return read_json(cell, "array<int>")
 
 
 def parse_answer(cell: Column, schema: str) -> Column:
     """A stored answer as ``schema``, null where it is not usable."""
-    return F.from_json(json_text(cell), schema)
+    return read_json(cell, schema)
 
 
 def is_valid_cell(cell: Column) -> Column:
@@ -60,9 +77,16 @@ def is_valid_cell(cell: Column) -> Column:
 
 
 def _unquoted_field(text: Column, fields: tuple[str, ...]) -> Column:
-    """A required text field that was given as a number, list or object."""
+    """A required text field that was given as a number, list or object; values in quotes are not looked into."""
     names = "|".join(fields)
-    return text.rlike(rf"[\"'](?:{names})[\"']\s*:\s*[^\"'\s]")
+    # Names of fields keep their quotes and get a mark; other quoted strings become a mark.
+    marked = F.regexp_replace(text, rf"({_QUOTED}\s*:)|{_QUOTED}", f"$1{_MARK}")
+    return marked.rlike(rf"[\"'](?:{names})[\"']\s*:{_MARK}\s*[^{_MARK}\s]")
+
+
+def last_entry(found: Column, name: Column) -> Column:
+    """The value of a key in a parsed map; of a repeated key the last."""
+    return F.try_element_at(F.filter(F.map_entries(found), lambda e: e["key"] == name), F.lit(-1))["value"]
 
 
 def list_is_valid(parsed: Column, fields: tuple[str, str], sizes: tuple[int, int]) -> Column:
@@ -77,7 +101,7 @@ def findings_are_valid(parsed: Column, features: Column, low: int = -1, high: in
     def good(entry: Column) -> Column:
         return entry["value"].between(low, high) & entry["reasoning"].isNotNull()
 
-    entries = F.transform(features, lambda name: F.element_at(parsed, name))
+    entries = F.transform(features, lambda name: last_entry(parsed, name))
     return F.forall(entries, lambda e: F.coalesce(good(e), F.lit(False)))
 
 
@@ -89,7 +113,7 @@ def last_valid(response: Column, pattern: str, schema: str, is_valid, is_strict=
     """
     found = F.reverse(F.regexp_extract_all(response, F.lit(pattern), F.lit(1)))
     parsed = F.transform(
-        found, lambda t: F.struct(t.alias("text"), F.from_json(json_text(t), schema).alias("value"))
+        found, lambda t: F.struct(t.alias("text"), read_json(t, schema).alias("value"))
     )
     good = F.filter(
         parsed,
@@ -142,7 +166,7 @@ def finding_vector(findings: Column, features: Column) -> Column:
     """Finding values in scheme order; null without an answer."""
 
     def values(found: Column) -> Column:
-        vector = F.transform(features, lambda name: F.element_at(found, name)["value"])
+        vector = F.transform(features, lambda name: last_entry(found, name)["value"])
         return F.when(found.isNotNull(), vector)
 
     return let(findings, values)

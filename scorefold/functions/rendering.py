@@ -24,6 +24,44 @@ NAMES_AFTER = (
 PRESENT_TITLE = "\n#### Present Manifestations"
 ABSENT_TITLE = "\n#### Absent Manifestations"
 NO_FINDINGS = "Failed to extract manifestations"
+UNREADABLE_FINDINGS = "Invalid dictionary string provided: "
+DIAGNOSIS_FORMAT = """[
+        {
+            "name": "diagnosis_0",
+            "reason": "Based on clinical evidence, diagnosis_0 is suspected."
+        },
+        {
+            "name": "diagnosis_1",
+            "reason": "Based on clinical evidence, diagnosis_1 is suspected."
+        },
+        ...
+        {
+            "name": "diagnosis_9",
+            "reason": "Based on clinical evidence, diagnosis_9 is suspected."
+        }
+    ]"""
+DIRECT_DIAGNOSIS_FORMAT = """[
+    {
+        "name": "diagnosis_0",
+        "reason": "Based on clinical evidence, diagnosis_0 is suspected."
+    },
+    {
+        "name": "diagnosis_1",
+        "reason": "Based on clinical evidence, diagnosis_1 is suspected."
+    },
+    ...
+]"""
+CODE_FORMAT = """[
+    {
+        "icd_code": "icd_code_0",
+        "reason": "Based on clinical evidence, icd_code_0 is suspected."
+    },
+    {
+        "icd_code": "icd_code_1",
+        "reason": "Based on clinical evidence, icd_code_1 is suspected."
+    },
+    ...
+]"""
 NO_DIAGNOSES = "Not assigned"
 NO_LABS = "No laboratory results available."
 MAX_PROMPT = 25000
@@ -153,8 +191,11 @@ def findings_example(features: Column) -> Column:
     return F.concat(F.lit("{\n"), F.array_join(blocks, ",\n"), F.lit("\n}"))
 
 
-def findings_text(findings: Column) -> Column:
-    """Present and absent findings as two bullet lists."""
+def findings_text(findings: Column, cell: Column | None = None) -> Column:
+    """Present and absent findings as two bullet lists.
+
+    With the stored ``cell``, one that holds something unreadable is quoted.
+    """
 
     def bullets(value: int) -> Column:
         kept = F.filter(F.map_entries(findings), lambda e: e["value"]["value"] == value)
@@ -169,7 +210,10 @@ def findings_text(findings: Column) -> Column:
     lines = F.concat(
         F.array(F.lit(PRESENT_TITLE)), bullets(1), F.array(F.lit(ABSENT_TITLE)), bullets(-1)
     )
-    return F.coalesce(F.array_join(lines, "\n"), F.lit(NO_FINDINGS))
+    missing = F.lit(NO_FINDINGS)
+    if cell is not None:
+        missing = F.when(cell.isNotNull() & (cell != "None"), F.concat(F.lit(UNREADABLE_FINDINGS), cell)).otherwise(missing)
+    return F.coalesce(F.array_join(lines, "\n"), missing)
 
 
 def ranked_names_text(entries: Column, label: Column, fallback: Column) -> Column:
@@ -192,16 +236,25 @@ def ranked_names_text(entries: Column, label: Column, fallback: Column) -> Colum
     return F.coalesce(let(entries, rendered), fallback)
 
 
-def fill_template(template: Column, slots: dict[str, Column], limit: int | None = None) -> Column:
+def fill_template(template: Column, slots: dict[str, Column], limit: int | None = None, strict: bool = False) -> Column:
     """Replace ``{slot}`` once each; doubled braces stand for single ones.
 
     The template is split at its slots, so text that is filled in is never
-    searched again. ``limit`` is the prompt ceiling of the model, in characters.
+    searched again. A null value is empty text; so is a slot that is not given,
+    unless ``strict`` makes it stop the job. ``limit`` is the prompt ceiling of the model, in characters.
     """
     values = F.create_map(
         *[part for name, value in slots.items() for part in (F.lit(name), value.cast("string"))]
     )
     names = F.regexp_extract_all(template, F.lit(SLOT), F.lit(1))
+
+    def slot_value(known: Column, name: Column) -> Column:
+        there = F.coalesce(F.try_element_at(known, name), F.lit(""))
+        if not strict:
+            return there
+        unknown = F.raise_error(F.concat(F.lit("the template has an unknown slot: "), name)).cast("string")
+        return F.when(name.isNull(), "").when(F.map_contains_key(known, name), there).otherwise(unknown)
+
     literals = F.transform(
         F.split(template, SLOT),
         lambda s: F.replace(F.replace(s, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")),
@@ -211,7 +264,7 @@ def fill_template(template: Column, slots: dict[str, Column], limit: int | None
         values,
         lambda filled_in: F.zip_with(
             literals, names,
-            lambda s, n: F.concat(s, F.coalesce(F.element_at(filled_in, n), F.lit(""))),
+            lambda s, n: F.concat(s, slot_value(filled_in, n)),
         ),
     )
     text = F.array_join(pieces, "")

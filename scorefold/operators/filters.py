@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorefold.functions.scoring import no_nan
 from scorefold.functions.text import seed_of
 
 # Rank bounds, split names and seeds.
@@ -100,9 +101,10 @@ def named(df: DataFrame, part: str | None = None, limit: int | None = None,
 
 def still_open(df: DataFrame, score: Column, threshold: Column, floor: Column | None = None) -> DataFrame:
     """Rows to try again: score missing, not above the threshold, or below the floor."""
+    score = no_nan(score)
     retry = score.isNull() | (score <= threshold)
     if floor is not None:
-        retry = retry | (score < F.coalesce(floor, score))
+        retry = retry | (score < F.coalesce(no_nan(floor), score))
     return df.filter(retry)
 
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from scorefold.functions.binding import let
 from scorefold.functions.scoring import match_category, position_of
-from scorefold.functions.text import first_pattern, matching_keys
-from scorefold.session import broadcast_if_small, rows_if_small
-
-MAX_INLINE_PATTERNS = 2_000
+from scorefold.functions.text import matching_keys
 
 
 def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:
@@ -29,46 +25,23 @@ def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "
     )
 
 
-def _matches_in_row(rows: list[Row], group: str, codes: str) -> Column:
-    """(code_pos, disease) of the matching codes, from a dictionary of a few hundred patterns."""
-    by_group: dict[str, list[tuple[str, str]]] = {}
-    for row in sorted(rows, key=lambda r: r["pos"]):
-        by_group.setdefault(row[group], []).append((row["disease"], row["icd10_regex"]))
-    found = F.lit(None).cast("array<string>")
-
-    def tried(patterns: list[tuple[str, str]]) -> Column:
-        return F.transform(codes, lambda c: first_pattern(c, patterns))
-
-    for name, patterns in by_group.items():
-        found = F.when(F.col(group) == name, tried(patterns)).otherwise(found)
-    placed = F.transform(found, lambda d, i: F.struct(i.alias("code_pos"), d.alias("disease")))
-    kept = F.filter(placed, lambda m: m["disease"].isNotNull())
-    return let(kept, lambda m: F.when(F.size(m) > 0, m))
-
-
-def _matches_joined(df: DataFrame, diseases: DataFrame, keys: list[str], group: str, codes: str) -> DataFrame:
-    """The same for larger dictionaries: distinct codes are matched and joined back."""
-    exploded = df.select(*keys, group, F.posexplode(codes).alias("code_pos", "code"))
-    found = exploded.join(first_disease_per_code(exploded, diseases, group), [group, "code"])
-    per_row = found.groupBy(*keys, group).agg(
-        F.sort_array(F.collect_list(F.struct("code_pos", "disease"))).alias("m")
-    )
-    return df.join(per_row, [*keys, group], "left")
-
-
 def add_code_matches(df: DataFrame, diseases: DataFrame, keys: list[str], group: str = "chief_complaint",
-                     codes: str = "ICD_CODES", max_inline_patterns: int = MAX_INLINE_PATTERNS) -> DataFrame:
+                     codes: str = "ICD_CODES") -> DataFrame:
     """Matched diseases, their code positions and the first match of every row.
 
-    Without a match: ``[null]``, ``[-1]``, count 0, no disease and rank -1. A
-    dictionary that a count shows to be small becomes literal patterns, so rows
-    are matched where they are, without a shuffle.
+    Distinct codes are matched against the dictionary and joined back to the rows,
+    whatever the size of either. ``keys`` and the group identify a row; a repeat
+    stops the job. Without a match: ``[null]``, ``[-1]``, count 0, no disease and
+    rank -1. A missing pattern matches nothing.
     """
-    rows = rows_if_small(diseases.select(group, "pos", "disease", "icd10_regex"), max_inline_patterns)
-    if rows is not None:
-        matched = df.withColumn("m", _matches_in_row(rows, group, codes))
-    else:
-        matched = _matches_joined(df, diseases, keys, group, codes)
+    exploded = df.select(*keys, group, F.posexplode_outer(codes).alias("code_pos", "code"))
+    found = exploded.join(first_disease_per_code(exploded.where("code IS NOT NULL"), diseases, group), [group, "code"], "left")
+    hits = F.collect_list(F.when(F.col("disease").isNotNull(), F.struct("code_pos", "disease")))
+    rows = F.count_if(F.coalesce(F.col("code_pos") == 0, F.lit(True)))
+    per_row = found.groupBy(*keys, group).agg(F.sort_array(hits).alias("hits"), rows.alias("rows"))
+    repeated = F.raise_error(F.concat(F.lit("rows are not identified by "), F.lit(", ".join([*keys, group]))))
+    m = F.when(F.col("rows") > 1, repeated.cast("array<struct<code_pos:int,disease:string>>")).when(F.size("hits") > 0, F.col("hits"))
+    matched = df.join(per_row.select(*keys, group, m.alias("m")), [*keys, group], "left")
     none = F.col("m").isNull()
     return matched.withColumns(
         {
@@ -124,4 +97,4 @@ def add_complaints(df: DataFrame, synonyms: dict[str, list[str]], systems: dict[
 def add_disease_vector(df: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:
     """Feature vector of the assigned disease of the row's group."""
     vectors = diseases.select(group, "disease", F.col("features").alias("disease_vector"))
-    return df.join(broadcast_if_small(vectors), [group, "disease"], "left")
+    return df.join(vectors, [group, "disease"], "left")

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorefold.functions import parsing as P
-from scorefold.functions.binding import let
 from scorefold.functions.codes import short_codes
-from scorefold.functions.scoring import harmonic, norm_dot, ratio, set_f1
-from scorefold.session import broadcast_if_small, rows_if_small
+from scorefold.functions.scoring import harmonic, no_nan, norm_dot, ratio
 
 # Acceptance thresholds per stage, the number of rounds and the
 # digits of a row score.
@@ -27,13 +25,9 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
 
-def no_nan(score: Column) -> Column:
-    """NaN sorts above every number in Spark, so a missing score is null here."""
-    return F.when(~F.isnan(score), score)
-
-
 def best_choice(candidates: DataFrame, keys: list[str], eval_mode: bool = False) -> DataFrame:
     """Best choice of a round: highest score, or the first valid one in evaluation mode."""
+    candidates = candidates.withColumn("score", no_nan(F.col("score")))
     valid_first = F.when(F.col("score").isNull(), 1).otherwise(0)
     order = (
         [valid_first, F.col("choice_idx")] if eval_mode
@@ -44,12 +38,14 @@ def best_choice(candidates: DataFrame, keys: list[str], eval_mode: bool = False)
 
 def best_round(rounds: DataFrame, keys: list[str]) -> DataFrame:
     """Best round: the first with the highest score; the last one while all lack a score."""
+    rounds = rounds.withColumn("score", no_nan(F.col("score")))
     place = F.when(F.col("score").isNull(), -F.col("round")).otherwise(F.col("round"))
     return keep_first(rounds, keys, [F.desc_nulls_last("score"), place])
 
 
 def best_generator(rows: DataFrame, keys: list[str], score: str = "Score", generator: str = "model") -> DataFrame:
     """Highest score per key over generators; ties go to the first name."""
+    rows = rows.withColumn(score, no_nan(F.col(score)))
     return keep_first(rows, keys, [F.desc_nulls_last(score), F.col(generator)])
 
 
@@ -62,6 +58,7 @@ def accept(rounds: DataFrame, keys: list[str], threshold: Column, floor: Column
     also lets an item leave when its first round has no score at all. Returns
     the best counted round with ``accepted`` and ``rounds_used``.
     """
+    rounds = rounds.withColumn("score", no_nan(F.col("score")))
     score = F.col("score")
     passes = (score > threshold) if strict else (score >= threshold)
     if floor is not None:
@@ -112,15 +109,15 @@ def open_items(items: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFr
 
 def round_means(rounds: DataFrame, by: list[str]) -> DataFrame:
     """Mean score with missing as 0 and mean of the valid scores, per group."""
+    score = no_nan(F.col("score"))
     return rounds.groupBy(*by).agg(
-        F.round(F.avg(F.coalesce("score", F.lit(0.0))), 3).alias("mean_score"),
-        F.round(F.avg("score"), 3).alias("mean_valid_score"),
+        F.round(F.avg(F.coalesce(score, F.lit(0.0))), 3).alias("mean_score"),
+        F.round(F.avg(score), 3).alias("mean_valid_score"),
     )
 
 
 # --- scoring one stage ------------------------------------------------------
 
-MAX_LABEL_SPACE = 50_000
 CANDIDATE_KEYS = ["hadm_id", "chief_complaint", "model", "stage", "round", "choice_idx"]
 
 
@@ -129,11 +126,11 @@ def score_findings(candidates: DataFrame, schemes: DataFrame, gold: DataFrame) -
 
     ``schemes``: (chief_complaint, features); ``gold``: (hadm_id, disease_vector).
     """
-    rows = candidates.join(broadcast_if_small(schemes), "chief_complaint")
+    rows = candidates.join(schemes, "chief_complaint", "left")
     vector = P.finding_vector(P.extract_findings(F.col("text"), F.col("features")), F.col("features"))
     parsed = rows.select(*CANDIDATE_KEYS, vector.alias("vector"))
     score = F.round(norm_dot(F.col("vector"), F.col("disease_vector")), SCORE_DIGITS)
-    return parsed.join(gold.select("hadm_id", "disease_vector"), "hadm_id").select(
+    return parsed.join(gold.select("hadm_id", "disease_vector"), "hadm_id", "left").select(
         *CANDIDATE_KEYS, score.alias("score")
     )
 
@@ -147,7 +144,7 @@ def score_diagnoses(candidates: DataFrame, labels: DataFrame, gold: DataFrame) -
     parsed = candidates.select(*CANDIDATE_KEYS, P.extract_diagnoses(F.col("text")).alias("answer"))
     named = (
         parsed.select(*CANDIDATE_KEYS, F.posexplode_outer("answer.name").alias("pos", "name"))
-        .join(gold.select("hadm_id", "disease"), "hadm_id")
+        .join(gold.select("hadm_id", "disease"), "hadm_id", "left")
         .join(labels.select("chief_complaint", "name", "label"), ["chief_complaint", "name"], "left")
     )
     place = named.groupBy(*CANDIDATE_KEYS).agg(
@@ -158,35 +155,30 @@ def score_diagnoses(candidates: DataFrame, labels: DataFrame, gold: DataFrame) -
     return place.select(*CANDIDATE_KEYS, score.alias("score"))
 
 
-def score_codes(candidates: DataFrame, label_space: DataFrame, gold: DataFrame,
-                max_label_space: int = MAX_LABEL_SPACE) -> DataFrame:
+def score_codes(candidates: DataFrame, label_space: DataFrame, gold: DataFrame) -> DataFrame:
     """Stage 4: F1 of the short predicted codes inside the label space.
 
-    ``label_space``: (code); ``gold``: (hadm_id, ICD_CODES). A label space that
-    a bounded fetch shows to be small is tested in place; a larger one is
-    joined to the exploded codes.
+    ``label_space``: (code); ``gold``: (hadm_id, ICD_CODES). The label space is
+    joined to the exploded codes, whatever its size. A candidate without gold has
+    a null score; a repeated candidate stops the job.
     """
     parsed = candidates.select(
         *CANDIDATE_KEYS, short_codes(P.extract_codes(F.col("text"))["icd_code"]).alias("pred")
     )
-    rows = parsed.join(gold.select("hadm_id", short_codes("ICD_CODES").alias("gold")), "hadm_id")
-    space = label_space.select("code").distinct()
-    small = rows_if_small(space, max_label_space)
-    if small is not None:
-        known = F.filter("pred", lambda c: c.isin([r["code"] for r in small]))
-        score = let(known, lambda k: set_f1(k, F.col("gold")))
-        return rows.select(*CANDIDATE_KEYS, F.round(score, SCORE_DIGITS).alias("score"))
-    codes = rows.select(*CANDIDATE_KEYS, "gold", F.explode_outer("pred").alias("code")).join(
-        space.withColumn("known", F.lit(True)), "code", "left"
-    )
+    rows = parsed.join(gold.select("hadm_id", short_codes("ICD_CODES").alias("gold")), "hadm_id", "left")
+    space = label_space.select("code").distinct().withColumn("known", F.lit(True))
+    codes = rows.select(*CANDIDATE_KEYS, "gold", F.posexplode_outer("pred").alias("pos", "code")).join(space, "code", "left")
     known = F.coalesce(F.col("known"), F.lit(False))
     sums = codes.groupBy(*CANDIDATE_KEYS).agg(
         F.count("code").alias("n_codes"), F.count_if(known).alias("n_pred"),
         F.count_if(known & F.array_contains("gold", F.col("code"))).alias("n_hit"),
-        F.max(F.size("gold")).alias("n_gold"),
+        F.max(F.size("gold")).alias("n_gold"), F.count_if(F.coalesce(F.col("pos") == 0, F.lit(True))).alias("rows"),
     )
     p, r = ratio(F.col("n_hit"), F.col("n_pred")), ratio(F.col("n_hit"), F.col("n_gold"))
-    score = F.when(F.col("n_codes") > 0, F.round(harmonic(p, r), SCORE_DIGITS))
+    repeated = F.raise_error(F.lit("candidates are not identified by their keys")).cast("double")
+    score = F.when(F.col("rows") > 1, repeated).when(
+        (F.col("n_codes") > 0) & F.col("n_gold").isNotNull(), F.round(harmonic(p, r), SCORE_DIGITS)
+    )
     return sums.select(*CANDIDATE_KEYS, score.alias("score"))
 
 

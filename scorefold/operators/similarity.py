@@ -26,6 +26,9 @@ def _rank_blockwise(items: DataFrame, rows: list[Row], group: str | None) -> Dat
         names, vectors = packed.setdefault(row[group] if group else None, ([], []))
         names.append(row["label"])
         vectors.append(row["embedding"])
+    width = max((len(v) for _, vectors in packed.values() for v in vectors if v is not None), default=0)
+    for _, vectors in packed.values():
+        vectors[:] = [[0.0] * width if v is None else v for v in vectors]
     tables = {
         key: (np.array(names, dtype=object), _unit(np.array(vectors, dtype=np.float64)))
         for key, (names, vectors) in packed.items()
@@ -43,12 +46,17 @@ def _rank_blockwise(items: DataFrame, rows: list[Row], group: str | None) -> Dat
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = batch.groupby(group, sort=False) if group else [(None, batch)]
+            parts = batch.groupby(group, sort=False, dropna=False) if group else [(None, batch)]
             for key, part in parts:
-                if len(part) == 0 or key not in shared.value:
+                if len(part) == 0:
+                    continue
+                if key not in shared.value or pd.isna(key) and group:
+                    yield part[kept].assign(diseases=None, diseases_cossim_scores=None)
                     continue
                 names, matrix = shared.value[key]
-                sims = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)) @ matrix.T
+                zero = np.zeros(matrix.shape[1])
+                vectors = [zero if v is None else v for v in part["embedding"]]
+                sims = _unit(np.stack(vectors).astype(np.float64)) @ matrix.T
                 order = np.argsort(-sims, axis=1, kind="stable")
                 yield part[kept].assign(
                     diseases=list(names[order]),
@@ -75,12 +83,14 @@ def _rank_joined(items: DataFrame, labels: DataFrame, keys: list[str], group: st
     scored = salted.join(vectors, on).select(
         *keys, "pos", "label", cosine(F.col("embedding"), F.col("label_embedding")).alias("score")
     )
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "label")))
-    ranked = scored.groupBy(*keys).agg(ordered.alias("r")).select(
-        *keys, F.col("r.label").alias("diseases"),
+    ordered = F.sort_array(F.collect_list(F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "pos", "label")))
+    # A label stands in the list of an item once, so repeated positions mean repeated keys.
+    repeated = F.raise_error(F.lit("items are not identified by their keys")).cast("array<string>")
+    ranked = scored.groupBy(*keys).agg(ordered.alias("r"), F.count_distinct("pos", "label").alias("n")).select(
+        *keys, F.when(F.size("r") == F.col("n"), F.col("r.label")).otherwise(repeated).alias("diseases"),
         F.transform("r", lambda e: -e["s"]).alias("diseases_cossim_scores"),
     )
-    return items.drop("embedding").join(ranked, keys)
+    return items.drop("embedding").join(ranked, keys, "left")
 
 
 def rank_labels(items: DataFrame, labels: DataFrame, keys: list[str], group: str | None = None,
@@ -90,7 +100,9 @@ def rank_labels(items: DataFrame, labels: DataFrame, keys: list[str], group: str
     ``items`` holds ``keys``, the group and an ``embedding``; ``labels`` holds
     the group, ``pos``, ``label`` and an ``embedding``. Ties go to the smaller
     ``pos``. The labels are broadcast only after a count shows they are few;
-    otherwise they are joined on the group. ``keys`` identify an item.
+    otherwise they are joined on the group, with the same result. ``keys`` identify
+    an item. An item or label without embedding scores 0; an item whose group has
+    no labels has no list.
     """
     rows = rows_if_small(labels.select(*([group] if group else []), "pos", "label", "embedding"), max_local_labels)
     if rows is not None:
@@ -114,6 +126,6 @@ def snap_names(names: DataFrame, labels: DataFrame, name_embeddings: DataFrame,
     distinct = names.select(group, "name").distinct()
     known = labels.select(group, F.col("label").alias("name")).distinct()
     exact = distinct.join(known, [group, "name"], "left_semi").withColumn("label", F.col("name"))
-    free = distinct.join(known, [group, "name"], "left_anti").join(name_embeddings, "name")
-    nearest = rank_labels(free.select(group, "name", "embedding"), labels, [group, "name"], group)
-    return exact.unionByName(nearest.select(group, "name", F.col("disease").alias("label")))
+    free = distinct.join(known, [group, "name"], "left_anti").join(name_embeddings, "name", "left")
+    nearest = rank_labels(free.select(group, "name", "embedding", F.col("embedding").isNotNull().alias("embedding_known")), labels, [group, "name"], group)
+    return exact.unionByName(nearest.select(group, "name", F.when(F.col("embedding_known"), F.col("disease")).alias("label")))

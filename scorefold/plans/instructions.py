@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorefold.functions import parsing as P, rendering as R
+from scorefold.functions.scoring import no_nan
 from scorefold.functions.text import reasoning, strip_newlines
 from scorefold.operators.filters import with_any
 from scorefold.operators.selection import THRESHOLDS, best_generator, keep_first
 from scorefold.schemas import CODE_LIST, DIAGNOSIS_LIST, FINDING_MAP, INSTRUCTION_COLUMNS
-from scorefold.session import broadcast_if_small
 
 STAGES = (1, 2, 3, 4)
 EVAL_SPLITS = ("dev", "val")
@@ -89,7 +89,7 @@ def rendered_arms(raw: DataFrame) -> DataFrame:
     moved towards the reference, ``gold_only`` the target without any answer,
     ``told`` the reasoning (which names the moved answer below a score of 1).
     """
-    v, score = F.col("Verifier"), F.col("Score")
+    v, score = F.col("Verifier"), no_nan(F.col("Score"))
     is_name, is_code = v.isin(2, 3), v == 4
     parsed = raw.withColumns(
         {
@@ -127,7 +127,7 @@ def route(rows: DataFrame) -> DataFrame:
     and reaches ``threshold``. All other rows fall back to a target without
     reasoning, or are dropped where ``drop`` is set.
     """
-    score = F.col("Score")
+    score = no_nan(F.col("Score"))
     trace = F.coalesce(F.col("usable") & (score > 0) & (score >= F.col("threshold")), F.lit(False))
     routed = rows.withColumn("trace", trace).filter(F.col("trace") | ~F.col("drop"))
     out = routed.withColumns(
@@ -187,8 +187,8 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     note = keep_first(combined, ["hadm_id"], [first])
     prepared = (
         note.withColumn("chief_complaint", F.col("`Chief Complaint`"))
-        .join(broadcast_if_small(schemes), "chief_complaint", "left")
-        .join(broadcast_if_small(numbered_vocabulary(labels)), "chief_complaint", "left")
+        .join(schemes, "chief_complaint", "left")
+        .join(numbered_vocabulary(labels), "chief_complaint", "left")
         .withColumn("labs_text", F.when(F.col("labs") != "None", F.col("labs")).otherwise(F.lit("")))
         .withColumn("labs_text", F.coalesce("labs_text", F.lit("")))
     )
@@ -208,10 +208,12 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
         "laboratory_results": F.col("labs_text"),
         "potential_diagnoses": F.col("potential_diagnoses"),
         "symptom_format_example": R.findings_example(F.col("features")),
+        "diagnose_format_example": F.lit(R.DIRECT_DIAGNOSIS_FORMAT),
+        "icd_format_example": F.lit(R.CODE_FORMAT),
     }
     return rows.select(
         "hadm_id", "subject_id", "split", "chief_complaint", "Verifier",
-        R.fill_template(F.col("template"), slots).alias("Input"), "Output",
+        R.fill_template(F.col("template"), slots, strict=True).alias("Input"), "Output",
     )
 
 
@@ -238,10 +240,10 @@ def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, te
     answer = {n: P.parse_answer(F.col(f"v{n}_json"), t) for n, t in ((1, FINDING_MAP), (2, DIAGNOSIS_LIST), (3, DIAGNOSIS_LIST))}
     has = set(patients.columns)
     rows = patients.withColumn("chief_complaint", F.col("`Chief Complaint`"))
-    rows = rows.join(broadcast_if_small(schemes), "chief_complaint", "left")
-    rows = rows.join(broadcast_if_small(numbered_vocabulary(labels)), "chief_complaint", "left")
+    rows = rows.join(schemes, "chief_complaint", "left")
+    rows = rows.join(numbered_vocabulary(labels), "chief_complaint", "left")
     rows = rows.withColumn("template", template_for(templates, F.lit(stage), F.col("chief_complaint")))
-    findings = R.findings_text(answer[1]) if "v1_json" in has else F.lit(R.NO_FINDINGS)
+    findings = R.findings_text(answer[1], F.col("v1_json")) if "v1_json" in has else F.lit(R.NO_FINDINGS)
     second = answer[2] if "v2_json" in has else F.lit(None).cast(DIAGNOSIS_LIST)
     third = answer[3] if "v3_json" in has else second
     ranked = (
@@ -254,8 +256,10 @@ def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, te
         "potential_diagnoses": ranked,
         "clinical_manifestations": findings,
         "symptom_format_example": R.findings_example(F.col("features")),
+        "diagnose_format_example": F.lit(R.DIAGNOSIS_FORMAT),
+        "icd_format_example": F.lit(R.CODE_FORMAT),
     }
-    return rows.select("hadm_id", R.fill_template(F.col("template"), slots, limit).alias("prompt"))
+    return rows.select("hadm_id", R.fill_template(F.col("template"), slots, limit, strict=True).alias("prompt"))
 
 
 # --- training text --------------------------------------------------------------

@@ -1,13 +1,17 @@
-"""Session helpers: a configured session, the shared folder, size checks."""
+"""Session helpers: a configured session, the package on the workers, the shared folder, size checks."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def spark_session(app: str = "scorefold", master: str | None = None, **conf) -> SparkSession:
@@ -26,7 +30,26 @@ def spark_session(app: str = "scorefold", master: str | None = None, **conf) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The archive is an upload of the driver; executors fetch it from Spark.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="scorefold-"))) / "scorefold.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -57,11 +80,3 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """A broadcast hint for a dictionary that a bounded count shows to be small.
-
-    A larger table is left to Spark's own choice of join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

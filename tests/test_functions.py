@@ -248,6 +248,10 @@ def test_template_is_filled_once(value):
     got = value(R.fill_template(template, {"a": F.lit("{b}"), "b": F.lit("2")}))
     assert got == "{x} {b} 2 |{b}"
     assert value(R.fill_template(template, {"a": F.lit("1"), "b": F.lit("2")}, 5)) == "{x} 1"
+    with pytest.raises(Exception, match="unknown slot: missing"):
+        value(R.fill_template(template, {"a": F.lit("1"), "b": F.lit("2")}, strict=True))
+    known = {"a": F.lit("1"), "b": F.lit(None), "missing": F.lit("m")}
+    assert value(R.fill_template(template, known, strict=True)) == "{x} 1  m|1"
 
 
 def test_ranked_names_text(value):
@@ -265,3 +269,22 @@ def test_chat_text(value):
     assert text(F.lit(None).cast("string")).endswith("<|im_start|>assistant\no<|im_end|>\n")
     assert "<think>\n\n</think>\n\no" in text(F.lit(""))
     assert "<think>\nplan\n</think>\n\no" in text(F.lit("\nplan\n"))
+
+
+def test_quoted_words_stay(spark, value):
+    assert value(P.parse_list(F.lit('["Allergies: None, stable", "b"]'))) == ["Allergies: None, stable", "b"]
+    assert value(P.parse_list(F.lit("['on O2: True, weaned', None]"))) == ["on O2: True, weaned", None]
+    assert value(P.parse_list(F.lit("['a\\xa0b', 'c']"))) == ["a\xa0b", "c"]
+    assert value(P.parse_list(F.lit("['a\\\\xa0b']"))) == ["a\\xa0b"]
+
+
+def test_types_are_checked_outside_reasons(value):
+    entries = ', '.join('{"name": "%s", "reason": "the word \'name\': 5 or None, True]"}' % n for n in "ABC")
+    assert [r["name"] for r in value(P.extract_diagnoses(F.lit(f"so: [{entries}]")))] == ["A", "B", "C"]
+    assert value(P.extract_diagnoses(F.lit("[" + entries.replace('"A"', "5") + "]"))) is None
+
+
+def test_last_of_repeated_keys(value):
+    text = """{"f": {"value": 1, "reasoning": "a"}, "f": {"value": 0, "reasoning": "None, b"}}"""
+    features = F.array(F.lit("f"))
+    assert value(P.finding_vector(P.extract_findings(F.lit(text), features), features)) == [0]

@@ -189,15 +189,39 @@ def test_assignment_fixture(spark):
 DISEASES = "chief_complaint string, pos int, disease string, icd10_regex string, features array<int>"
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
-def test_code_matches(spark, inline):
+def test_code_matches(spark):
     dictionary = spark.createDataFrame([("c", 0, "a", r"^I208\d*|I209\d*$", [1]), ("c", 1, "b", "I2", [0]), ("d", 0, "x", "Z", [0])], DISEASES)
     data = [(1, "c", ["Z1", "I2091", "I21"]), (2, "c", ["Z1"]), (3, "d", ["Z1", "I21"]), (4, "e", ["Z1"]), (5, "c", [])]
     df = spark.createDataFrame(data, "hadm_id long, chief_complaint string, ICD_CODES array<string>")
     got = {r["hadm_id"]: (r["diseases_by_icd_match"], r["icd_codes_rank"], r["icd_codes_match_count"], r["disease_by_icd_match"], r["disease_icd_rank"])
-           for r in M.add_code_matches(df, dictionary, ["hadm_id"], max_inline_patterns=inline).collect()}
+           for r in M.add_code_matches(df, dictionary, ["hadm_id"]).collect()}
     none = ([None], [-1], 0, None, -1)
     assert got == {1: (["a", "b"], [1, 2], 2, "a", 1), 2: none, 3: (["x"], [0], 1, "x", 0), 4: none, 5: none}
+    with pytest.raises(Exception, match="not identified"):
+        M.add_code_matches(df.union(df.where("hadm_id = 1")), dictionary, ["hadm_id"]).collect()
+    bare = spark.createDataFrame([("c", 0, "a", None, [1])], DISEASES)
+    text_none = spark.createDataFrame([(1, "c", ["None5"])], df.schema)
+    assert M.add_code_matches(text_none, bare, ["hadm_id"]).first()["icd_codes_match_count"] == 0
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    choices = spark.createDataFrame([(1, 1, 0, nan), (1, 1, 1, 0.9)], "id int, round int, choice_idx int, score double")
+    assert SE.best_choice(choices, ["id"]).first()["score"] == 0.9
+    rounds = spark.createDataFrame([(1, 1, nan), (1, 2, 0.7), (2, 1, nan)], "id int, round int, score double")
+    got = {r["id"]: (r["score"], r["accepted"], r["rounds_used"]) for r in SE.accept(rounds, ["id"], F.lit(0.5)).collect()}
+    assert got == {1: (0.7, True, 2), 2: (None, False, 1)}
+    assert {r["id"]: r["score"] for r in SE.best_round(rounds, ["id"]).collect()} == {1: 0.7, 2: None}
+    means = {r["id"]: (r["mean_score"], r["mean_valid_score"]) for r in SE.round_means(rounds, ["id"]).collect()}
+    assert means == {1: (0.35, 0.7), 2: (0.0, None)}
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_similarity_keeps_rows_without_labels_or_vectors(spark, bound):
+    items = spark.createDataFrame([(1, "g", [1.0, 0.0]), (2, "g", None), (3, "none", [1.0, 0.0]), (4, None, [1.0, 0.0])], "id long, cc string, embedding array<double>")
+    labels = spark.createDataFrame([("g", 0, "a", [0.0, 1.0]), ("g", 1, "b", [1.0, 0.0]), ("g", 2, "c", None)], "cc string, pos int, label string, embedding array<double>")
+    got = {r["id"]: (r["diseases"], r["diseases_cossim_scores"]) for r in SI.rank_labels(items, labels, ["id"], "cc", bound).collect()}
+    assert got == {1: (["b", "a", "c"], [1.0, 0.0, 0.0]), 2: (["a", "b", "c"], [0.0, 0.0, 0.0]), 3: (None, None), 4: (None, None)}
 
 
 @pytest.mark.parametrize("bound", [1000, 0])
