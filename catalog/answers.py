@@ -143,13 +143,13 @@ def set_algebra(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c31_c32_prf_percent",
-    """WITH c AS (SELECT user_id, count(*) FILTER (WHERE value > 10) AS tp, count(*) FILTER (WHERE value BETWEEN 5 AND 10) AS fp, count(*) FILTER (WHERE value < 1) AS fn FROM events WHERE event_type = 'click' GROUP BY 1)
+    """WITH c AS (SELECT user_id, count(*) FILTER (WHERE value > 10) AS tp, count(*) FILTER (WHERE value BETWEEN 5 AND 10) AS fp, count(*) FILTER (WHERE value < 1) AS fn FROM events GROUP BY 1)
     SELECT user_id, round(100 * coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 2) AS precision, round(100 * coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 2) AS recall,
       round(100 * coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 2) AS f1 FROM c""",
 )
 def prf_percent(spark: SparkSession, d: str) -> DataFrame:
     value = F.col("value")
-    counts = table(spark, d, "events").filter("event_type = 'click'").groupBy("user_id").agg(
+    counts = table(spark, d, "events").groupBy("user_id").agg(
         F.count_if(value > 10).alias("tp"), F.count_if(value.between(5, 10)).alias("fp"), F.count_if(value < 1).alias("fn")
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

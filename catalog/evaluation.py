@@ -286,13 +286,13 @@ def set_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c05_c25_short_in_label_space",
-    f"""WITH {CODE_ROWS}, {LISTS}, space AS (SELECT list(DISTINCT substr(code, 1, 3)) AS s FROM code_rows WHERE is_gold AND system = 'A')
+    f"""WITH {CODE_ROWS}, {LISTS}, space AS (SELECT list(DISTINCT substr(code, 1, 3)) AS s FROM code_rows WHERE is_gold)
     SELECT system, id, array_to_string(list_filter(r, lambda c, i: list_position(r, c) = i AND list_contains(s, c)), ',') AS codes
     FROM (SELECT system, id, list_transform(pred, lambda c: substr(c, 1, 3)) AS r FROM lists), space""",
 )
 def short_in_label_space(spark: SparkSession, d: str) -> DataFrame:
     # Short codes have three characters, so the label space is bounded.
-    gold = code_rows(spark, d).filter("is_gold AND system = 'A'")
+    gold = code_rows(spark, d).filter("is_gold")
     space = gold.agg(F.collect_set(C.short_code("code")).alias("s")).scalar()
     kept = C.keep_in(C.ranked_categories("pred"), space)
     return answer_lists(spark, d).select("system", "id", F.array_join(kept, ",").alias("codes"))
@@ -338,10 +338,10 @@ def top1_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings cut to a length by label and rounded to -1 / 0 / 1 twice."""
+    """Whole embeddings, lengthened by label, rounded to -1 / 0 / 1 twice."""
 
     def signs(low: float):
-        cut = F.slice("embedding", 1, 8 + F.col("label"))
+        cut = F.concat("embedding", F.slice("embedding", 1, F.col("label")))
         return F.transform(cut, lambda x: F.when(x > low, 1).when(x < -low, -1).otherwise(0))
 
     pred = F.when(F.col("vec_id") % 7 != 0, signs(0.05))
@@ -350,7 +350,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-VEC_SQL = """WITH v AS (SELECT vec_id, label % 3 AS collection, label, embedding[1:8 + label] AS e FROM embeddings),
+VEC_SQL = """WITH v AS (SELECT vec_id, label % 3 AS collection, label, list_concat(embedding, embedding[1:label]) AS e FROM embeddings),
   s AS (SELECT vec_id, collection, vec_id % 7 <> 0 AS has,
       list_transform(e, lambda x: CASE WHEN x::DOUBLE > 0.125 THEN 1.0 WHEN x::DOUBLE < -0.125 THEN -1.0 ELSE 0.0 END::DOUBLE) AS t,
       list_transform(e, lambda x: CASE WHEN vec_id % 7 = 0 THEN 0.0 WHEN x::DOUBLE > 0.05 THEN 1.0 WHEN x::DOUBLE < -0.05 THEN -1.0 ELSE 0.0 END::DOUBLE) AS p FROM v),

@@ -95,11 +95,11 @@ def cohort_sink(spark: SparkSession, d: str) -> DataFrame:
     return SK.read_cohort(spark, path).select("cc", "subject_id")
 
 
-@query("s14_round_checkpoint", f"WITH {SCORED} SELECT stage, round, count(*) AS n, count(score) AS n_valid FROM cand WHERE stage < 3 GROUP BY ALL")
+@query("s14_round_checkpoint", f"WITH {SCORED} SELECT stage, round, count(*) AS n, count(score) AS n_valid FROM cand GROUP BY ALL")
 def round_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     """Rounds saved one after the other, the last one twice."""
     path = shared_dir(spark, "rounds")
-    rows = scored(spark, d).filter("stage < 3")
+    rows = scored(spark, d)
     SK.append_round(rows.filter("round < 4"), path)
     for _ in range(2):
         SK.append_round(rows.filter("round = 4"), path)
@@ -146,15 +146,15 @@ def key_differences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j12_qc_misaligned",
-    f"WITH {CODE_ROWS}, {LISTS} SELECT id AS pos FROM lists WHERE system = 'A' AND len(gold) > 1 AND substr(gold[1], 1, 3) <> substr(gold[2], 1, 3) AND id % 5 = 0",
+    f"WITH {CODE_ROWS}, {LISTS} SELECT system || '-' || id AS pos FROM lists WHERE len(gold) > 1 AND substr(gold[1], 1, 3) <> substr(gold[2], 1, 3) AND id % 5 = 0",
 )
 def misaligned(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth gold list is swapped at its head; exactly the lists that change must be found."""
-    rows = answer_lists(spark, d).filter("system = 'A'").select(F.col("id").alias("pos"), F.col("gold").alias("SHORT_CODES"))
+    rows = answer_lists(spark, d).select("id", F.concat_ws("-", "system", F.col("id").cast("string")).alias("pos"), F.col("gold").alias("SHORT_CODES"))
     cut = F.transform("SHORT_CODES", lambda c: F.substring(c, 1, 3))
-    swapped = F.concat(F.slice("SHORT_CODES", 2, 1), F.slice("SHORT_CODES", 1, 1), F.slice("SHORT_CODES", 3, 1000))
-    gold = F.when((F.col("pos") % 5 == 0) & (F.size("SHORT_CODES") > 1), F.transform(swapped, lambda c: F.substring(c, 1, 3))).otherwise(cut)
-    return Q.misaligned(rows.select("pos", gold.alias("gold")), rows)
+    swapped = F.concat(F.slice("SHORT_CODES", 2, 1), F.slice("SHORT_CODES", 1, 1), F.slice("SHORT_CODES", 3, F.size("SHORT_CODES")))
+    gold = F.when((F.col("id") % 5 == 0) & (F.size("SHORT_CODES") > 1), F.transform(swapped, lambda c: F.substring(c, 1, 3))).otherwise(cut)
+    return Q.misaligned(rows.select("pos", gold.alias("gold")), rows.drop("id"))
 
 
 @query(

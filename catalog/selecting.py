@@ -96,10 +96,9 @@ def open_items(spark: SparkSession, d: str) -> DataFrame:
     return SE.open_items(items, chain.filter("stage = 4"), ["hadm_id"])
 
 
-@query("f15_still_open", f"WITH {SCORED} SELECT hadm_id, count(*) AS n FROM cand WHERE stage = 3 AND (score IS NULL OR score <= 0.8 OR score < choice_idx % 2) GROUP BY 1")
+@query("f15_still_open", f"WITH {SCORED} SELECT hadm_id, count(*) AS n FROM cand WHERE score IS NULL OR score <= 0.8 OR score < choice_idx % 2 GROUP BY 1")
 def still_open(spark: SparkSession, d: str) -> DataFrame:
-    third = scored(spark, d).filter("stage = 3")
-    kept = FL.still_open(third, F.col("score"), F.lit(0.8), (F.col("choice_idx") % 2).cast("double"))
+    kept = FL.still_open(scored(spark, d), F.col("score"), F.lit(0.8), (F.col("choice_idx") % 2).cast("double"))
     return kept.groupBy("hadm_id").agg(F.count("*").alias("n"))
 
 
@@ -223,17 +222,17 @@ def score_name_answers(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("hadm_id", "score")
 
 
-FEATURES = [f"finding {i}" for i in range(1, 9)]
+FEATURES = [f"finding {i}" for i in range(1, 65)]  # one for each component of an embedding
 
 
 def _signs(column: str, low: float) -> Column:
-    return F.transform(F.slice(column, 1, 8), lambda x: F.when(x > low, 1).when(x < -low, -1).otherwise(0))
+    return F.transform(column, lambda x: F.when(x > low, 1).when(x < -low, -1).otherwise(0))
 
 
 @query(
     "l01_c11_score_finding_answers",
-    """WITH s AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CASE WHEN x::DOUBLE > 0.125 THEN 1.0 WHEN x::DOUBLE < -0.125 THEN -1.0 ELSE 0.0 END::DOUBLE) AS t,
-      list_transform(embedding[1:8], lambda x: CASE WHEN x::DOUBLE > 0.0625 THEN 1.0 WHEN x::DOUBLE < -0.0625 THEN -1.0 ELSE 0.0 END::DOUBLE) AS p FROM embeddings),
+    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > 0.125 THEN 1.0 WHEN x::DOUBLE < -0.125 THEN -1.0 ELSE 0.0 END::DOUBLE) AS t,
+      list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > 0.0625 THEN 1.0 WHEN x::DOUBLE < -0.0625 THEN -1.0 ELSE 0.0 END::DOUBLE) AS p FROM embeddings),
     m AS (SELECT vec_id, list_inner_product(p, t) AS dp, list_inner_product(t, t) AS k FROM s)
     SELECT vec_id AS hadm_id, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN k = 0 THEN 0.5 ELSE round((dp + k) / (2 * k), 3) END AS score FROM m""",
 )
@@ -244,7 +243,7 @@ def score_finding_answers(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.zip_with(F.array(*[F.lit(f) for f in FEATURES]), values, lambda n, v: F.concat(
         F.lit('"'), n, F.lit('": {"value": '), v.cast("string"), F.lit(', "reasoning": "seen"}')
     ))
-    kept = F.when(F.col("vec_id") % 5 == 0, F.slice(pairs, 1, 7)).otherwise(pairs)
+    kept = F.when(F.col("vec_id") % 5 == 0, F.slice(pairs, 1, F.size(pairs) - 1)).otherwise(pairs)
     text = F.concat(F.lit("Here: {"), F.array_join(kept, ", "), F.lit("}"))
     answers = emb.select(
         F.col("vec_id").alias("hadm_id"), "chief_complaint", F.lit("m").alias("model"),
