@@ -6,8 +6,9 @@ texts draw the same one with the probability of their weighted Jaccard similarit
 ROWS samples bring candidates together, and each candidate is verified on its whole text.
 
 Document frequencies are counted over all documents in 2^DF_BITS hashed counters. The
-share PRIOR of all documents is added to each count, so that only passages which many
-documents share weigh clearly less, and copies of one text do not tear each other apart.
+share PRIOR of all documents is added to each count, and the frequency moves a weight
+between 1 and 1 + RANGE. So passages which many documents share weigh less, but the copies
+of one text do not tear each other apart, even if they are a third of all documents.
 
 In a bucket every text is compared with one leader, another one in each band, so a bucket
 of any size costs one pair a row. Texts that do not match it form a smaller bucket with a
@@ -36,6 +37,7 @@ BANDS, ROWS = 9, 3
 DF_BITS = 22
 DF_BLOCK_BITS = 14
 PRIOR = 0.001
+RANGE = 0.5
 PAIRS_PER_TEXT = 4  # what is left is compared pair by pair once it makes no more pairs than this
 SLICE = 1 << 20
 
@@ -91,7 +93,7 @@ def _text_rows(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def frequencies(df: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Inverse document frequency of each hashed counter, over all documents: an array of fixed size."""
+    """Weight by inverse document frequency of each hashed counter, over all documents: an array of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(1 << DF_BITS, np.uint32), 0
@@ -113,7 +115,8 @@ def frequencies(df: DataFrame, text: str = "text", key: str = "doc_id") -> np.nd
         return np.ones(1 << DF_BITS, np.float32)
     docs = float(np.frombuffer(rows[-1]["counts"], np.float32)[0])
     df_of = np.concatenate([np.frombuffer(r["counts"], np.float32) for r in rows[:-1]])
-    return np.log1p(docs / (df_of + PRIOR * docs)).astype(np.float32)
+    idf = np.log1p(docs / (df_of + PRIOR * docs)) / np.log1p(1 / PRIOR)
+    return (1 + RANGE * idf).astype(np.float32)
 
 
 def weights_of(made: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -165,8 +168,12 @@ def vectors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, (made, count, per_text, *_) in _slices(batches):
-            short, many = (made >> np.uint64(32)).astype(np.uint32), count.astype(np.uint32)
-            ends = np.concatenate([[0], np.cumsum(per_text)]).tolist()
+            short, text = (made >> np.uint64(32)).astype(np.uint32), np.repeat(np.arange(len(per_text)), per_text)
+            head = np.append(True, (short[1:] != short[:-1]) | (text[1:] != text[:-1]))
+            at = np.flatnonzero(head)  # shingles that share a 32-bit number are one
+            many = np.add.reduceat(count, at).astype(np.uint32)
+            short = short[at]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=len(per_text)))]).tolist()
             parts = list(zip(ends, ends[1:]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([short[a:b].tobytes() for a, b in parts], pa.binary()),
