@@ -12,7 +12,8 @@ of one text do not tear each other apart, even if they are a third of all docume
 
 In a bucket every text is compared with one leader, another one in each band, so a bucket
 of any size costs one pair a row. Texts that do not match it form a smaller bucket with a
-leader of its own, until what is left makes no more pairs than a few a text. Equal texts are one class before all this.
+leader of its own while that halves the pairs left; the rest of a bucket is compared in
+blocks by matrix products that emit one link a text, never pairs. Equal texts are one class before all this.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ DF_BITS = 22
 DF_BLOCK_BITS = 14
 PRIOR = 0.001
 RANGE = 0.5
-PAIRS_PER_TEXT = 4  # what is left is compared pair by pair once it makes no more pairs than this
+BLOCK = 1024  # texts of a bucket in one matrix
+COLUMNS = 4096
 SLICE = 1 << 20
 
 _RNG = np.random.default_rng(5)
@@ -211,6 +213,56 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _matrix_links(idf, least: float):
+    """Links of each text of a group to the smallest text it is connected to, from all pairs of the group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["id"].to_numpy(), kind="stable")
+        ids = rows["id"].to_numpy()[order]
+        items = [np.frombuffer(x, np.uint32) for x in rows["items"].take(pa.array(order)).to_pylist()]
+        counts = [np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in rows["counts"].take(pa.array(order)).to_pylist()]
+        n = len(ids)
+        # The k-th occurrence of a shingle is an element of its own, so multisets become sets.
+        flat, many = np.concatenate(items), np.concatenate(counts)
+        text = np.repeat(np.repeat(np.arange(n), [len(x) for x in items]), many)
+        element = np.repeat(flat.astype(np.uint64) << np.uint64(32), many) | ranges(np.zeros(len(many), np.int64), many).astype(np.uint64)
+        weight = np.repeat(idf.value[flat >> np.uint32(32 - DF_BITS)], many)
+        total = np.bincount(text, weights=weight, minlength=n)
+        _, column, seen = np.unique(element, return_inverse=True, return_counts=True)
+        both = seen[column] > 1
+        number = np.cumsum(seen > 1) - 1
+        text, column, root = text[both], number[column[both]], np.sqrt(weight[both])
+        order = np.argsort(column, kind="stable")
+        text, column, root = text[order], column[order], root[order]
+        shared = np.zeros((n, n), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            X = np.zeros((n, COLUMNS), np.float32)
+            X[text[a:b], column[a:b] - first] = root[a:b]
+            shared += X @ X.T
+        low = np.arange(n)
+        for row in range(n):
+            hits = np.flatnonzero(shared[row] >= (least - 1e-6) / (1 + least) * (total + total[row]))
+            names = low[hits]
+            if len(names) and (names != names.min()).any():
+                low[np.isin(low, np.unique(names))] = names.min()
+        linked = low != np.arange(n)
+        return pa.table({"a": ids[linked], "b": ids[low[linked]]})
+
+    return run
+
+
+def _all_pairs(left: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """Links within buckets (band, bucket, id), whatever their size: pairs of blocks are compared apart."""
+    sizes = left.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    dealt = left.join(sizes, ["band", "bucket"]).withColumn("own", own).select("band", "bucket", "id", F.explode(pair).alias("p"))
+    rows = dealt.join(texts.toDF("id", "items", "counts"), "id").select("band", "bucket", "p.i", "p.j", "id", "items", "counts")
+    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(_matrix_links(idf, least), "a long, b long")
+
+
 def _apart(stars: DataFrame, member: DataFrame) -> DataFrame:
     """Rows of the stars whose two ends are in different components."""
     left = stars.join(member.toDF("id", "ic"), "id", "left").join(member.toDF("leader", "lc"), "leader", "left")
@@ -242,6 +294,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float
         signed.groupBy("s1", "s2").agg(F.min(F.struct("k", "bands")).alias("top"))
         .select("s1", "s2", F.col("top.k").alias("id"), F.col("top.bands").alias("bands")), "texts",
     )
+    reps_count = reps.count()
     stars = _stars(reps.select("id", F.posexplode("bands").alias("band", "bucket")))
     ids = cut_lineage(stars.select("id").union(stars.select("leader")).distinct(), "candidates")
     maybe = member_filter(ids.select(F.xxhash64("id")), ids.count())
@@ -252,7 +305,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float
     first = shared.groupBy("id").agg(F.max_by("leader", F.struct("n", F.xxhash64("leader"))).alias("leader"))
     links = cut_lineage(verified(first.toDF("a", "b"), texts, idf, least), "links")
     member = cut_lineage(components(links), "members")
-    texts_in_all = reps.count()
+    before = None
     while True:
         apart = _apart(stars, member)
         more = cut_lineage(verified(apart.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, idf, least), "links")
@@ -261,13 +314,11 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float
         left = cut_lineage(_apart(stars, member).select("band", "bucket", "id"), "left")
         sizes = left.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
         pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1))).collect()[0][0] or 0
-        if pairs <= PAIRS_PER_TEXT * texts_in_all:
+        if not pairs or before is not None and 2 * pairs > before or pairs <= reps_count:
             break
-        stars = _stars(left)
+        before, stars = pairs, _stars(left)
     if pairs:
-        a, b = left.withColumnRenamed("id", "a"), left.withColumnRenamed("id", "b")
-        rest = a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
-        more = cut_lineage(verified(rest, texts, idf, least), "links")
+        more = cut_lineage(_all_pairs(left, texts, idf, least), "links")
         if more.limit(1).count():
             member = cut_lineage(components(links.unionByName(more)), "members")
 

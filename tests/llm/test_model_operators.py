@@ -248,13 +248,56 @@ def test_packed_arrays():
     assert [a for _, a, _ in cut] == [0] + [b for _, _, b in cut[:-1]] and cut[-1][2] == len(x)
 
 
-def test_pipeline_stages(spark):
-    original = common.table(spark, SMALL, "documents")
-    docs_now, sizes = original, []
+def redacted(text):
+    """Brute force of the secret stage."""
+    spans = []
+    for m in re.finditer(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 8:
+            spans.append(m.span())
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_pipeline_against_brute_force(spark):
+    d = SMALL.replace("sf0.001", "sf0.01")
+    docs_now = common.table(spark, d, "documents")
+    columns, before = docs_now.columns, {r.doc_id: r.text for r in docs_now.collect()}
+    toxic = {r.doc_id: r.toxic for r in common.table(spark, d, "labels").collect()}
+    folded = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    cut = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(t.lower().split())
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs_now = stage(spark, docs_now, SMALL).cache()
-        assert docs_now.columns == original.columns, name
-        sizes.append(docs_now.count())
-    assert original.count() > sizes[0] >= sizes[1] >= sizes[2] == sizes[3] > 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs_now, SMALL)
-    assert packed.select("doc_id").distinct().count() == sizes[-1]
+        docs_now = stage(spark, docs_now, d).cache()
+        assert docs_now.columns == columns, name
+        rows = {r.doc_id: r for r in docs_now.collect()}
+        assert len(rows) == docs_now.count() and set(rows) <= set(before), name
+        gone = set(before) - set(rows)
+        if name == "toxicity":
+            assert gone and sum(toxic.get(i) == 0 for i in gone) <= 0.02 * len(before)
+        elif name == "exact dedup":
+            best = {}
+            for i, t in before.items():
+                best[folded(t)] = max(i, best.get(folded(t), i))
+            assert set(rows) == set(best.values())
+        elif name == "near dedup":
+            kept = {i: cut(before[i]) for i in rows}
+            near = lambda a, b: len(a & b) / len(a | b)
+            assert gone and all(max(near(cut(before[i]), k) for k in kept.values()) >= 0.6 for i in gone)
+        else:
+            assert not gone and all(r.text == redacted(before[i]) for i, r in rows.items())
+            assert all(r.n_chars == len(r.text) for i, r in rows.items() if r.text != before[i])
+            assert any(r.text != before[i] for i, r in rows.items())
+        if name != "secret scans":
+            assert all(r.text == before[i] for i, r in rows.items())
+        before = {i: r.text for i, r in rows.items()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs_now, d).collect()
+    assert {r.doc_id for r in packed} == set(before)
+    filled_to = Counter()
+    for r in packed:
+        filled_to[r.sequence_id] += r.length
+    assert max(filled_to.values()) <= 4096
