@@ -180,19 +180,19 @@ def score_code_answers(spark: SparkSession, d: str) -> DataFrame:
     "l01_w03_best_code_answer",
     f"""WITH {CODE_ROWS}, {LISTS}, g AS (SELECT id, list(DISTINCT substr(code, 1, 3)) AS gs FROM code_rows WHERE is_gold GROUP BY 1),
     p AS (SELECT l.id, l.system, gs, list_filter(list_distinct(list_transform(CASE WHEN len(pred) BETWEEN 3 AND 30 THEN pred ELSE ['A00', 'B00', 'C00'] END,
-      lambda c: substr(c, 1, 3))), lambda c: c NOT IN ('A00', 'B00', 'C00')) AS ps FROM lists l JOIN g USING (id)),
-    m AS (SELECT id, system, round(CASE WHEN i > 0 THEN 2 * (i / len(ps)) * (i / len(gs)) / (i / len(ps) + i / len(gs)) ELSE 0 END, 3) AS score FROM (SELECT *, len(list_intersect(ps, gs))::DOUBLE AS i FROM p))
-    SELECT id AS hadm_id, system AS model, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, system) AS rn FROM m) WHERE rn = 1""",
+      lambda c: substr(c, 1, 3))), lambda c: c NOT IN ('A00', 'B00', 'C00')) AS ps FROM lists l LEFT JOIN g USING (id)),
+    m AS (SELECT id, system, round(CASE WHEN gs IS NULL THEN NULL WHEN i > 0 THEN 2 * (i / len(ps)) * (i / len(gs)) / (i / len(ps) + i / len(gs)) ELSE 0 END, 3) AS score FROM (SELECT *, len(list_intersect(ps, gs))::DOUBLE AS i FROM p))
+    SELECT id AS hadm_id, system AS model, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC NULLS LAST, system) AS rn FROM m) WHERE rn = 1""",
 )
 def best_code_answer(spark: SparkSession, d: str) -> DataFrame:
-    """The systems as choices of one round: scored without a label-space bound, best kept, text fetched last."""
+    """The systems as choices of one round: scored, best kept, text fetched last."""
     answers = code_answers(spark, d)
     choice = F.array_position(F.array(*[F.lit(s) for s in ("A", "N", "R")]), F.col("model")).cast("int")
     answers = answers.withColumn("choice_idx", choice)
     gold = code_rows(spark, d).filter("is_gold").select(F.col("id").alias("hadm_id"), "code").distinct()
     gold = gold.groupBy("hadm_id").agg(F.collect_list("code").alias("ICD_CODES"))
     space = code_rows(spark, d).select(F.substring("code", 1, 3).alias("code")).distinct()
-    scores = SE.score_codes(answers, space, gold, max_label_space=0)
+    scores = SE.score_codes(answers, space, gold)
     best = SE.best_choice(scores, ["hadm_id", "stage", "round"])
     return SE.with_text(best, answers).filter(F.col("text").isNotNull()).select("hadm_id", "model", "score")
 

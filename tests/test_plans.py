@@ -180,14 +180,16 @@ def test_evaluated_runs_are_skipped(spark, tmp_path):
     assert rows(INC.scores_so_far(spark, state), "collection", "fn") == [("b", 1)]
 
 
-def test_large_label_space_is_joined(spark):
+def test_label_space_is_joined(spark):
     answer = json.dumps([{"icd_code": f"A0{i}", "reason": "r"} for i in range(4)])
     data = [(1, "c", "m", 4, 1, 0, answer), (1, "c", "m", 4, 1, 1, "nothing")]
     cands = spark.createDataFrame(data, "hadm_id long, chief_complaint string, model string, stage int, round int, choice_idx int, text string")
     gold = spark.createDataFrame([(1, ["A001", "A013", "B1"])], "hadm_id long, ICD_CODES array<string>")
     space = spark.createDataFrame([("A00",), ("A01",), ("A02",), ("B1",)], "code string")
-    for bound in (100, 0):
-        scores = SE.score_codes(cands, space, gold, bound)
-        assert rows(scores, "choice_idx", "score") == [(0, 0.667), (1, None)]
+    scores = SE.score_codes(cands, space, gold)
+    assert rows(scores, "choice_idx", "score") == [(0, 0.667), (1, None)]
+    assert rows(SE.score_codes(cands, space, gold.where("false")), "choice_idx", "score") == [(0, None), (1, None)]
+    with pytest.raises(Exception, match="not identified"):
+        SE.score_codes(cands.union(cands), space, gold).collect()
     best = SE.best_choice(scores, ["hadm_id", "stage", "round"])
     assert rows(SE.with_text(best, cands), "choice_idx", "text") == [(0, answer)]
