@@ -12,8 +12,9 @@ of one text do not tear each other apart, even if they are a third of all docume
 
 In a bucket every text is compared with one leader, another one in each band, so a bucket
 of any size costs one pair a row. Texts that do not match it form a smaller bucket with a
-leader of its own while that halves the pairs left; the rest of a bucket is compared in
-blocks by matrix products that emit one link a text, never pairs. Equal texts are one class before all this.
+leader of its own while that halves the pairs left. At last the texts outside the largest
+component of a bucket are compared with all texts of the bucket, in blocks by matrix
+products that emit one link a text, never pairs. Equal texts are one class before all this.
 """
 
 from __future__ import annotations
@@ -214,11 +215,12 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
 
 
 def _matrix_links(idf, least: float):
-    """Links of each text of a group to the smallest text it is connected to, from all pairs of the group."""
+    """Links (a, b) between texts of the block ``i`` of leftovers and all texts of the block ``j``, one at most for each text."""
 
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["id"].to_numpy(), kind="stable")
         ids = rows["id"].to_numpy()[order]
+        is_left, is_whole = (np.asarray(rows[c].to_pylist(), bool)[order] for c in ("is_left", "is_whole"))
         items = [np.frombuffer(x, np.uint32) for x in rows["items"].take(pa.array(order)).to_pylist()]
         counts = [np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in rows["counts"].take(pa.array(order)).to_pylist()]
         n = len(ids)
@@ -234,17 +236,18 @@ def _matrix_links(idf, least: float):
         text, column, root = text[both], number[column[both]], np.sqrt(weight[both])
         order = np.argsort(column, kind="stable")
         text, column, root = text[order], column[order], root[order]
-        shared = np.zeros((n, n), np.float32)
+        left, whole = np.flatnonzero(is_left), np.flatnonzero(is_whole)
+        shared = np.zeros((len(left), len(whole)), np.float32)
         for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
             a, b = np.searchsorted(column, [first, first + COLUMNS])
             X = np.zeros((n, COLUMNS), np.float32)
             X[text[a:b], column[a:b] - first] = root[a:b]
-            shared += X @ X.T
+            shared += X[left] @ X[whole].T
         low = np.arange(n)
-        for row in range(n):
-            hits = np.flatnonzero(shared[row] >= (least - 1e-6) / (1 + least) * (total + total[row]))
-            names = low[hits]
-            if len(names) and (names != names.min()).any():
+        for at, row in enumerate(left):
+            hits = whole[shared[at] >= (least - 1e-6) / (1 + least) * (total[whole] + total[row])]
+            names = low[np.append(hits, row)]
+            if (names != names.min()).any():
                 low[np.isin(low, np.unique(names))] = names.min()
         linked = low != np.arange(n)
         return pa.table({"a": ids[linked], "b": ids[low[linked]]})
@@ -252,15 +255,32 @@ def _matrix_links(idf, least: float):
     return run
 
 
-def _all_pairs(left: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
-    """Links within buckets (band, bucket, id), whatever their size: pairs of blocks are compared apart."""
-    sizes = left.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    dealt = left.join(sizes, ["band", "bucket"]).withColumn("own", own).select("band", "bucket", "id", F.explode(pair).alias("p"))
-    rows = dealt.join(texts.toDF("id", "items", "counts"), "id").select("band", "bucket", "p.i", "p.j", "id", "items", "counts")
-    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(_matrix_links(idf, least), "a long, b long")
+def _all_pairs(whole: DataFrame, member: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """Links between different components in each bucket (band, bucket, id), whatever its size.
+
+    The leftovers of a bucket are its texts outside its most frequent component. Each of them
+    is compared with every text of the bucket, so no pair of two components stays untested.
+    Pairs of blocks are compared apart.
+    """
+    named = whole.join(member.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = cut_lineage(named.select("band", "bucket", "id", "component"), "bucket members")
+    of = named.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
+    sizes = of.groupBy("band", "bucket").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"),
+    ).where("n > most")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    sizes = sizes.select("band", "bucket", "main", blocks(F.col("n") - F.col("most")).alias("ln"), blocks(F.col("n")).alias("wn"))
+    rows = named.join(sizes, ["band", "bucket"]).withColumn("li", F.pmod(F.xxhash64("id"), F.col("ln")).cast("int"))
+    rows = rows.withColumn("wi", F.pmod(F.xxhash64("id"), F.col("wn")).cast("int")).withColumn("is_left", F.col("component") != F.col("main"))
+    place = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    as_whole = F.transform(F.sequence(F.lit(0), F.col("ln") - 1), lambda k: place(k, F.col("wi")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("wn") - 1), lambda k: place(F.col("li"), k))
+    dealt = rows.withColumn("p", F.explode(F.when(F.col("is_left"), F.array_union(as_left, as_whole)).otherwise(as_whole))).select(
+        "band", "bucket", "p.i", "p.j", "id",
+        (F.col("is_left") & (F.col("p.i") == F.col("li"))).alias("is_left"), (F.col("p.j") == F.col("wi")).alias("is_whole"),
+    )
+    dealt = dealt.join(texts.toDF("id", "items", "counts"), "id")
+    return dealt.groupBy("band", "bucket", "i", "j").applyInArrow(_matrix_links(idf, least), "a long, b long")
 
 
 def _apart(stars: DataFrame, member: DataFrame) -> DataFrame:
@@ -296,6 +316,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float
     )
     reps_count = reps.count()
     stars = _stars(reps.select("id", F.posexplode("bands").alias("band", "bucket")))
+    whole = stars.select("band", "bucket", "id").union(stars.select("band", "bucket", "leader")).distinct()
     ids = cut_lineage(stars.select("id").union(stars.select("leader")).distinct(), "candidates")
     maybe = member_filter(ids.select(F.xxhash64("id")), ids.count())
     texts = cut_lineage(vectors(_text_rows(known, text, key).where(maybe(F.xxhash64("k")))), "vectors")
@@ -317,10 +338,10 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float
         if not pairs or before is not None and 2 * pairs > before or pairs <= reps_count:
             break
         before, stars = pairs, _stars(left)
-    if pairs:
-        more = cut_lineage(_all_pairs(left, texts, idf, least), "links")
-        if more.limit(1).count():
-            member = cut_lineage(components(links.unionByName(more)), "members")
+    # Leaders and matched texts have left the rounds; leftovers meet them here.
+    more = cut_lineage(_all_pairs(whole, member, texts, idf, least), "links")
+    if more.limit(1).count():
+        member = cut_lineage(components(links.unionByName(more)), "members")
 
     named = reps.join(member, reps["id"] == member["node"], "left").select("s1", "s2", "id", F.coalesce("component", "id").alias("component"))
     # A key that stands in two texts joins their classes.

@@ -96,6 +96,47 @@ def test_minhash_finds_near_copies(spark):
     assert minhash_dedup.classes(docs(spark, [])).count() == 0
 
 
+def near_pairs(spark, rows, least=minhash_dedup.LEAST):
+    """Weighted Jaccard similarity of all pairs of texts (key, text), and the smallest key of each true component."""
+    idf = minhash_dedup.frequencies(docs(spark, rows))
+    made, count, per_text, *_ = minhash_dedup.shingles(pa.array([t or "" for _, t in rows]))
+    weight = minhash_dedup.weights_of(made, count, idf)
+    ends = np.cumsum(per_text)
+    sets = [(made[a:b], weight[a:b]) for a, b in zip(ends - per_text, ends)]
+    keys = np.array([i for i, _ in rows])
+    holders = defaultdict(list)
+    for t, (m, _) in enumerate(sets):
+        for x in m.tolist():
+            holders[x].append(t)
+    sim = np.eye(len(rows))
+    for a, b in {(a, b) for at in holders.values() for a in at for b in at if a < b}:
+        sim[a, b] = sim[b, a] = minhash_dedup.weighted_jaccard(sets[a], sets[b])
+    low = keys.copy()
+    while True:
+        new = np.where(sim >= least, low[None, :], keys.max()).min(axis=1)
+        if (new == low).all():
+            return sim, dict(zip(keys.tolist(), low.tolist()))
+        low = new
+
+
+def scattered(rng, text, n):
+    out = text.split()
+    for at in rng.sample(range(2, len(out) - 2), n):
+        out[at] = random_text(rng, 2).replace(" ", "")
+    return " ".join(out)
+
+
+def test_minhash_links_leftovers_to_matched_texts(spark):
+    rng = random.Random(7)
+    hub = random_text(rng, 400)
+    rows = [(0, hub)] + [(1 + i, scattered(rng, hub, 6)) for i in range(200)] + [(1000 + i, random_text(rng, 100)) for i in range(50)]
+    sim, want = near_pairs(spark, rows)
+    edits = sim[1:201, 1:201]
+    assert (sim[0, :201] >= 0.8).all() and (edits[~np.eye(200, dtype=bool)] >= 0.8).mean() < 0.05
+    assert {r.doc_id: r.component_id for r in minhash_dedup.classes(docs(spark, rows)).collect()} == want
+    assert set(want.values()) == {0} | set(range(1000, 1050))
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(150, 8))
