@@ -4,8 +4,8 @@ A page is read into its elements. Every element outside the article is hashed wi
 holds; Spark counts on how many different pages of a host each hash stands, copies of one
 page counting once. Subtrees that recur on many pages of their host are template and are
 deleted. Elements whose name, class or role says that they are no content (menus, footers,
-adverts, forms, scripts, comments of readers, ...) are deleted wherever they stand. Where a
-page marks its article, only that is kept and shared passages inside it stay.
+adverts, forms, scripts, comments of readers, ...) are deleted wherever they stand; class
+and id count by whole tokens, and not where an article stands inside. Where a page marks its article, only that is kept and shared passages inside it stay.
 
 Pages are read twice, once to count and once to extract; html is never shuffled unless a
 page has blocks outside an article that may be template.
@@ -27,17 +27,19 @@ from scorefold.session import cut_lineage
 
 MIN_PAGES = 5  # different pages of a host on which a template subtree stands
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|iframe|object|select)(?=[\s/>])[^>]*(?<!/)>.*?</\2\s*>"
     r"|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<",
     re.S | re.I,
 )
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*)>\Z", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 CLOSED_BY_BLOCK = {"p"}
 CLOSED_BY_SAME = {"li", "dt", "dd", "tr", "td", "th", "option"}
 MAIN = {"article", "main"}
+UNTESTED = {"html", "body", *MAIN}  # their class says how the page is laid out
 DROPPED_TAGS = set("nav footer aside form button dialog menu".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 DROPPED_WORDS = set(
@@ -47,25 +49,35 @@ DROPPED_WORDS = set(
     "pagination pager hidden".split()
 )
 HEADER_WORDS = {"header", "topbar"}
+#: Parts of a class token or id that leave the role of the rest as it is: site-footer, ad-slot, comment-list.
+ROLE_PARTS = set("site page main top bottom global primary secondary area bar block box container inner item items link links list outer section slot unit wrap wrapper".split())
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
+def _role_like(token: str, roles: set[str]) -> bool:
+    """Whether the token names one of the roles, alone or with parts that say nothing else."""
+    parts = [x for x in re.split(r"[_-]+", token) if x]
+    return token in roles or any(x in roles for x in parts) and all(x in roles or x in ROLE_PARTS for x in parts)
+
+
+def _unwanted(tag: str, attributes: str, in_main: bool) -> str:
+    """Why an element is no content: "sure", by "words" of its class or id, or "" if it may be content."""
     if tag in DROPPED_TAGS or tag == "header" and not in_main:
-        return True
+        return "sure"
+    why = ""
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "sure"
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return "sure"
         if name == "role" and value in DROPPED_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[\s_-]+", value))
-            if words & DROPPED_WORDS or not in_main and words & HEADER_WORDS:
-                return True
-    return False
+            return "sure"
+        if name in ("class", "id") and tag not in UNTESTED:
+            roles = DROPPED_WORDS if in_main else DROPPED_WORDS | HEADER_WORDS
+            if any(_role_like(token, roles) for token in value.split()):
+                why = "words"
+    return why
 
 
 class Element:
@@ -79,9 +91,11 @@ class Element:
 
 def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Blocks of kept text with the keys of the elements around them, and all keys of the page."""
-    stack: list[tuple[str, bool, bool, Element | None]] = []  # tag, wanted, in the article, element
+    # Tag, wanted, in the article, element, and the elements around that their class or id drops
+    # unless an article or main text starts in them: [True] while dropped.
+    stack: list[tuple[str, bool, bool, Element | None, tuple[list[bool], ...]]] = []
     elements: list[Element] = []
-    blocks: list[tuple[str, list[Element], bool]] = []
+    blocks: list[tuple[str, list[Element], bool, tuple[list[bool], ...]]] = []
     held: list[str] = []
     has_main = False
 
@@ -90,8 +104,8 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                around = [e for *_, e in stack if e is not None]
-                blocks.append((text, around, stack[-1][2] if stack else False))
+                around = [e for _, _, _, e, _ in stack if e is not None]
+                blocks.append((text, around, stack[-1][2] if stack else False, stack[-1][4] if stack else ()))
 
     def close(tag: str) -> None:
         for depth in range(len(stack) - 1, -1, -1):
@@ -102,12 +116,14 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     for token in TOKEN.finditer(html):
         text = token.group()
         if text[0] == "<" and len(text) > 1:
-            if token.group(1) or text[1] in "!?":
+            if token.group(1) or token.group(2) or text[1] in "!?":
                 continue
             parts = TAG.match(text)
             if not parts:
                 continue
             shut, tag, rest = parts.group(1), parts.group(2).lower(), parts.group(3)
+            if tag == "head":  # what may stand in a head is void or has been skipped; all else is of the body
+                continue
             inline = tag in INLINE
             if tag == "br":
                 held.append(" ") if not stack or stack[-1][1] else None
@@ -123,32 +139,40 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 close("p")
             if tag in CLOSED_BY_SAME and stack and stack[-1][0] == tag:
                 stack.pop()
-            _, wanted, in_main, _ = stack[-1] if stack else ("", True, False, None)
-            if wanted and _unwanted(tag, rest, in_main):
+            _, wanted, in_main, _, doubts = stack[-1] if stack else ("", True, False, None, ())
+            why = _unwanted(tag, rest, in_main) if wanted else ""
+            if why == "sure":
                 wanted = False
+            elif why:
+                doubts = (*doubts, [True])
             if wanted and tag in MAIN:
-                in_main = has_main = True
+                if not in_main:
+                    for doubt in doubts:
+                        doubt[0] = False
+                if not any(d[0] for d in doubts):
+                    in_main = has_main = True
             element = None
             if not in_main and not inline and tag not in ("html", "body"):
                 element = Element(xxhash.xxh64_intdigest(tag), wanted)
                 elements.append(element)
-            for *_, e in stack:
+            for _, _, _, e, _ in stack:
                 if e is not None:
                     e.key = (e.key * 0x100000001B3 + xxhash.xxh64_intdigest(tag)) & 0xFFFFFFFFFFFFFFFF
             if rest.endswith("/") and not inline:
                 continue
-            stack.append((tag, wanted, in_main, element))
+            stack.append((tag, wanted, in_main, element, doubts))
         else:
             if not stack or stack[-1][1]:
                 held.append(text)
             if not text.isspace() and stack and not stack[-1][2]:
                 mark = xxhash.xxh64_intdigest(" ".join(text.split()))
-                for *_, e in stack:
+                for _, _, _, e, _ in stack:
                     if e is not None:
                         e.key = (e.key * 0x100000001B3 + mark) & 0xFFFFFFFFFFFFFFFF
     flush()
     signed = lambda k: k - (1 << 64) if k >> 63 else k
-    kept = [(t, [] if main else [signed(e.key) for e in around]) for t, around, main in blocks if main or not has_main]
+    kept = [(t, [] if main else [signed(e.key) for e in around]) for t, around, main, doubts in blocks
+            if (main or not has_main) and not any(d[0] for d in doubts)]
     return kept, sorted({signed(e.key) for e in elements})
 
 

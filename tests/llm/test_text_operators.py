@@ -171,6 +171,27 @@ def test_article_only():
     assert html_text.read_page("") == ([], []) and html_text.read_page("a < b <c")[0] == [("a < b <c", [])]
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<body class="single right-sidebar"><article><p>Story</article>', ["Story"]),
+    ('<html class="no-sidebar"><body class="sidebar"><p>Story', ["Story"]),
+    ('<article class="post comments-open comment"><p>Story</article>', ["Story"]),
+    ('<div class="content with-sidebar"><p>Story</div>', ["Story"]),
+    ('<div class="sidebar widget"><div id="page-nav"><article><p>Story</article></div></div>', ["Story"]),
+    ('<article><p>See <a title="A hidden gem" data-x="role=menu">this gem</a></article>', ["See this gem"]),
+    ('<article><p data-hidden="1" data-class="ad">Story</article>', ["Story"]),
+    ('<head><title>t</title><meta charset="x"><style>p {}</style><body><p>Story', ["Story"]),
+    ('<head><title>t</title><p>Story', ["Story"]),
+    ('<select><option>x</option><p>Story', ["x", "Story"]),
+    ('<p>One<svg viewBox="0"/><p>Story<svg><text>no</text></svg>', ["One", "Story"]),
+    ('<iframe src="x"><p>Story', ["Story"]),
+    ('<object data="x"><p>Story', ["Story"]),
+    ('<p>Story<div class="site-footer">no</div><div class="ad-slot x">no</div><ol id="comment_list"><li>no</ol><p hidden>no', ["Story"]),
+    ('<article><p>Story<div class="comments"><article class="comment">no</article></div></article>', ["Story"]),
+])
+def test_marks_drop_only_what_they_mark(html, text):
+    assert [t for t, _ in html_text.read_page(html)[0]] == text
+
+
 def test_site_template_is_deleted(spark):
     schema = "page_id long, url string, html string, host string, keys int, blocks int, text int"
     page = lambda i: f"<body><div class='top'>Our site</div><p>Story {i} of the day</p><p>Shared end</p></body>"
