@@ -1,14 +1,15 @@
 """Main text of web pages with the site's template removed.
 
-A page is read into its elements. Every element outside the article is hashed with all it
-holds; Spark counts on how many different pages of a host each hash stands, copies of one
-page counting once. Subtrees that recur on many pages of their host are template and are
-deleted. Elements whose name, class or role says that they are no content (menus, footers,
-adverts, forms, scripts, comments of readers, ...) are deleted wherever they stand; class
-and id count by whole tokens, and not where an article stands inside. Where a page marks its article, only that is kept and shared passages inside it stay.
-
-Pages are read twice, once to count and once to extract; html is never shuffled unless a
-page has blocks outside an article that may be template.
+A page is read into its elements. Every element is hashed with all it holds; Spark counts
+on how many different pages of a host each hash stands, copies of one page counting once.
+Subtrees that recur on many pages of their host are template and are deleted; inside an
+article only those on nearly all pages of the host are. Elements whose name, class or role
+says that they are no content (menus, footers, adverts, forms, scripts, comments of
+readers, ...) are deleted wherever they stand; class and id count by whole tokens, and not
+where an article stands inside.
+
+Pages are read twice, once to count and once to extract; the text of pages is only shuffled
+where the list of pages with template is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
 
 MIN_PAGES = 5  # different pages of a host on which a template subtree stands
+ARTICLE_SHARE = 0.8  # of the pages of a host on which a template subtree inside articles stands
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(noscript|template|svg|iframe|object|select)(?=[\s/>])[^>]*(?<!/)>.*?</\2\s*>"
@@ -81,12 +83,17 @@ def _unwanted(tag: str, attributes: str, in_main: bool) -> str:
 
 
 class Element:
-    """An open or closed element outside an article; ``key`` is the hash of all it holds."""
+    """An open or closed element; ``key`` is the hash of all it holds, ``inside`` tells whether it is part of an article."""
 
-    __slots__ = ("key", "wanted")
+    __slots__ = ("key", "inside")
 
-    def __init__(self, key: int, wanted: bool):
-        self.key, self.wanted = key, wanted
+    def __init__(self, key: int, inside: bool):
+        self.key, self.inside = key, inside
+
+    def signed(self) -> int:
+        """The key as a signed number, odd inside an article."""
+        key = self.key & ~1 | self.inside
+        return key - (1 << 64) if key >> 63 else key
 
 
 def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
@@ -95,17 +102,18 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     # unless an article or main text starts in them: [True] while dropped.
     stack: list[tuple[str, bool, bool, Element | None, tuple[list[bool], ...]]] = []
     elements: list[Element] = []
-    blocks: list[tuple[str, list[Element], bool, tuple[list[bool], ...]]] = []
+    blocks: list[tuple[str, list[Element], tuple[list[bool], ...]]] = []
     held: list[str] = []
-    has_main = False
 
     def flush() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                around = [e for _, _, _, e, _ in stack if e is not None]
-                blocks.append((text, around, stack[-1][2] if stack else False, stack[-1][4] if stack else ()))
+                main = bool(stack) and stack[-1][2]
+                # Of an article only parts can be template, not what holds it.
+                around = [e for _, _, _, e, _ in stack if e is not None and e.inside == main]
+                blocks.append((text, around, stack[-1][4] if stack else ()))
 
     def close(tag: str) -> None:
         for depth in range(len(stack) - 1, -1, -1):
@@ -140,6 +148,7 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             if tag in CLOSED_BY_SAME and stack and stack[-1][0] == tag:
                 stack.pop()
             _, wanted, in_main, _, doubts = stack[-1] if stack else ("", True, False, None, ())
+            inside = in_main
             why = _unwanted(tag, rest, in_main) if wanted else ""
             if why == "sure":
                 wanted = False
@@ -150,10 +159,10 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                     for doubt in doubts:
                         doubt[0] = False
                 if not any(d[0] for d in doubts):
-                    in_main = has_main = True
+                    in_main = True
             element = None
-            if not in_main and not inline and tag not in ("html", "body"):
-                element = Element(xxhash.xxh64_intdigest(tag), wanted)
+            if not inline and tag not in ("html", "body") and in_main == inside:
+                element = Element(xxhash.xxh64_intdigest(tag), inside)
                 elements.append(element)
             for _, _, _, e, _ in stack:
                 if e is not None:
@@ -164,20 +173,18 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         else:
             if not stack or stack[-1][1]:
                 held.append(text)
-            if not text.isspace() and stack and not stack[-1][2]:
+            if stack and not text.isspace():
                 mark = xxhash.xxh64_intdigest(" ".join(text.split()))
                 for _, _, _, e, _ in stack:
                     if e is not None:
                         e.key = (e.key * 0x100000001B3 + mark) & 0xFFFFFFFFFFFFFFFF
     flush()
-    signed = lambda k: k - (1 << 64) if k >> 63 else k
-    kept = [(t, [] if main else [signed(e.key) for e in around]) for t, around, main, doubts in blocks
-            if (main or not has_main) and not any(d[0] for d in doubts)]
-    return kept, sorted({signed(e.key) for e in elements})
+    kept = [(t, [e.signed() for e in around]) for t, around, doubts in blocks if not any(d[0] for d in doubts)]
+    return kept, sorted({e.signed() for e in elements})
 
 
 def parsed(df: DataFrame, html: str, url: str, keep: list[str], with_blocks: bool) -> DataFrame:
-    """The kept columns with host, a hash of the whole page, and its blocks or the keys of its elements."""
+    """The kept columns with host, a hash of the whole page, and its blocks, or the keys around blocks and of all elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("text", pa.string()), ("keys", pa.list_(pa.int64()))]))
@@ -185,8 +192,9 @@ def parsed(df: DataFrame, html: str, url: str, keep: list[str], with_blocks: boo
             blocks, keys, rows = [], [], []
             for page in batch.column("html").to_pylist():
                 found, all_keys = read_page(page)
-                blocks.append([{"text": t, "keys": k} for t, k in found] if with_blocks else [])
-                keys.append(sorted({k for _, ks in found for k in ks}) if with_blocks else all_keys)
+                around = sorted({k for _, ks in found for k in ks})
+                blocks.append([{"text": t, "keys": k} for t, k in found] if with_blocks else [{"text": None, "keys": around}])
+                keys.append([] if with_blocks else all_keys)
                 rows.append(xxhash.xxh64_intdigest(page.encode("utf-8", "replace")) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(rows, pa.int64()), pa.array(blocks, kind), pa.array(keys, pa.list_(pa.int64()))],
@@ -199,11 +207,23 @@ def parsed(df: DataFrame, html: str, url: str, keep: list[str], with_blocks: boo
     return rows.mapInArrow(run, ddl + ", page_hash long, blocks array<struct<text:string,keys:array<long>>>, keys array<long>")
 
 
-def templates(df: DataFrame, html: str = "html", url: str = "url", least: int = MIN_PAGES) -> DataFrame:
-    """(host, key) of the subtrees that stand on at least ``least`` different pages of the host."""
-    seen = parsed(df, html, url, [], False).select("host", "page_hash", F.explode("keys").alias("key"))
-    counted = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("pages"))
-    return counted.where(F.col("pages") >= least)
+def subtrees(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """(host, page_hash, key, held) of the subtrees of different pages; held tells whether one holds a block that may be kept."""
+    held = lambda k: F.struct(k.alias("key"), F.array_contains(F.col("blocks")[0]["keys"], k).alias("held"))
+    rows = parsed(df, html, url, [], False).select("host", "page_hash", F.explode(F.transform("keys", held)).alias("x"))
+    return rows.select("host", "page_hash", "x.key", "x.held").distinct()
+
+
+def templates(seen: DataFrame, least: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
+    """(host, key) of the subtrees that are template.
+
+    They stand on at least ``least`` different pages of the host and, inside an
+    article, also on at least ``share`` of its different pages that have elements.
+    """
+    counted = seen.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    hosts = seen.select("host", "page_hash").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
+    outside = F.col("key").bitwiseAND(F.lit(1)) == 0
+    return counted.join(hosts, "host").where(outside | (F.col("pages") >= F.col("all_pages") * share)).select("host", "key")
 
 
 def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", least: int = MIN_PAGES) -> DataFrame:
@@ -214,20 +234,16 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
     that repeat stay rows of their own and count once for the template. Other
     columns are not read; an empty table gives an empty table.
     """
-    found = cut_lineage(templates(df, html, url, least).select("host", "key"), "templates")
-    rows = parsed(df, html, url, list(dict.fromkeys([key, url])), True)
-    text = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    names = [F.col(f"`{c}`") for c in dict.fromkeys([key, url])]
-    plain = rows.where(F.size("keys") == 0).select(*names, text(F.col("blocks")).alias("text"))
-    mixed = rows.where(F.size("keys") > 0)
-    hits = (
-        mixed.select("host", "page_hash", F.explode("keys").alias("key")).distinct().join(found, ["host", "key"])
-        .groupBy("host", "page_hash").agg(F.collect_set("key").alias("gone"))
+    seen = cut_lineage(subtrees(df, html, url), "subtrees")
+    found = cut_lineage(templates(seen, least), "templates")
+    hits = cut_lineage(
+        seen.where("held").join(found, ["host", "key"]).groupBy("host", "page_hash").agg(F.collect_set("key").alias("gone")), "hits",
     )
-    gone = F.coalesce("gone", F.array().cast("array<long>"))
-    stay = F.filter("blocks", lambda b: ~F.arrays_overlap(b["keys"], gone))
-    cut = mixed.join(hits, ["host", "page_hash"], "left").select(*names, text(stay).alias("text"))
-    return plain.unionByName(cut).withColumn("n_chars", F.length("text").cast("long"))
+    names = [F.col(f"`{c}`") for c in dict.fromkeys([key, url])]
+    rows = parsed(df, html, url, list(dict.fromkeys([key, url])), True).join(hits, ["host", "page_hash"], "left")
+    stay = F.filter("blocks", lambda b: ~F.arrays_overlap(b["keys"], F.coalesce("gone", F.array().cast("array<long>"))))
+    text = F.array_join(F.transform(stay, lambda b: b["text"]), "\n")
+    return rows.select(*names, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @query("op4_html_text")

@@ -204,3 +204,17 @@ def test_site_template_is_deleted(spark):
     assert got[25].text == "Our site\nStory 77 of the day\nShared end"  # copies of one page are one page
     assert got[10].text == "" and got[10].n_chars == 0 and got[None].text == "lone"
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_template_rule_decides_around_and_inside_articles(spark):
+    schema = "page_id long, url string, html string"
+    note = lambda i: "<p>Shared by some</p>" if i < 6 else ""
+    page = lambda i: f"""<body><div><p>Our site</p></div><div><p>Long story {i}</p></div><div class="wrap"><main><h1>Head {i}</h1>
+      <div><p>Get our letter</p></div><p>Part {i}</p>{note(i)}</main></div></body>"""
+    rows = [(i, "https://a.example/", page(i)) for i in range(10)]
+    same = lambda i: f"<div><p>Menu {i}</p></div><div><article><p>Same words</p></article></div>"
+    rows += [(20 + i, "https://b.example/", same(i)) for i in range(5)] + [(40 + i, "https://b.example/", f"<p>Other {i}</p>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, schema)).collect()}
+    for i in range(10):
+        assert got[i].split("\n") == [f"Long story {i}", f"Head {i}", f"Part {i}"] + (["Shared by some"] if i < 6 else [])
+    assert got[21] == "Menu 1\nSame words" and got[41] == "Other 1"
