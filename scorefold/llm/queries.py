@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from scorefold.llm import bpe, divergence, embedding_dedup, exact_dedup, html_text, katz_lm, minhash_dedup, packing, quality, secret_scan, toxicity  # noqa: F401
+from scorefold.llm import bpe, divergence, embedding_dedup, exact_dedup, html_text, katz_lm, minhash_dedup, packing, quality, ranked_search, secret_scan, toxicity  # noqa: F401
 from scorefold.llm.registry import QUERIES
 
 __all__ = ["QUERIES"]
