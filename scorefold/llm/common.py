@@ -159,3 +159,28 @@ def bounded(batches, column: str, limit: int = 8 << 20):
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+class Known:
+    """Values of words by hash, of at most ``limit`` words: sorted arrays, a few bytes a word."""
+
+    def __init__(self, width: int, limit: int):
+        self.width, self.limit = width, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, self.width))
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is known, and the values of those that are."""
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        good = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        return good, self.values[at[good]]
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        if len(self.hashes) + len(h) > self.limit:
+            self.clear()
+        h, values = np.concatenate([self.hashes, h[:self.limit]]), np.concatenate([self.values, values[:self.limit]])
+        order = np.argsort(h)
+        self.hashes, self.values = h[order], values[order]

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorefold.llm.common import Spans, bounded, buffers, filled, fold_of, ranges, table, words
+from scorefold.llm.common import Known, Spans, bounded, buffers, filled, fold_of, ranges, table, words
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
 
@@ -237,7 +237,9 @@ def fit(
     )
     rows = learnt.join(F.broadcast(numbers), "lang").where("h < below").select("text", "y")  # one row for each language
     counted = rows.mapInArrow(_counted, "word binary, y int, n bigint").groupBy("word", "y").agg(F.sum("n").alias("n"))
-    listed = cut_lineage(counted.groupBy("word").agg(F.collect_list(F.struct("y", "n")).alias("counts")), "lang-words")
+    listed = counted.groupBy("word").agg(F.collect_list(F.struct("y", "n")).alias("counts"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = cut_lineage(listed.repartition(parts), "lang-words")  # few bytes, much work: not to be coalesced
     vocab = vocabulary(path)
     p = np.full((vocab.size + 1, len(langs)), 1 / vocab.size)
     p[-1] = 0
@@ -255,35 +257,10 @@ def fit(
 
 # ---------------------------------------------------------------- scoring
 
-class Known:
-    """Scores of words by hash, of at most KNOWN words."""
-
-    def __init__(self, langs: int):
-        self.langs = langs
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, self.langs))
-
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is known, and the values of those that are."""
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        good = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        return good, self.values[at[good]]
-
-    def add(self, h: np.ndarray, values: np.ndarray) -> None:
-        if len(self.hashes) + len(h) > KNOWN:
-            self.clear()
-        h, values = np.concatenate([self.hashes, h[:KNOWN]]), np.concatenate([self.values, values[:KNOWN]])
-        order = np.argsort(h)
-        self.hashes, self.values = h[order], values[order]
-
-
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        vocab, known = vocabulary(model.path), Known(len(model.langs))
+        vocab, known = vocabulary(model.path), Known(len(model.langs), KNOWN)
         names = pa.array(model.langs, pa.string())
         for batch in bounded(batches, "__text", 4 << 20):
             spans = words(batch.column("__text"))

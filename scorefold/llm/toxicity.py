@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorefold.llm.common import bounded, filled, held_out, table, words
+from scorefold.llm.common import Known, bounded, filled, held_out, table, words
 from scorefold.llm.labelled import newton, training_rows
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
@@ -38,7 +38,8 @@ LONG = 24  # a longer word is cut into overlapping windows of this size
 LEAST_Z = 5.0
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 INNER = re.compile(r"[\W\d_]+")
-CACHE = 1_000_000
+KNOWN = 200_000  # words whose margins a task remembers
+SLICE = 1 << 20  # bytes of text scored together
 
 _CODES = np.full(1 << 16, 0, np.int32)
 _CODES[:] = 30 + np.arange(1 << 16) % 17
@@ -180,24 +181,27 @@ def _spelled(spans, lone: np.ndarray) -> list[tuple[int, str]]:
 def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]) -> DataFrame:
     """The kept columns and, of each whole text: largest margin, words past the margin, their share."""
     shared = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    known: dict[int, float] = {}
+    column = text if text in keep else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known.clear()
-        for batch in bounded(batches, "__text", 4 << 20):
-            spans = words(batch.column("__text"))
+        known = Known(1, KNOWN)
+        for batch in bounded(batches, column, SLICE):
+            spans = words(batch.column(column))
             codes, names = pd.factorize(spans.hashes(fold_case=True))
             n = batch.num_rows
             top, past = np.full(n, -2.0), np.zeros(n)
             counts = np.diff(spans.first)
             if len(names):
                 first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1) > 0)
-                if len(known) > CACHE:
-                    known.clear()
-                fresh = [k for k, h in enumerate(names.tolist()) if h not in known]
-                margins = word_margins([t.decode("utf-8", "replace").lower() for t in spans.texts(first[fresh])], shared.value)
-                known.update(zip(names[fresh].tolist(), margins.tolist()))
-                margin = np.array([known[h] for h in names.tolist()])[codes]
+                old, seen = known.look_up(names)
+                values = np.zeros((len(names), 1))
+                values[old] = seen
+                new = np.flatnonzero(~old)
+                if len(new):
+                    margins = word_margins([t.decode("utf-8", "replace").lower() for t in spans.texts(first[new])], shared.value)
+                    values[new, 0] = margins
+                    known.add(names[new], values[new])
+                margin = values[codes, 0]
                 full = counts > 0
                 top[full] = np.maximum.reduceat(margin, spans.first[:-1][full])
                 past[full] = np.add.reduceat((margin > 0).astype(float), spans.first[:-1][full])
@@ -207,12 +211,13 @@ def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]
                     top[row] = max(top[row], m)
                     past[row] += m > 0
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(top), pa.array(np.log1p(past)), pa.array(past / np.maximum(counts, 1))],
-                [*batch.schema.names[:-1], "__top", "__past", "__share"],
+                [*batch.columns[: len(keep)], pa.array(top), pa.array(np.log1p(past)), pa.array(past / np.maximum(counts, 1))],
+                [*batch.schema.names[: len(keep)], "__top", "__past", "__share"],
             )
 
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], filled(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    # A kept text is read where it stands, with null as empty; it is not sent twice.
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [filled(text).alias("__text")]))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(run, ddl + ", __top double, __past double, __share double")
 
 
