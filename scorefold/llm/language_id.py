@@ -292,9 +292,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     A null text, one without a letter, and any text if no language was learnt, is `und`
     with score 0. Equal posteriors go to the first language by name. Rows that repeat
-    stay rows of their own.
+    stay rows of their own. Columns of the names of the result are replaced by it.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score") and (keep or c != text)]
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = df.select(*[F.col(f"`{c}`") for c in keep], letters.alias("__letters"), F.when(letters, F.col(text)).otherwise("").alias("__text"))
     if not model.langs:
