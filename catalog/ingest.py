@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catalog.answers import results
 from catalog.evaluation import MM_SQL
 from catalog.inputs import ADMISSIONS, CODE_ROWS, LISTS, MM_COLUMNS, admissions, answer_lists, rounded, rounded_sql, table
-from catalog.registry import query
+from catalog.registry import CATALOG, query
 from catalog.selecting import SCORED, scored
 from scorefold.operators import filters as FL, quality as Q
-from scorefold.session import shared_dir
+from scorefold.plans import scorecard as SC
+from scorefold.session import cut_lineage, shared_dir
 from scorefold.sources import readers as RD, sinks as SK
 from scorefold.streaming import incremental as INC
 
@@ -122,13 +124,30 @@ def newest_versions(spark: SparkSession, d: str) -> DataFrame:
 @query("st1_incremental_evaluation", f"{MM_SQL}, n AS (SELECT system, count(DISTINCT id) AS n_samples FROM code_rows GROUP BY 1) SELECT system AS collection, tp, fp, fn, n_labels, n_samples, {rounded_sql(MM_COLUMNS)} FROM mm JOIN n USING (system)")
 def incremental_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Two arrivals of prediction files; the second run reads only the new ones."""
-    inbox, state = shared_dir(spark, "inbox"), INC.new_state(spark)
+    inbox, evaluation = shared_dir(spark, "inbox"), INC.Evaluation(INC.new_state(spark), INC.list_tallies(), INC.list_scores)
     rows = answer_lists(spark, d).withColumnRenamed("system", "collection")
     rows = rows.select("collection", "id", "gold", "pred")
     for arrivals in (F.col("collection") == "A", F.col("collection") != "A"):
         rows.filter(arrivals).write.mode("append").parquet(inbox)
-        INC.evaluate_stream(INC.prediction_stream(spark, inbox, rows.schema), state)
-    return rounded(INC.scores_so_far(spark, state), MM_COLUMNS)
+        evaluation.run(INC.prediction_stream(spark, inbox, rows.schema))
+    return rounded(evaluation.scores(spark), MM_COLUMNS)
+
+
+@query("st1_streaming_scorecard", CATALOG["a26_scorecard"][1])
+def streaming_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    """The full scorecard of results that arrive in two parts of each run; the second batch is taken twice, then compacted."""
+    inbox = shared_dir(spark, "inbox")
+    evaluation = INC.Evaluation(INC.new_state(spark), SC.scorecard_tallies, SC.scorecard_of)
+    rows = cut_lineage(SC.parsed_results(results(spark, d)), "results")
+    first = F.col("id") % 3 == 0
+    rows.filter(first).write.parquet(inbox)
+    evaluation.run(INC.prediction_stream(spark, inbox, rows.schema))
+    rows.filter(~first).write.mode("append").parquet(inbox)
+    evaluation.run(INC.prediction_stream(spark, inbox, rows.schema))
+    evaluation.take(rows.filter(~first), 1)
+    evaluation.store.compact(spark, 1)
+    evaluation.take(rows.filter(~first), 1)
+    return evaluation.scores(spark)
 
 
 # --- data checks -------------------------------------------------------------------

@@ -10,7 +10,8 @@ from scorefold.functions import text as X
 from scorefold.functions.scoring import mean_of
 from scorefold.operators import filters as FL, names as N, reports as RP, set_metrics as SM
 from scorefold.plans import result_tables as RT
-from scorefold.session import cut_lineage
+from scorefold.session import cut_lineage, shared_dir
+from scorefold.sources import metric_table as MT
 
 METRICS = ["f1_micro", "f1_macro", "precision_macro", "recall_macro"]
 
@@ -277,15 +278,20 @@ def new_collections(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {RUNS_SQL} SELECT collection, CASE WHEN collection LIKE '%base%' THEN NULL ELSE f1_micro END AS f1_micro, CASE WHEN collection LIKE '%base%' THEN n_samples END AS n_samples FROM met",
 )
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    table_ = saved_metrics(spark, d)
-    new = table_.filter(F.col("collection").contains("base")).select("collection", "n_samples")
-    return RP.upsert(table_.select("collection", "f1_micro"), new)
+    """A metric table on disk; the base runs are replaced, with another column, twice."""
+    table_, path = saved_metrics(spark, d), shared_dir(spark, "metrics")
+    MT.create(table_.select("collection", "f1_micro"), path, buckets=16)
+    for _ in range(2):
+        MT.upsert(table_.filter(F.col("collection").contains("base")).select("collection", "n_samples"), path)
+    return MT.read(spark, path)
 
 
 @query("s12_append_metrics", f"WITH {RUNS_SQL} SELECT collection, f1_micro, CASE WHEN collection LIKE 'test-%' THEN NULL ELSE f1_macro END AS f1_macro, n_samples FROM met")
 def append_metrics(spark: SparkSession, d: str) -> DataFrame:
-    table_ = saved_metrics(spark, d)
-    new, _ = RP.new_and_done(table_.select("collection"), table_.filter(F.col("collection").startswith("test-")))
+    """All runs are brought to a table that has the test runs; those stay as they are."""
+    table_, path = saved_metrics(spark, d), shared_dir(spark, "metrics")
     old = table_.filter(F.col("collection").startswith("test-")).select("collection", "f1_micro", "n_samples")
-    fresh = table_.join(new, "collection", "left_semi").select("collection", "f1_micro", "f1_macro", "n_samples")
-    return RP.append_metrics(old, fresh)
+    MT.create(old, path, buckets=16)
+    MT.append(table_.select("collection", "f1_micro", "f1_macro", "n_samples"), path)
+    stored = MT.read(spark, path)
+    return RP.append_metrics(stored, stored.limit(0))

@@ -158,3 +158,26 @@ def mean_of(columns: list[Column]) -> Column:
     """Mean of the non-null values of a row; null when all are null."""
     kept = F.array_compact(F.array(*[c.cast("double") for c in columns]))
     return F.when(F.size(kept) > 0, _sum(kept) / F.size(kept))
+
+
+def _marked(items: Column, gold: bool, pred: bool) -> Column:
+    return F.transform(
+        items,
+        lambda c: F.struct(
+            c.alias("code"), F.lit(gold).alias("is_gold"), F.lit(pred).alias("is_pred")
+        ),
+    )
+
+
+def compare_lists(gold: Column, pred: Column) -> Column:
+    """Distinct codes of either list with their two flags."""
+    empty = F.array().cast("array<string>")
+    both = F.struct(F.coalesce(gold, empty).alias("g"), F.coalesce(pred, empty).alias("p"))
+    return let(
+        both,
+        lambda v: F.concat(
+            _marked(F.array_intersect(v["g"], v["p"]), True, True),
+            _marked(F.array_except(v["g"], v["p"]), True, False),
+            _marked(F.array_except(v["p"], v["g"]), False, True),
+        ),
+    )

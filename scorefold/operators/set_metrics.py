@@ -13,37 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scorefold.functions import codes as C
 from scorefold.functions.binding import let
 from scorefold.functions.scoring import (
-    average_precision, f1, first_gold_hit, precision, ratio, recall,
+    average_precision, compare_lists, f1, first_gold_hit, precision, ratio, recall,
 )
+from scorefold.operators import tallies as T
 from scorefold.session import cut_lineage
 
 # Strata as (name, fewest training admissions), high to low.
 STRATA = [("head", 100), ("body", 10), ("tail", 0)]
 
 
-def _marked(items: Column, gold: bool, pred: bool) -> Column:
-    return F.transform(
-        items,
-        lambda c: F.struct(
-            c.alias("code"), F.lit(gold).alias("is_gold"), F.lit(pred).alias("is_pred")
-        ),
-    )
-
-
-def compare_lists(gold: Column, pred: Column) -> Column:
-    """Distinct codes of either list with their two flags."""
-    empty = F.array().cast("array<string>")
-    both = F.struct(F.coalesce(gold, empty).alias("g"), F.coalesce(pred, empty).alias("p"))
-    return let(
-        both,
-        lambda v: F.concat(
-            _marked(F.array_intersect(v["g"], v["p"]), True, True),
-            _marked(F.array_except(v["g"], v["p"]), True, False),
-            _marked(F.array_except(v["p"], v["g"]), False, True),
-        ),
-    )
-
-
 def pairs_from_lists(df: DataFrame, keys: list[str], gold: Column, pred: Column) -> DataFrame:
     """Pairs of every row's lists, without a shuffle."""
     return df.select(*keys, F.inline(compare_lists(gold, pred)))
@@ -214,22 +192,6 @@ def error_rates(df: DataFrame, by: list[str], gold: str = "ICD_CODES", pred: str
     return out.withColumn("recall_primary", 1 - F.col("missed_primary"))
 
 
-def pairs_by_level(df: DataFrame, keys: list[str], gold: Column, pred: Column) -> DataFrame:
-    """Pairs of the full codes and of their categories, told apart by ``level``."""
-
-    def level(name: str, g: Column, p: Column) -> Column:
-        return F.transform(
-            compare_lists(g, p),
-            lambda e: F.struct(F.lit(name).alias("level"), e["code"].alias("code"),
-                               e["is_gold"].alias("is_gold"), e["is_pred"].alias("is_pred")),
-        )
-
-    both = F.concat(
-        level("category", C.short_codes(gold), C.short_codes(pred)), level("full", gold, pred)
-    )
-    return df.select(*keys, F.inline(both))
-
-
 def _specificity_sums(gold: Column, pred: Column) -> list[Column]:
     covered = let(
         C.short_codes(pred),
@@ -264,23 +226,22 @@ def invalid_token_rate(df: DataFrame, by: list[str], raw: Column) -> DataFrame:
 
 
 def full_code_scores(df: DataFrame, by: list[str], gold: str = "ICD_CODES", raw: str = "raw_codes") -> DataFrame:
-    """Micro and macro scores at both levels, specificity and invalid share, per group."""
-    rows = df.select(
-        *by, C.gold_full_codes(gold).alias("g"), C.full_codes(raw).alias("p"), F.col(raw).alias("r")
-    )
-    g, p = F.col("g"), F.col("p")
-    scores = micro_macro(code_counts(pairs_by_level(rows, by, g, p), [*by, "level"]), [*by, "level"])
-    names = [f"{m}_{a}" for a in ("micro", "macro") for m in ("recall", "precision", "f1")]
-    wide = scores.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("level") == lvl, F.col(c))).alias(f"{c}_{lvl}")
-            for lvl in ("category", "full") for c in [*names, "n_labels"]
-        ]
+    """Micro and macro scores at both levels, specificity and invalid share, per group, in one pass."""
+    rows = df.select(*by, C.gold_full_codes(gold).alias("g"), C.full_codes(raw).alias("p"), F.col(raw).alias("r")).select(
+        "*", C.short_codes("g").alias("gs"), C.short_codes("p").alias("ps")
     )
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), *_specificity_sums(g, p), _invalid_rate(F.col("r"))
+    covered = F.filter("g", lambda c: F.array_contains(F.col("ps"), C.short_code(c)))
+    numbers = {
+        "exact": F.size(F.array_intersect("g", "p")), "covered": F.size(covered),
+        "invalid": C.invalid_entry_count(F.col("r")), "entries": C.raw_entry_count(F.col("r")),
+    }
+    parts = T.tallies(rows, by, numbers, {"category": (F.col("gs"), F.col("ps")), "full": (F.col("g"), F.col("p"))})
+    exact, n = T.total("exact").cast("bigint"), T.total("covered").cast("bigint")
+    levels = {f"{name}_{lvl}": c for lvl in ("category", "full") for name, c in T.label_metrics(lvl).items() if name not in T.FLAGS}
+    return parts.groupBy(*by).agg(
+        T.count_rows().alias("n"), exact.alias("cat_hit_exact"), ratio(T.total("invalid"), T.total("entries")).alias("invalid_token_rate"),
+        ratio(exact, n).alias("specificity_given_cat_hit"), (n - exact).alias("cat_hit_inexact"), *[c.alias(name) for name, c in levels.items()],
     )
-    return _with_specificity(sums).join(wide, by, "left")
 
 
 def rank_scores(df: DataFrame, by: list[str], gold: Column, pred: Column, top_n: int = 20) -> DataFrame:
@@ -298,18 +259,32 @@ def score_systems(df: DataFrame, by: list[str], gold: str = "gold", pred: str =
 
     Without a vocabulary the gold codes of the table are used.
     """
-    pairs = pairs_from_lists(df, by, F.col(gold), F.col(pred))
-    # One row per system and code; written once because three steps read it.
-    counts = cut_lineage(code_counts(pairs, by), "counts")
+    g, p = F.col(gold), F.col(pred)
+    numbers = {"map": average_precision(p, g, top_n), "first": first_gold_hit(p, g), "size": F.size(p)}
+    numbers |= {f"{n}_seen": numbers[n].isNotNull().cast("int") for n in ("map", "first")}
+    # One row per system and code, and one per system; written once because three steps read it.
+    parts = cut_lineage(T.tallies(df, by, numbers, {"codes": (g, p)}), "tallies")
     if vocabulary is None:
-        vocabulary = counts.filter((F.col("tp") + F.col("fn")) > 0).select("code")
-    micro = micro_macro(counts, by).select(
-        *by, (100 * F.round("f1_micro", 4)).alias("micro_f1")
-    )
-    return (
-        rank_scores(df, by, F.col(gold), F.col(pred), top_n)
-        .join(macro_over(counts, by, vocabulary), by, "left")
-        .join(micro, by, "left")
+        vocabulary = parts.filter((F.col("kind") == "codes") & ((F.col("tp") + F.col("fn")) > 0)).select("code")
+    known = vocabulary.select("code").distinct()
+    size = known.agg(F.count("*")).scalar()
+    marked = parts.join(known.withColumn("known", F.lit(True)), "code", "left")
+    in_space = (F.col("kind") == "codes") & F.col("known")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+
+    def macro(c: Column) -> Column:
+        return 100 * ratio(F.coalesce(F.sum(F.when(in_space, c)), F.lit(0.0)), size)
+
+    def seen(name: str) -> Column:
+        return F.try_divide(T.total(name), T.total(f"{name}_seen"))
+
+    codes = T.label_metrics("codes")
+    some = F.count_if(F.col("kind") == "codes") > 0
+    return marked.groupBy(*by).agg(
+        (100 * F.coalesce(seen("map"), F.lit(0.0))).alias("map_at_n"), (100 * seen("first")).alias("md_acc"),
+        T.mean("size").alias("codes_per_adm"),
+        *[F.when(some, macro(c)).alias(n) for n, c in (("recall", recall(tp, fn)), ("precision", precision(tp, fp)), ("f1", f1(tp, fp, fn)))],
+        (100 * F.round(codes["f1_micro"], 4)).alias("micro_f1"),
     )
 
 

@@ -1,14 +1,15 @@
+import functools
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from scorefold.functions.text import LineRules
-from scorefold.operators import selection as SE
+from scorefold.operators import selection as SE, set_metrics as SM
 from scorefold.operators.selection import THRESHOLDS
-from scorefold.plans import cohort as CO, instructions as I, merge as MG
+from scorefold.plans import cohort as CO, instructions as I, merge as MG, scorecard as SC
 from scorefold.session import shared_dir
-from scorefold.sources import readers as RD, sinks as SK
+from scorefold.sources import metric_table as MT, readers as RD, sinks as SK
 from scorefold.streaming import incremental as INC
 
 
@@ -158,26 +159,100 @@ def test_shared_folder_setting(spark):
 # --- incremental evaluation ---------------------------------------------------------------
 
 
+SETS = "collection string, gold array<string>, pred array<string>"
+
+
+def evaluation(path, **more):
+    return INC.Evaluation(str(path), INC.list_tallies(), INC.list_scores, **more)
+
+
+def standing(ev, spark):
+    return {r["collection"]: (r["tp"], r["fp"], r["fn"], r["n_samples"]) for r in ev.scores(spark).collect()}
+
+
 def test_incremental_evaluation(spark, tmp_path):
-    schema = "collection string, gold array<string>, pred array<string>"
-    inbox, state = str(tmp_path / "in"), str(tmp_path / "state")
+    inbox, ev = str(tmp_path / "in"), evaluation(tmp_path / "state")
 
     def arrive(data):
-        df = spark.createDataFrame(data, schema)
+        df = spark.createDataFrame(data, SETS)
         df.write.mode("append").parquet(inbox)
-        INC.evaluate_stream(INC.prediction_stream(spark, inbox, df.schema), state)
-        return {r["collection"]: (r["tp"], r["fp"], r["fn"], r["n_samples"]) for r in INC.scores_so_far(spark, state).collect()}
+        ev.run(INC.prediction_stream(spark, inbox, df.schema))
+        return standing(ev, spark)
 
     assert arrive([("a", ["x", "y"], ["x", "z"])]) == {"a": (1, 1, 1, 1)}
     assert arrive([("a", ["x"], ["x"]), ("b", ["q"], [])]) == {"a": (2, 1, 1, 2), "b": (0, 0, 1, 1)}
 
 
 def test_evaluated_runs_are_skipped(spark, tmp_path):
-    df = spark.createDataFrame([("a", ["x"], ["x"]), ("b", ["x"], [])], "collection string, gold array<string>, pred array<string>")
-    inbox, state = str(tmp_path / "in"), str(tmp_path / "state")
+    df = spark.createDataFrame([("a", ["x"], ["x"]), ("b", ["x"], [])], SETS)
+    inbox, ev = str(tmp_path / "in"), evaluation(tmp_path / "state")
     df.write.parquet(inbox)
-    INC.evaluate_stream(INC.prediction_stream(spark, inbox, df.schema), state, done=df.filter("collection = 'a'"))
-    assert rows(INC.scores_so_far(spark, state), "collection", "fn") == [("b", 1)]
+    ev.run(INC.prediction_stream(spark, inbox, df.schema), done=df.filter("collection = 'a'"))
+    assert {k: v[2] for k, v in standing(ev, spark).items()} == {"b": 1}
+
+
+def test_repeated_and_compacted_batches_add_up_once(spark, tmp_path):
+    ev = evaluation(tmp_path, buckets=4, compact_every=2)
+    batches = [spark.createDataFrame([(f"run{(k + j) % 5}", ["x", f"g{j}"], ["x", f"p{k}"]) for j in range(3)], SETS) for k in range(5)]
+    nothing = spark.createDataFrame([], SETS)
+    for number, batch in enumerate([nothing, *batches]):
+        for _ in range(1 + number % 2):
+            ev.take(batch, number)
+    want = INC.list_scores(INC.list_tallies()(functools.reduce(lambda a, b: a.union(b), batches), ["collection"]), ["collection"])
+    assert sorted(map(tuple, ev.scores(spark).collect())) == sorted(map(tuple, want.select(ev.scores(spark).columns).collect()))
+    assert sorted(p.name for p in (tmp_path / "tallies" / "merged").iterdir()) == ["upto=1", "upto=3"]
+    assert sorted(map(tuple, INC.list_scores(ev.store.read(spark), ["collection"]).collect())) == sorted(map(tuple, want.collect()))
+
+
+def files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "m")
+    old = spark.range(40).selectExpr("concat('run', id) AS collection", "id AS n")
+    MT.create(old, path, buckets=8)
+    before = files(tmp_path / "m" / "data")
+    new = spark.createDataFrame([("run3", -1, "x"), ("new", -2, None)], "collection string, n long, note string")
+    touched = MT.upsert(new, path)
+    after = files(tmp_path / "m" / "data")
+    kept = {p for p in before if p in after and before[p] == after[p]}
+    assert 1 <= len(touched) <= 2 and {int(p.split("name_bucket=")[1].split("/")[0]) for p in before if p not in kept} == set(touched) & set(range(8))
+    want = {f"run{k}": (k, None) for k in range(40)} | {"run3": (-1, "x"), "new": (-2, None)}
+    assert {r["collection"]: (r["n"], r["note"]) for r in MT.read(spark, path).collect()} == want
+    MT.upsert(new, path)
+    assert MT.read(spark, path).count() == len(want)
+    MT.append(spark.createDataFrame([("run3", 5), ("other", 6)], "collection string, n long"), path)
+    want["other"] = (6, None)
+    assert {r["collection"]: (r["n"], r["note"]) for r in MT.read(spark, path).collect()} == want
+
+
+def test_scorecards_read_their_rows_once(spark, tmp_path):
+    """One scan in the plan of each fused report."""
+    rows = spark.createDataFrame(
+        [("s", "c", ["A1", "B2"], ["A1"], ["d"], "d", [1, 0], [1, 1], "[1]", "raw A01")],
+        "collection string, chief_complaint string, code_gold array<string>, code_pred array<string>, name_pred array<string>, disease string, "
+        "vector_pred array<int>, disease_vector array<int>, v1_json string, raw_codes string",
+    )
+    rows.write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    for report in (
+        SC.scorecard(stored, ["collection"]), SC.per_complaint(stored, ["collection"]),
+        SM.full_code_scores(stored.withColumn("raw_codes", F.array("raw_codes")), ["collection"], "code_gold", "raw_codes"),
+    ):
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and "Join" not in plan
+        assert report.count() >= 1
+
+
+def test_scorecard_of_rows_without_anything(spark):
+    schema = ("collection string, code_gold array<string>, code_pred array<string>, name_pred array<string>, disease string, "
+              "vector_pred array<int>, disease_vector array<int>")
+    rows = spark.createDataFrame([("s", None, None, None, None, None, None), ("s", ["A"], ["A"], ["d", "d"], "d", None, [1, -1])], schema)
+    card = SC.scorecard(rows, ["collection"]).first()
+    assert (card["n_samples"], card["f1_micro"], card["mrr"], card["code_len"], card["cos_sim"]) == (2, 100.0, 50.0, 0.5, 0.0)
+    assert card["f1_micro_at_1"] == pytest.approx(66.67)
+    assert SC.scorecard(rows.limit(0), ["collection"]).count() == 0
 
 
 def test_label_space_is_joined(spark):
