@@ -274,11 +274,14 @@ SIM_SQL = """cen AS (SELECT label, list(x ORDER BY i) AS c FROM (
   ranked AS (SELECT vec_id, truth, list(name ORDER BY s DESC, pos) AS diseases, list(s ORDER BY s DESC, pos) AS scores FROM sims GROUP BY ALL)"""
 
 
-def ranked_embeddings(spark: SparkSession, d: str, max_local_labels: int = SI.MAX_LOCAL_LABELS) -> DataFrame:
-    items = table(spark, d, "embeddings").select(
+def embedded_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(
         "vec_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("truth"), "embedding"
     )
-    return SI.rank_labels(items, label_vectors(spark, d), ["vec_id"], None, max_local_labels)
+
+
+def ranked_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return SI.rank_labels(embedded_items(spark, d), label_vectors(spark, d), ["vec_id"])
 
 
 @query(
@@ -298,13 +301,27 @@ def similarity_ranking(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {SIM_SQL} SELECT vec_id, array_to_string(diseases, ',') AS diseases, round(scores[1], 5) AS best FROM ranked",
 )
 def similarity_ranking_joined(spark: SparkSession, d: str) -> DataFrame:
-    """The way taken for vocabularies too large to broadcast."""
-    return ranked_embeddings(spark, d, max_local_labels=0).select(
+    """Each label in a group of its own copy of the items: many groups, one plan."""
+    groups = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("g")
+    items = embedded_items(spark, d).select("*", groups).where("vec_id % 2 = g")
+    labels = label_vectors(spark, d).select("*", groups)
+    return SI.rank_labels(items, labels, ["vec_id", "g"], "g").select(
         "vec_id", F.array_join("diseases", ",").alias("diseases"),
         F.round(F.get("diseases_cossim_scores", F.lit(0)), 5).alias("best"),
     )
 
 
+@query(
+    "j06_best_and_wanted_label",
+    f"WITH {SIM_SQL} SELECT vec_id, diseases[1] AS disease, round(scores[1], 5) AS best, list_position(diseases, 'L' || truth)::BIGINT AS position FROM ranked",
+)
+def best_and_wanted_label(spark: SparkSession, d: str) -> DataFrame:
+    """The first label and the place of the true one, without the lists."""
+    items, labels = embedded_items(spark, d), label_vectors(spark, d)
+    best = SI.best_label(items, labels, ["vec_id"]).select("vec_id", "disease", F.round("best_score", 5).alias("best"))
+    return best.join(SI.label_position(items, labels, ["vec_id"], "truth").select("vec_id", "position"), "vec_id")
+
+
 @query(
     "j07_snap_names",
     f"""WITH {SIM_SQL}, names AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'L' || label ELSE 'v' || vec_id END AS name FROM embeddings)
@@ -351,10 +368,9 @@ def annotate_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cohort_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Embedded admissions with their complaint and codes, and the label vectors per complaint."""
-    rows = cohort_rows(spark, d).filter("system = 'A'")
-    lists = rows.select(
-        F.col("id").alias("hadm_id"), "subject_id", "split", "ICD_CODES", F.lit(10).alias("ICD_version"),
+    """Answered admissions with their complaint and codes, the embeddings of some, and the label vectors per complaint."""
+    lists = cohort_rows(spark, d).select(
+        "system", F.col("id").alias("hadm_id"), "subject_id", "split", "ICD_CODES", F.lit(10).alias("ICD_version"),
         F.lit("hosp").alias("data_source"), F.array("chief_complaint").alias("cc_list"),
     )
     embeddings = table(spark, d, "embeddings").select(F.col("vec_id").alias("hadm_id"), "embedding")
@@ -365,49 +381,50 @@ def cohort_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 
 RANK_COHORT_SQL = f"""{CODE_MATCH_SQL}, cen AS (SELECT label, list(x ORDER BY i) AS c FROM (
     SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label),
-  r AS (SELECT l.id, any_value(a.subject_id) AS subject_id, any_value(a.split) AS split, a.complaint, list(d.disease ORDER BY list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), cen.c) DESC, d.pos) AS diseases
-    FROM lists l JOIN adm a USING (id) JOIN embeddings e ON e.vec_id = l.id JOIN dict d USING (complaint) JOIN cen ON cen.label = d.pos
-    WHERE l.system = 'A' GROUP BY ALL),
-  cohort AS (SELECT r.id, r.subject_id, r.split, r.complaint, r.diseases[1] AS disease, coalesce(m.rs[1], -1) AS a, coalesce(list_position(r.diseases, m.ds[1]), 0) - 1 AS b
-    FROM r LEFT JOIN m ON m.id = r.id AND m.system = 'A'),
+  sim AS (SELECT e.vec_id AS id, cen.label AS pos, list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), cen.c) AS s FROM embeddings e, cen),
+  r AS (SELECT l.system, l.id, any_value(a.subject_id) AS subject_id, any_value(a.split) AS split, a.complaint, list(d.disease ORDER BY coalesce(sim.s, 0) DESC, d.pos) AS diseases
+    FROM lists l JOIN adm a USING (id) JOIN dict d USING (complaint) JOIN cen ON cen.label = d.pos LEFT JOIN sim ON sim.id = l.id AND sim.pos = d.pos
+    GROUP BY ALL),
+  cohort AS (SELECT r.system, r.id, r.subject_id, r.split, r.complaint, r.diseases[1] AS disease, coalesce(m.rs[1], -1) AS a, coalesce(list_position(r.diseases, m.ds[1]), 0) - 1 AS b
+    FROM r LEFT JOIN m ON m.id = r.id AND m.system = r.system),
   cats AS (SELECT *, CASE WHEN least(a, b) < 0 THEN -1 WHEN greatest(a, b) <= 2 THEN greatest(a, b) ELSE 3 END AS match_category FROM cohort)"""
 
 
 def ranked_cohort(spark: SparkSession, d: str) -> DataFrame:
     lists, embeddings, labels = cohort_inputs(spark, d)
-    return plan.rank_cohort(lists, embeddings, diseases(spark), labels, COMPLAINTS)
+    return plan.rank_cohort(lists, embeddings, diseases(spark), labels, COMPLAINTS, keys=("system", "hadm_id"))
 
 
 @query(
     "d02_j08_rank_cohort",
-    f"""WITH {RANK_COHORT_SQL} SELECT id AS hadm_id, complaint AS chief_complaint, disease, match_category::INT AS match_category,
+    f"""WITH {RANK_COHORT_SQL} SELECT system, id AS hadm_id, complaint AS chief_complaint, disease, match_category::INT AS match_category,
       CASE complaint {' '.join(f"WHEN '{c}' THEN {5 + i}" for i, c in enumerate(COMPLAINTS))} END AS n_features FROM cats""",
 )
 def rank_cohort(spark: SparkSession, d: str) -> DataFrame:
     return ranked_cohort(spark, d).select(
-        "hadm_id", "chief_complaint", "disease", "match_category", F.size("disease_vector").alias("n_features")
+        "system", "hadm_id", "chief_complaint", "disease", "match_category", F.size("disease_vector").alias("n_features")
     )
 
 
 @query(
     "d02_f03_f04_select_cohort",
-    f"""WITH {RANK_COHORT_SQL} SELECT id AS hadm_id, complaint AS chief_complaint, match_category::INT AS match_category FROM cats
+    f"""WITH {RANK_COHORT_SQL} SELECT system, id AS hadm_id, complaint AS chief_complaint, match_category::INT AS match_category FROM cats
     WHERE match_category BETWEEN 0 AND 2 AND subject_id IN (SELECT subject_id FROM adm WHERE split <> 'dev')""",
 )
 def select_cohort(spark: SparkSession, d: str) -> DataFrame:
     saved = admissions(spark, d).filter("split <> 'dev'").select(F.col("complaint").alias("cc"), "subject_id")
     saved = saved.select("subject_id").distinct().withColumn("cc", F.explode(F.array(*[F.lit(c) for c in COMPLAINTS])))
-    return plan.select_cohort(ranked_cohort(spark, d), saved).select("hadm_id", "chief_complaint", "match_category")
+    return plan.select_cohort(ranked_cohort(spark, d), saved).select("system", "hadm_id", "chief_complaint", "match_category")
 
 
 @query(
     "f01_metadata_filter",
-    f"WITH {CODE_ROWS}, {LISTS}, {ADMISSIONS} SELECT id AS hadm_id, len(gold) AS n_codes FROM lists JOIN adm USING (id) WHERE system = 'A' AND split = 'test' AND complaint = '2-HIGH'",
+    f"WITH {CODE_ROWS}, {LISTS}, {ADMISSIONS} SELECT system, id AS hadm_id, len(gold) AS n_codes FROM lists JOIN adm USING (id) WHERE split = 'test' AND complaint = '2-HIGH'",
 )
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     lists, _, _ = cohort_inputs(spark, d)
     kept = FL.by_metadata(lists, 10, "hosp", "test", "2-HIGH")
-    return kept.select("hadm_id", F.size("ICD_CODES").cast("bigint").alias("n_codes"))
+    return kept.select("system", "hadm_id", F.size("ICD_CODES").cast("bigint").alias("n_codes"))
 
 
 @query(

@@ -23,21 +23,22 @@ def annotate(notes: DataFrame, labevents: DataFrame, admissions: DataFrame,
 
 def rank_cohort(annotated: DataFrame, embeddings: DataFrame, diseases: DataFrame,
                 disease_embeddings: DataFrame, complaints: list[str],
-                icd_version: int = 10, data_source: str = "hosp") -> DataFrame:
+                icd_version: int = 10, data_source: str = "hosp", keys: tuple[str, ...] = ("hadm_id",)) -> DataFrame:
     """One row per (admission, complaint) with ranked diseases, vector and match category.
 
     ``embeddings``: (hadm_id, embedding) of the diagnosis text;
-    ``disease_embeddings``: (chief_complaint, pos, label, embedding).
+    ``disease_embeddings``: (chief_complaint, pos, label, embedding). ``keys`` identify an
+    annotated row. An admission without embedding stays; its similarities are 0.
     """
-    keys = ["hadm_id", "chief_complaint"]
     rows = (
         by_metadata(annotated, icd_version, data_source)
         .withColumn("chief_complaint", F.explode("cc_list"))
         .filter(F.col("chief_complaint").isin(complaints))
     )
-    ranked = rank_labels(rows.join(embeddings, "hadm_id"), disease_embeddings, keys, "chief_complaint")
+    found = rows.join(embeddings, "hadm_id", "left")
+    ranked = rank_labels(found, disease_embeddings, [*keys, "chief_complaint"], "chief_complaint")
     with_vector = add_disease_vector(ranked, diseases)
-    return add_rank_columns(with_vector, diseases, ["hadm_id"])
+    return add_rank_columns(with_vector, diseases, list(keys))
 
 
 def select_cohort(ranked: DataFrame, saved: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session helpers: a configured session, the package on the workers, the shared folder, size checks."""
+"""Session helpers: a configured session, the package on the workers, the shared folder."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -71,12 +71,3 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
-    """The rows of a table of at most ``max_rows`` rows, else nothing.
-
-    Never fetches more than one row past the bound.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None

@@ -216,22 +216,20 @@ def test_nan_counts_as_missing(spark):
     assert means == {1: (0.35, 0.7), 2: (0.0, None)}
 
 
-@pytest.mark.parametrize("bound", [1000, 0])
-def test_similarity_keeps_rows_without_labels_or_vectors(spark, bound):
+def test_similarity_keeps_rows_without_labels_or_vectors(spark):
     items = spark.createDataFrame([(1, "g", [1.0, 0.0]), (2, "g", None), (3, "none", [1.0, 0.0]), (4, None, [1.0, 0.0])], "id long, cc string, embedding array<double>")
     labels = spark.createDataFrame([("g", 0, "a", [0.0, 1.0]), ("g", 1, "b", [1.0, 0.0]), ("g", 2, "c", None)], "cc string, pos int, label string, embedding array<double>")
-    got = {r["id"]: (r["diseases"], r["diseases_cossim_scores"]) for r in SI.rank_labels(items, labels, ["id"], "cc", bound).collect()}
+    got = {r["id"]: (r["diseases"], r["diseases_cossim_scores"]) for r in SI.rank_labels(items, labels, ["id"], "cc").collect()}
     assert got == {1: (["b", "a", "c"], [1.0, 0.0, 0.0]), 2: (["a", "b", "c"], [0.0, 0.0, 0.0]), 3: (None, None), 4: (None, None)}
 
 
-@pytest.mark.parametrize("bound", [1000, 0])
-def test_similarity_against_numpy(spark, bound):
+def test_similarity_against_numpy(spark):
     rng = np.random.default_rng(1)
     items = [(i, "g" if i % 3 else "h", rng.normal(size=8).tolist()) for i in range(60)]
     labels = [(g, p, f"{g}{p}", rng.normal(size=8).tolist()) for g in "gh" for p in range(7)]
     got = SI.rank_labels(
         spark.createDataFrame(items, "id long, cc string, embedding array<double>"),
-        spark.createDataFrame(labels, "cc string, pos int, label string, embedding array<double>"), ["id"], "cc", bound,
+        spark.createDataFrame(labels, "cc string, pos int, label string, embedding array<double>"), ["id"], "cc",
     ).collect()
     assert len(got) == 60
     for r in got:
@@ -242,6 +240,37 @@ def test_similarity_against_numpy(spark, bound):
         assert r["diseases_cossim_scores"] == pytest.approx([sims[n] for n in want])
 
 
+def test_many_blocks_give_one_ranking(spark, monkeypatch):
+    """Groups of several blocks and copies: lists, best label and wanted place against numpy; ties by place, then name."""
+    monkeypatch.setattr(SI, "BLOCK", 7)
+    monkeypatch.setattr(SI, "SPREAD", 2)
+    rng = np.random.default_rng(6)
+    grid = [v.tolist() for v in rng.integers(-1, 2, (30, 4)).astype(float)]  # many equal similarities
+    items = [(i, "hot" if i % 5 else "cold", grid[i % 30], f"n{i % 41}") for i in range(160)]
+    labels = [(g, p // 2, f"n{p}", grid[(p * 7) % 30]) for g in ("hot", "cold") for p in range(40)]
+    df = spark.createDataFrame(items, "id long, cc string, embedding array<double>, truth string")
+    names = spark.createDataFrame(labels, "cc string, pos int, label string, embedding array<double>")
+    lists = {r["id"]: (r["diseases"], r["diseases_cossim_scores"]) for r in SI.rank_labels(df, names, ["id"], "cc").collect()}
+    best = {r["id"]: (r["disease"], r["best_score"]) for r in SI.best_label(df, names, ["id"], "cc").collect()}
+    place = {r["id"]: r["position"] for r in SI.label_position(df, names, ["id"], "truth", "cc").collect()}
+    for i, _, vec, truth in items:
+        found, scores = lists[i]
+        assert sorted(found) == sorted(f"n{p}" for p in range(40)) and scores == sorted(scores, reverse=True)
+        norm = np.linalg.norm
+        for name, score in zip(found, scores):
+            other = grid[(int(name[1:]) * 7) % 30]
+            assert score == pytest.approx(np.dot(vec, other) / max(norm(vec) * norm(other), 1e-12), abs=1e-12)
+        for (a, x), (b, y) in zip(zip(found, scores), zip(found[1:], scores[1:])):
+            assert x > y or (int(a[1:]) // 2, a) < (int(b[1:]) // 2, b)
+        assert best[i] == (found[0], scores[0])
+        if truth == "n40":
+            assert place[i] is None
+        else:
+            assert abs(scores[place[i] - 1] - scores[found.index(truth)]) < 1e-15
+    with pytest.raises(Exception, match="not identified"):
+        SI.rank_labels(df.union(df.where("id = 1")), names, ["id"], "cc").collect()
+
+
 def test_dictionaries_must_agree(spark):
     df = spark.createDataFrame([("cough", "train")], "cc_string string, split string")
     with pytest.raises(ValueError):
