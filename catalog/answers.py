@@ -16,7 +16,7 @@ from scorefold.plans import scorecard as SC
 
 def results(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation results as stored: lists and vectors are text, some are missing."""
-    rows = answer_lists(spark, d).filter(F.size("gold") > 0).join(admissions(spark, d), "id")
+    rows = answer_lists(spark, d).join(admissions(spark, d), "id")
     names = F.array_distinct(F.transform("pred", lambda c: F.substring(c, 1, 3)))
     position = F.array_position(F.array(*[F.lit(c) for c in COMPLAINTS]), F.col("complaint"))
     steps = F.sequence(F.lit(1), (position + 4).cast("int"))
@@ -34,7 +34,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 RESULTS_SQL = f"""{CODE_ROWS}, {LISTS}, {ADMISSIONS},
   r0 AS (SELECT system AS collection, id, complaint, list_transform(gold, lambda c: substr(c, 1, 3)) AS gs, list_transform(pred, lambda c: substr(c, 1, 3)) AS cats,
-      list_position([{', '.join(f"'{c}'" for c in COMPLAINTS)}], complaint) + 4 AS k FROM lists JOIN adm USING (id) WHERE len(gold) > 0),
+      list_position([{', '.join(f"'{c}'" for c in COMPLAINTS)}], complaint) + 4 AS k FROM lists JOIN adm USING (id)),
   res AS (SELECT *, gs[1] AS disease, list_filter(cats, lambda c, i: list_position(cats, c) = i) AS names, CASE WHEN id % 7 = 0 THEN [] ELSE list_distinct(cats) END AS codes,
       list_transform(range(1, k + 1), lambda i: (i % 3 - 1)::DOUBLE) AS t, CASE WHEN id % 3 <> 0 THEN list_transform(range(1, k + 1), lambda i: ((i + id) % 3 - 1)::DOUBLE) ELSE list_transform(range(1, k + 1), lambda i: 0.0::DOUBLE) END AS p FROM r0),
   vec AS (SELECT *, list_inner_product(p, t) AS dp, list_inner_product(p, p) AS pp, list_inner_product(t, t) AS tt, list_position(names, disease) AS pos FROM res)"""
@@ -52,7 +52,7 @@ CARD_COLUMNS = [
     pairs AS (SELECT collection, id, code, bool_or(s = 'g') AS is_gold, bool_or(s = 'p') AS is_pred FROM (SELECT collection, id, unnest(gs) AS code, 'g' AS s FROM res UNION ALL SELECT collection, id, unnest(codes), 'p' FROM res) GROUP BY ALL),
     {counts_sql('collection')}, {scored_sql()}, {micro_macro_sql('collection')},
     tops AS (SELECT collection, disease AS truth, coalesce(names[1], '') AS guess FROM res),
-    tp AS (SELECT collection, truth AS code, true AS is_gold, truth = guess AS is_pred FROM tops UNION ALL SELECT collection, guess, false, true FROM tops WHERE guess <> truth),
+    tp AS (SELECT collection, truth AS code, true AS is_gold, truth = guess AS is_pred FROM tops WHERE truth IS NOT NULL UNION ALL SELECT collection, guess, false, true FROM tops WHERE guess IS DISTINCT FROM truth),
     {counts_sql('collection', 'tp', name='tc')}, {scored_sql('tc', 'ts')}, {micro_macro_sql('collection', 'ts', 'tm')},
     g AS (SELECT collection, k, count(*) AS n, round(avg(CASE WHEN pp > 0 AND tt > 0 THEN dp / (sqrt(pp) * sqrt(tt)) ELSE 0 END), 4) AS cos, round(avg((dp + tt) / (2 * tt)), 4) AS dot FROM vec GROUP BY ALL),
     gv AS (SELECT collection, sum(cos * n) / sum(n) AS cos_sim, sum(dot * n) / sum(n) AS dot_product FROM g GROUP BY 1),
@@ -113,12 +113,12 @@ def fill_template(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c13_c14_align_answers",
-    f"""WITH {CODE_ROWS}, {LISTS}, x AS (SELECT system, id, gold, pred, list_transform(gold, lambda c: substr(c, 1, 3)) AS gs, list_transform(pred, lambda c: substr(c, 1, 3)) AS ps FROM lists WHERE len(gold) > 0)
+    f"""WITH {CODE_ROWS}, {LISTS}, x AS (SELECT system, id, gold, pred, list_transform(gold, lambda c: substr(c, 1, 3)) AS gs, list_transform(pred, lambda c: substr(c, 1, 3)) AS ps FROM lists)
     SELECT system, id, array_to_string(list_concat(list_filter(pred, lambda c: list_contains(gs, substr(c, 1, 3))), list_filter(gold, lambda c: NOT list_contains(ps, substr(c, 1, 3)))), ',') AS codes,
       array_to_string(list_concat([gold[1]], CASE WHEN list_contains(pred, gold[1]) THEN list_concat(pred[1:list_position(pred, gold[1]) - 1], pred[list_position(pred, gold[1]) + 1:]) ELSE pred END), ',') AS names FROM x""",
 )
 def align_answers(spark: SparkSession, d: str) -> DataFrame:
-    rows = answer_lists(spark, d).filter(F.size("gold") > 0)
+    rows = answer_lists(spark, d)
     codes = F.transform("pred", R.code_entry)
     names = F.transform("pred", R.name_entry)
     return rows.select(

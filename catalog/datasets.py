@@ -104,7 +104,7 @@ def rare_case_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "d04_evaluation_dataset",
     f"""WITH {CODE_ROWS}, {LISTS}, {ADMISSIONS} SELECT DISTINCT id AS hadm_id, complaint AS "Chief Complaint", split FROM lists JOIN adm USING (id)
-    WHERE len(gold) > 0 AND split <> 'train'""",
+    WHERE split <> 'train'""",
 )
 def evaluation_dataset(spark: SparkSession, d: str) -> DataFrame:
     combined = patients(spark, d).withColumn("gen_model", F.col("model"))
@@ -116,9 +116,10 @@ def evaluation_dataset(spark: SparkSession, d: str) -> DataFrame:
 
 def patients(spark: SparkSession, d: str) -> DataFrame:
     """Merged per-model rows: scores, stored answers, texts and prompts of the four stages."""
-    rows = answer_lists(spark, d).filter(F.size("gold") > 0).join(admissions(spark, d), "id")
+    rows = answer_lists(spark, d).join(admissions(spark, d), "id")
     names = F.array_distinct(F.transform("pred", lambda c: F.substring(c, 1, 3)))
-    disease = F.substring(F.get("gold", F.lit(0)), 1, 3)
+    # A diagnosis is known without codes too.
+    disease = F.coalesce(F.substring(F.get("gold", F.lit(0)), 1, 3), F.lit("R69"))
     quoted = F.transform("pred", lambda c: F.concat(F.lit("{'icd_code': '"), c, F.lit("', 'reason': 'r "), c, F.lit("'}")))
     v4 = F.when(F.size("pred") > 0, F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))).otherwise(F.lit("None"))
     ranked = F.to_json(F.transform(names, lambda n: F.struct(n.alias("name"), F.concat(F.lit("n "), n).alias("reason"))))
@@ -162,8 +163,8 @@ _CODE_AFTER = "'I think the patient has the following ICD codes:' || chr(10) ||
 _FINDINGS = """'{"Fever": {"value": ' || CASE WHEN id % 2 = 0 THEN '1' ELSE '-1' END || ', "reasoning": "seen"}, "Cough": {"value": 0, "reasoning": "none"}}'"""
 
 PATIENTS_SQL = f"""{CODE_ROWS}, {LISTS}, {ADMISSIONS},
-  pat0 AS (SELECT id, system AS model, subject_id, split, complaint, gold, pred, substr(gold[1], 1, 3) AS disease,
-      list_transform(pred, lambda c: substr(c, 1, 3)) AS cats FROM lists JOIN adm USING (id) WHERE len(gold) > 0),
+  pat0 AS (SELECT id, system AS model, subject_id, split, complaint, gold, pred, coalesce(substr(gold[1], 1, 3), 'R69') AS disease,
+      list_transform(pred, lambda c: substr(c, 1, 3)) AS cats FROM lists JOIN adm USING (id)),
   pat1 AS (SELECT *, list_filter(cats, lambda c, i: list_position(cats, c) = i) AS names FROM pat0),
   pat AS (SELECT *, list_position(names, disease) AS pos, CASE WHEN len(pred) > 0 THEN coalesce(1.0::DOUBLE / nullif(list_position(names, disease), 0), 0) END AS rr,
       len(list_intersect(pred, gold))::DOUBLE AS hit FROM pat1),
@@ -275,7 +276,7 @@ _VECTOR = """'{' || chr(10) || array_to_string(list_transform(range(1, k + 1), l
     one AS (SELECT DISTINCT id, subject_id, split, complaint, gold, disease, names_gold, codes_gold, 'Note of ' || id || ' {{labs}}' AS note, CASE WHEN id % 3 = 1 THEN '5.0 mg Na' ELSE '' END AS labs
       FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY model, stage) AS rn FROM ready) WHERE rn = 1),
     st AS (SELECT *, unnest([1, 2, 3, 4, 4]) AS stage FROM one JOIN cand USING (complaint) JOIN dim USING (complaint)),
-    io AS (SELECT *, CASE stage WHEN 1 THEN {_VECTOR} WHEN 4 THEN codes_gold ELSE names_gold END AS output,
+    io AS (SELECT *, CASE stage WHEN 1 THEN {_VECTOR} WHEN 4 THEN CASE WHEN len(gold) > 0 THEN codes_gold END ELSE names_gold END AS output,
       CASE stage WHEN 1 THEN CASE WHEN complaint = '1-URGENT' THEN 'Urgent! ' || note ELSE 'Extract. ' || note || ' {{json}}' || chr(10) || {_EXAMPLE} END
         WHEN 2 THEN 'Rank. ' || note || chr(10) || diag WHEN 3 THEN 'Rerank. ' || note || ' ' || labs || chr(10) || diag ELSE 'Codes. ' || note || ' ' || labs || ' end' END AS input FROM st)
     SELECT replace(complaint, ' ', '_') AS chief_complaint, split, stage::INT AS "Verifier", count(*) AS n, {text_sum_sql('output')} AS outputs, {text_sum_sql('input')} AS inputs FROM io GROUP BY ALL""",

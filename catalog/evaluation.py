@@ -304,7 +304,7 @@ def label_space(spark: SparkSession, d: str) -> DataFrame:
     return FR.label_space(gold, C.short_code("code"), ["complaint"])
 
 
-RANK_SQL = f"""WITH {CODE_ROWS}, {LISTS}, r AS (SELECT system, pred, gold[1] AS truth, list_position(pred, gold[1]) AS pos FROM lists WHERE len(gold) > 0)"""
+RANK_SQL = f"""WITH {CODE_ROWS}, {LISTS}, r AS (SELECT system, pred, gold[1] AS truth, list_position(pred, gold[1]) AS pos FROM lists)"""
 
 
 @query(
@@ -313,7 +313,7 @@ RANK_SQL = f"""WITH {CODE_ROWS}, {LISTS}, r AS (SELECT system, pred, gold[1] AS
       {', '.join(f'round(avg((coalesce(pos, 0) BETWEEN 1 AND {k})::INT), 6) AS recall_at_{k}' for k in (1, 3, 5, 10))} FROM r GROUP BY system""",
 )
 def ranking(spark: SparkSession, d: str) -> DataFrame:
-    rows = answer_lists(spark, d).filter(F.size("gold") > 0).withColumn("truth", F.get("gold", F.lit(0)))
+    rows = answer_lists(spark, d).withColumn("truth", F.get("gold", F.lit(0)))
     scores = RM.ranking(rows, ["system"], F.col("pred"), F.col("truth"))
     return rounded(scores, [c for c in scores.columns if c != "system"])
 

@@ -161,19 +161,18 @@ def extract_codes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "l01_score_code_answers",
     f"""WITH {CODE_ROWS}, {LISTS}, g AS (SELECT id, list(DISTINCT substr(code, 1, 3)) AS gs FROM code_rows WHERE is_gold GROUP BY 1),
-    space AS (SELECT list(DISTINCT substr(code, 1, 3)) AS s FROM code_rows WHERE is_gold AND id % 2 = 0),
+    space AS (SELECT list(DISTINCT substr(code, 1, 3)) AS s FROM code_rows WHERE is_gold),
     p AS (SELECT l.id, l.system, gs, list_filter(list_distinct(list_transform(CASE WHEN len(pred) BETWEEN 3 AND 30 THEN pred ELSE ['A00', 'B00', 'C00'] END,
-      lambda c: substr(c, 1, 3))), lambda c: list_contains(s, c)) AS ps FROM lists l JOIN g USING (id), space),
+      lambda c: substr(c, 1, 3))), lambda c: list_contains(s, c)) AS ps FROM lists l LEFT JOIN g USING (id), space),
     m AS (SELECT *, len(list_intersect(ps, gs))::DOUBLE AS i FROM p)
-    SELECT id AS hadm_id, system AS model, round(CASE WHEN i > 0 THEN 2 * (i / len(ps)) * (i / len(gs)) / (i / len(ps) + i / len(gs)) ELSE 0 END, 3) AS score FROM m""",
+    SELECT id AS hadm_id, system AS model, round(CASE WHEN gs IS NULL THEN NULL WHEN i > 0 THEN 2 * (i / len(ps)) * (i / len(gs)) / (i / len(ps) + i / len(gs)) ELSE 0 END, 3) AS score FROM m""",
 )
 def score_code_answers(spark: SparkSession, d: str) -> DataFrame:
     gold = code_rows(spark, d).filter("is_gold").groupBy(F.col("id").alias("hadm_id"), "code").agg(F.lit(1).alias("one"))
     gold = gold.groupBy("hadm_id").agg(F.collect_list("code").alias("ICD_CODES"))
-    space = code_rows(spark, d).filter("is_gold AND id % 2 = 0").select(F.substring("code", 1, 3).alias("code")).distinct()
-    scores = SE.score_codes(code_answers(spark, d), space, gold)
-    # Admissions without any gold code have no reference to score against.
-    return scores.join(gold.select("hadm_id"), "hadm_id", "left_semi").select("hadm_id", "model", "score")
+    space = code_rows(spark, d).filter("is_gold").select(F.substring("code", 1, 3).alias("code")).distinct()
+    # Admissions without any gold code have no reference to score against: their score is missing.
+    return SE.score_codes(code_answers(spark, d), space, gold).select("hadm_id", "model", "score")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorefold.functions.scoring import bucket_order, rank_bucket, ratio
+from scorefold.session import cut_lineage
 
 # The order of splits and match categories in reports.
 SPLIT_ORDER = ["train", "dev", "test", "total"]
@@ -16,35 +17,26 @@ def code_frequency(codes: DataFrame, code: str = "code") -> DataFrame:
 
 
 def cumulative_share(counts: DataFrame, code: str = "code", n: str = "n") -> DataFrame:
-    """Rank by count (ties by code) and running share of the total.
+    """Rank by count (ties by code) and running share of the total: a distributed prefix sum.
 
-    Runs in three steps so that no task orders the whole table: the histogram
-    of counts (c different counts need at least c(c+1)/2 rows, so it stays
-    small), the first letters within one count, the codes within one letter.
+    The codes are dealt out in order, in ranges of like size, whatever their counts.
+    Ranks and sums run inside a range and start after those of the ranges before it.
     """
-    letters = counts.groupBy(n, F.substring(code, 1, 1).alias("letter")).agg(
-        F.count("*").alias("codes")
-    )
-    levels = letters.groupBy(n).agg(F.sum("codes").alias("codes"))
-    above = Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.select(
-        n,
-        F.coalesce(F.sum("codes").over(above), F.lit(0)).alias("rank_above"),
-        F.coalesce(F.sum(F.col("codes") * F.col(n)).over(above), F.lit(0)).alias("sum_above"),
-    )
-    earlier = Window.partitionBy(n).orderBy("letter").rowsBetween(Window.unboundedPreceding, -1)
-    letters = letters.select(
-        n, "letter", F.coalesce(F.sum("codes").over(earlier), F.lit(0)).alias("rank_letter")
-    )
-    offsets = letters.join(levels, n)
-    total = counts.agg(F.sum(n)).scalar()
-    inside = Window.partitionBy(n, "letter").orderBy(code)
-    ranked = counts.withColumn("letter", F.substring(code, 1, 1)).join(offsets, [n, "letter"])
-    place = F.col("rank_letter") + F.row_number().over(inside)
-    return ranked.select(
-        code, n,
-        (F.col("rank_above") + place).alias("rank"),
-        ratio(F.col("sum_above") + place * F.col(n), total).alias("cum_share"),
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc(n), F.col(code)]
+    # Written once, so that every step sees the same ranges.
+    dealt = cut_lineage(counts.select(code, n).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = sorted(map(tuple, dealt.groupBy("_part").agg(F.count("*"), F.sum(n)).collect()))  # one row for each range
+    starts, rank, total = [], 0, 0
+    for part, rows, amount in sums:
+        starts.append((part, rank, total))
+        rank, total = rank + rows, total + amount
+    before = counts.sparkSession.createDataFrame(starts, "_part int, _rank bigint, _sum bigint")
+    inside = Window.partitionBy("_part").orderBy(*order)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.join(F.broadcast(before), "_part").select(
+        code, n, (F.col("_rank") + F.row_number().over(inside)).alias("rank"),
+        ratio(F.col("_sum") + F.sum(n).over(running), F.lit(total)).alias("cum_share"),
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorefold.functions import parsing as P
+from scorefold.functions.binding import let
 from scorefold.functions.codes import short_codes
 from scorefold.functions.scoring import harmonic, no_nan, norm_dot, ratio
 
@@ -49,6 +52,46 @@ def best_generator(rows: DataFrame, keys: list[str], score: str = "Score", gener
     return keep_first(rows, keys, [F.desc_nulls_last(score), F.col(generator)])
 
 
+def _passes(entry: Column, threshold: Column, floor: Column | None, strict: bool) -> Column:
+    score = entry["score"]
+    enough = (score > threshold) if strict else (score >= threshold)
+    return enough if floor is None else enough & (score >= F.coalesce(floor, score))
+
+
+def _outcome(rounds: Column, passes: Callable[[Column], Column], fields: list[str], compat: bool) -> Column:
+    """Best counted round of a stage with ``rounds_used`` and ``accepted``; null without rounds.
+
+    ``rounds`` are the saved rounds in order. Counted are those up to the first that
+    passes. The best is the first with the highest score, the last one while all lack a
+    score.
+    """
+
+    def fold(v: Column) -> Column:
+        own = v["rounds"]
+        lost = F.get(own, F.lit(0))["score"].isNull() if compat else F.lit(False)
+        leave = F.when(lost, F.get(own, F.lit(0))["round"]).otherwise(v["passed"])
+        counted = F.filter(own, lambda e: leave.isNull() | (e["round"] <= leave))
+
+        def pick(kept: Column) -> Column:
+            places = F.transform(kept, lambda e, i: F.struct(
+                e["score"].alias("s"), F.when(e["score"].isNull(), i).otherwise(-i).alias("tie"), i.alias("i")))
+            best = F.get(kept, F.array_max(places)["i"])
+            return F.when(F.size(kept) > 0, F.struct(
+                *[best[c].alias(c) for c in fields], F.array_max(kept["round"]).alias("rounds_used"),
+                (v["passed"].isNotNull() & ~lost).alias("accepted")))
+
+        return let(counted, pick)
+
+    return let(rounds, lambda own: let(
+        F.struct(own.alias("rounds"), F.get(F.filter(own, passes), F.lit(0))["round"].alias("passed")), fold))
+
+
+def _gathered(rounds: DataFrame, keys: list[str], first: list[str]) -> tuple[DataFrame, list[str]]:
+    """One row per key with its rounds in order, as ``rounds``; a key has at most one row per stage and round."""
+    fields = [*first, *[c for c in rounds.columns if c not in (*keys, *first)]]
+    return rounds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rounds")), fields
+
+
 def accept(rounds: DataFrame, keys: list[str], threshold: Column, floor: Column | None = None,
            budget: int = BUDGET, strict: bool = True, compat: bool = False) -> DataFrame:
     """Retry accounting over the best choice of every round.
@@ -58,48 +101,39 @@ def accept(rounds: DataFrame, keys: list[str], threshold: Column, floor: Column
     also lets an item leave when its first round has no score at all. Returns
     the best counted round with ``accepted`` and ``rounds_used``.
     """
-    rounds = rounds.withColumn("score", no_nan(F.col("score")))
-    score = F.col("score")
-    passes = (score > threshold) if strict else (score >= threshold)
-    if floor is not None:
-        passes = passes & (score >= F.coalesce(floor, score))
-    window = Window.partitionBy(*keys)
-    rows = rounds.filter(F.col("round") <= budget).withColumns(
-        {
-            "_accept": F.min(F.when(passes, F.col("round"))).over(window),
-            "_first": F.min(F.struct("round", "score")).over(window),
-        }
-    )
-    lost = F.col("_first.score").isNull() if compat else F.lit(False)
-    leave = F.when(lost, F.col("_first.round")).otherwise(F.col("_accept"))
-    counted = rows.filter(leave.isNull() | (F.col("round") <= leave))
-    counted = counted.withColumns(
-        {"rounds_used": F.max("round").over(window), "accepted": F.col("_accept").isNotNull() & ~lost}
-    )
-    return best_round(counted, keys).drop("_accept", "_first")
+    kept = rounds.filter(F.col("round") <= budget).withColumn("score", no_nan(F.col("score")))
+    marked = kept.withColumns({"_limit": threshold.cast("double"), "_floor": F.lit(None).cast("double") if floor is None else floor.cast("double")})
+    gathered, fields = _gathered(marked, keys, ["round", "score"])
+    outcome = _outcome(F.col("rounds"), lambda e: _passes(e, e["_limit"], e["_floor"], strict), fields, compat)
+    return gathered.select(*keys, F.inline(F.array(outcome))).drop("_limit", "_floor").select(*rounds.columns, "rounds_used", "accepted")
 
 
 def accept_stages(stages: DataFrame, keys: list[str], thresholds: dict[int, float] | None = None,
                   budget: int = BUDGET, eval_mode: bool = False, compat: bool = False) -> DataFrame:
-    """All stages of a chain; stage 3 must also reach the stage-2 score of its item.
+    """All stages of a chain as one fold; stage 3 must also reach the stage-2 score of its item.
 
-    ``stages`` holds one scored candidate per row. Evaluation mode skips stage
-    3 and counts the first round with a valid answer.
+    ``stages`` holds one scored candidate per row; stages without a threshold take no
+    part. The best choices of an item, at most one per stage and round, are gathered
+    once and folded stage by stage. Evaluation mode skips stage 3 and counts the first
+    round with a valid answer.
     """
     thresholds = thresholds or THRESHOLDS
-    rounds = best_choice(stages, [*keys, "stage", "round"], eval_mode)
-    key = [*keys, "stage"]
-    if eval_mode:
-        firsts = accept(rounds.filter("stage <> 3"), key, F.lit(-1.0), budget=budget, strict=False)
-        return firsts
-    limit = F.element_at(
-        F.create_map(*[F.lit(v) for s, t in thresholds.items() for v in (s, float(t))]), F.col("stage")
-    )
-    others = accept(rounds.filter("stage <> 3"), key, limit, budget=budget, compat=compat)
-    second = others.filter("stage = 2").select(*keys, F.col("score").alias("floor_score"))
-    third = rounds.filter("stage = 3").join(second, keys, "left")
-    third = accept(third, key, limit, floor=F.col("floor_score"), budget=budget, compat=compat)
-    return others.unionByName(third.drop("floor_score"))
+    order = [s for s in sorted(thresholds) if not (eval_mode and s == 3)]
+    kept = stages.filter((F.col("round") <= budget) & F.col("stage").isin(order))
+    gathered, fields = _gathered(best_choice(kept, [*keys, "stage", "round"], eval_mode), keys, ["stage", "round", "score"])
+
+    def outcome(stage: int, floor: Column | None = None) -> Column:
+        own = F.filter("rounds", lambda e: e["stage"] == stage)
+        limit = F.lit(-1.0 if eval_mode else float(thresholds[stage]))
+        return _outcome(own, lambda e: _passes(e, limit, floor, not eval_mode), fields, compat and not eval_mode)
+
+    if 2 in order and 3 in order:
+        rest = [s for s in order if s not in (2, 3)]
+        all_stages = let(outcome(2), lambda second: F.array(second, outcome(3, second["score"]), *[outcome(s) for s in rest]))
+    else:
+        all_stages = F.array(*[outcome(s) for s in order])
+    found = gathered.select(*keys, F.inline(F.filter(all_stages, lambda o: o.isNotNull())))
+    return found.select(*stages.columns, "rounds_used", "accepted")
 
 
 def open_items(items: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:

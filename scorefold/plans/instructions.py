@@ -202,7 +202,7 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     stage = F.array(*[F.struct(F.lit(s).alias("Verifier"), outputs[s].alias("Output")) for s in copies])
     rows = prepared.withColumn("chief_complaint", F.replace("chief_complaint", F.lit(" "), F.lit("_")))
     rows = rows.select("*", F.inline(stage))
-    rows = rows.withColumn("template", template_for(templates, F.col("Verifier"), F.col("chief_complaint")))
+    rows = with_template(rows, templates, F.col("Verifier"), F.col("chief_complaint"))
     slots = {
         "admission_note": F.col("admission_note"),
         "laboratory_results": F.col("labs_text"),
@@ -217,21 +217,17 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     )
 
 
-def template_for(templates: DataFrame, stage: Column, complaint: Column) -> Column:
-    """The stage's template for the complaint, else its generic one.
+def with_template(rows: DataFrame, templates: DataFrame, stage: Column, complaint: Column) -> DataFrame:
+    """Adds ``template``: the stage's template for the complaint, else its generic one, else null.
 
-    ``templates`` is configuration with one row per stage and complaint; it
-    becomes one small map value of the plan.
+    ``templates`` has one row per stage and complaint; it is joined twice by equal keys,
+    whatever its size.
     """
-
-    def key(s: Column, c: Column) -> Column:
-        return F.concat_ws("|", s.cast("string"), c)
-
-    entry = F.struct(key(F.col("stage"), F.col("complaint")), F.col("template"))
-    known = templates.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    return F.coalesce(
-        F.element_at(known, key(stage, complaint)), F.element_at(known, key(stage, F.lit("generic")))
-    )
+    own = templates.select(F.col("stage").alias("_stage"), F.col("complaint").alias("_complaint"), F.col("template").alias("_own"))
+    generic = templates.where("complaint = 'generic'").select(F.col("stage").alias("_stage"), F.col("template").alias("_generic"))
+    keyed = rows.withColumns({"_stage": stage, "_complaint": complaint})
+    found = keyed.join(own, ["_stage", "_complaint"], "left").join(generic, "_stage", "left")
+    return found.withColumn("template", F.coalesce("_own", "_generic")).drop("_stage", "_complaint", "_own", "_generic")
 
 
 def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, templates: DataFrame,
@@ -242,7 +238,7 @@ def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, te
     rows = patients.withColumn("chief_complaint", F.col("`Chief Complaint`"))
     rows = rows.join(schemes, "chief_complaint", "left")
     rows = rows.join(numbered_vocabulary(labels), "chief_complaint", "left")
-    rows = rows.withColumn("template", template_for(templates, F.lit(stage), F.col("chief_complaint")))
+    rows = with_template(rows, templates, F.lit(stage), F.col("chief_complaint"))
     findings = R.findings_text(answer[1], F.col("v1_json")) if "v1_json" in has else F.lit(R.NO_FINDINGS)
     second = answer[2] if "v2_json" in has else F.lit(None).cast(DIAGNOSIS_LIST)
     third = answer[3] if "v3_json" in has else second
