@@ -121,6 +121,69 @@ def newest_versions(spark: SparkSession, d: str) -> DataFrame:
     return newest.groupBy("experiment", "version").agg(F.count("*").alias("n"))
 
 
+# --- dictionaries and dumps in files -------------------------------------------------
+
+
+@query(
+    "s02_read_diseases",
+    """SELECT CASE WHEN p_size % 2 = 0 THEN 'back pain' ELSE 'cough' END AS chief_complaint, (row_number() OVER (PARTITION BY p_size % 2 ORDER BY p_partkey) - 1)::INT AS pos,
+    'part ' || p_partkey AS disease, '^' || p_type AS icd10_regex, (p_size % 3 - 1) || ',' || (p_partkey % 3 - 1) AS features FROM part""",
+)
+def read_diseases(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as two dictionaries in CSV files; their order in the file is kept."""
+    root = shared_dir(spark, "diseases")
+    for odd, name in enumerate(("back_pain", "cough")):
+        lines = table(spark, d, "part").filter(F.col("p_size") % 2 == odd).select(
+            F.concat(F.lit("part "), "p_partkey").alias("Disease"), F.lit("").alias("Synonyms"), F.concat(F.lit("^"), "p_type").alias("icd10_regex"),
+            (F.col("p_size") % 3 - 1).alias("Onset: Acute"), (F.col("p_partkey") % 3 - 1).alias("Pain"), "p_partkey",
+        )
+        lines.coalesce(1).sortWithinPartitions("p_partkey").drop("p_partkey").write.csv(f"{root}/{name}.csv", header=True)
+    return RD.read_diseases(spark, root, ["back pain", "cough"]).select(
+        "chief_complaint", "pos", "disease", "icd10_regex", F.array_join(F.col("features").cast("array<string>"), ",").alias("features")
+    )
+
+
+@query(
+    "s03_read_schemes",
+    """SELECT lower(r_name) AS chief_complaint, n_name AS feature, -(n_nationkey % 2)::INT AS min_value, (n_nationkey % 3)::INT AS max_value,
+    (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1)::INT AS pos FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def read_schemes(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as features of one scheme file per region."""
+    root = shared_dir(spark, "schemes")
+    line = F.concat("n_name", F.lit(": ["), (-(F.col("n_nationkey") % 2)).cast("string"), F.lit(", "), (F.col("n_nationkey") % 3).cast("string"), F.lit("]"))
+    for r in table(spark, d, "region").collect():  # one file for each region
+        features = table(spark, d, "nation").filter(F.col("n_regionkey") == r["r_regionkey"])
+        lines = features.coalesce(1).sortWithinPartitions("n_nationkey").select(line)
+        lines.write.text(f"{root}/{r['r_name'].lower().replace(' ', '_')}.yaml")
+    return RD.read_schemes(spark, root).select("chief_complaint", "feature", "min_value", "max_value", "pos")
+
+
+@query(
+    "s07_read_dump",
+    f"""WITH {CODE_ROWS}, {LISTS}, x AS (SELECT *, row_number() OVER (ORDER BY system, id) - 1 AS pos FROM lists)
+    SELECT pos::INT AS pos, array_to_string(gold, ',') AS gold, array_to_string(pred, ',') AS "full", array_to_string(pred[1:2], ',') AS top_n FROM x""",
+)
+def read_dump(spark: SparkSession, d: str) -> DataFrame:
+    """All lists as the parallel arrays of one JSON object, written in order by ranges and read in splits."""
+    path = shared_dir(spark, "dump")
+    rows = cut_lineage(answer_lists(spark, d), "lists")
+    first = rows.agg(F.min(F.struct("system", "id"))).first()[0]
+    columns = {"annotated_codes": F.col("gold"), "predicted_codes": F.col("pred"), "predicted_codes@20": F.slice("pred", 1, 2)}
+    starts = F.array(*[F.lit(("{" if k == 0 else "], ") + f'"{c}": [') for k, c in enumerate(columns)])
+    opens = (F.col("system") == first["system"]) & (F.col("id") == first["id"])
+    lines = rows.select("system", "id", F.posexplode(F.array(*[F.to_json(c) for c in columns.values()])).alias("k", "v")).select(
+        "k", "system", "id", F.concat(F.when(opens, F.get(starts, F.col("k"))).otherwise(", "), "v").alias("line")
+    )
+    end = spark.createDataFrame([(len(columns), "", 0, '], "unique_labels": ["A00"]}')], lines.schema)
+    lines.unionByName(end).coalesce(1).sortWithinPartitions("k", "system", "id").select("line").write.text(f"{path}/dump.json")
+    rows, _ = RD.read_dump(spark, f"{path}/dump.json")
+    return rows.select("pos", *[F.array_join(c, ",").alias(c) for c in ("gold", "full", "top_n")])
+
+
+# --- incremental evaluation ---------------------------------------------------------
+
+
 @query("st1_incremental_evaluation", f"{MM_SQL}, n AS (SELECT system, count(DISTINCT id) AS n_samples FROM code_rows GROUP BY 1) SELECT system AS collection, tp, fp, fn, n_labels, n_samples, {rounded_sql(MM_COLUMNS)} FROM mm JOIN n USING (system)")
 def incremental_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Two arrivals of prediction files; the second run reads only the new ones."""

@@ -159,22 +159,45 @@ def phrase_pattern(phrase: str) -> str:
     return r"(?iU)(?<!\w)" + r"\s+".join(words) + r"(?!\w)"
 
 
+def ranked_phrases(phrases_by_key: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(phrase, key), the longest phrases first; every key counts as one of its own phrases."""
+    pairs = (
+        (phrase, key.lower())
+        for key, phrases in phrases_by_key.items()
+        for phrase in dict.fromkeys(p.strip().lower() for p in [*phrases, key])
+        if phrase
+    )
+    return sorted(pairs, key=lambda pair: -len(pair[0]))
+
+
+def words(text: Column) -> Column:
+    """The words of a text, folded so that whatever matches without regard to case is equal."""
+    def fold(w: Column) -> Column:
+        return F.translate(F.lower(F.upper(F.translate(w, "\u0130", "i"))), "\u03c2", "\u03c3")
+
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)), fold)
+
+
+def word_sequences(text: Column, lengths: list[int]) -> Column:
+    """Distinct hashes of all runs of words of the given lengths; length 0 is the empty run, which every text has."""
+
+    def hashes(found: Column, n: int) -> Column:
+        if n == 0:
+            return F.array(F.xxhash64(F.array().cast("array<string>")))
+        runs = F.transform(F.sequence(F.lit(0), F.size(found) - n), lambda i: F.xxhash64(F.slice(found, i + 1, F.lit(n))))
+        return F.when(F.size(found) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words(text), lambda found: F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[hashes(found, n) for n in lengths])))
+
+
 def matching_keys(text: Column, phrases_by_key: dict[str, list[str]]) -> Column:
     """All keys with a phrase in ``text``, ordered by their longest matching phrase.
 
-    Every key counts as one of its own phrases. Phrases are tried longest
-    first, so a key stops at the phrase that decides its place; the pattern is
-    only tried where plain search finds all words of the phrase.
+    For short dictionaries: each phrase is a literal pattern of the expression. Phrases
+    are tried longest first, so a key stops at the phrase that decides its place; the
+    pattern is only tried where plain search finds all words of the phrase.
     """
-    ranked = sorted(
-        (
-            (phrase, key.lower())
-            for key, phrases in phrases_by_key.items()
-            for phrase in dict.fromkeys(p.strip().lower() for p in [*phrases, key])
-            if phrase
-        ),
-        key=lambda pair: -len(pair[0]),
-    )
+    ranked = ranked_phrases(phrases_by_key)
     by_key: dict[str, list[tuple[int, str]]] = {}
     for rank, (phrase, key) in enumerate(ranked):
         by_key.setdefault(key, []).append((rank, phrase))

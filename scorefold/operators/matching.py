@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorefold.functions.binding import let
+from scorefold.functions.patterns import literal_prefixes
 from scorefold.functions.scoring import match_category, position_of
-from scorefold.functions.text import matching_keys
+from scorefold.functions.text import phrase_pattern, ranked_phrases, word_sequences, words
 
 
 def first_disease_per_code(codes: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:
     """The first disease, in dictionary order, whose pattern matches the code's start.
 
-    Every distinct (group, code) is tested once against the dictionary of its
-    group, whatever the number of rows that carry the code.
+    An index of literal beginnings: each pattern is filed under the texts its matches
+    begin with, each distinct code meets the patterns filed under one of its own
+    beginnings, and only these are tested. A pattern that begins with anything is filed
+    under the empty text.
     """
-    distinct = codes.select(group, "code").distinct()
-    dictionary = diseases.select(
-        F.col(group).alias("dict_group"), "pos", "disease",
-        F.concat(F.lit("^(?:"), "icd10_regex", F.lit(")")).alias("pattern"),
+    begins = F.udf(literal_prefixes, "array<string>", useArrow=False)
+    dictionary = diseases.where("icd10_regex IS NOT NULL").select(
+        group, "pos", "disease", F.concat(F.lit("^(?:"), "icd10_regex", F.lit(")")).alias("pattern"),
+        F.explode(begins("icd10_regex")).alias("begin"),
     )
-    hit = (F.col(group) == F.col("dict_group")) & F.rlike("code", "pattern")
-    return distinct.join(dictionary, hit).groupBy(group, "code").agg(
+    # Lengths of beginnings: at most as many as a pattern has letters.
+    lengths = sorted(r["n"] for r in dictionary.select(F.length("begin").alias("n")).distinct().collect())
+    distinct = codes.select(group, "code").distinct()
+    cut = F.array(*[F.when(F.length("code") >= n, F.substring("code", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    filed = distinct.select(group, "code", F.explode(F.array_compact(cut)).alias("begin"))
+    return filed.join(dictionary, [group, "begin"]).where(F.rlike("code", "pattern")).groupBy(group, "code").agg(
         F.min_by("disease", "pos").alias("disease")
     )
 
@@ -74,24 +82,47 @@ def check_same_keys(synonyms: dict[str, list[str]], systems: dict[str, str]) ->
         )
 
 
+def phrase_table(spark: SparkSession, synonyms: dict[str, list[str]], systems: dict[str, str]) -> DataFrame:
+    """One row per phrase: its key and system, place (longest phrases first), pattern and the hash of its words.
+
+    Every key is one of its own phrases.
+    """
+    lowered = {k.lower(): s for k, s in systems.items()}
+    ranked = ranked_phrases(synonyms)
+    rows = [(place, phrase, key, lowered.get(key), phrase_pattern(phrase)) for place, (phrase, key) in enumerate(ranked)]
+    phrases = spark.createDataFrame(rows, "place int, phrase string, key string, system string, pattern string")
+    found = words(F.col("phrase"))
+    return phrases.select("place", "key", "system", "pattern", F.size(found).alias("n_words"), F.xxhash64(found).alias("gram"))
+
+
 def add_complaints(df: DataFrame, synonyms: dict[str, list[str]], systems: dict[str, str],
                    text: str = "cc_string") -> DataFrame:
     """``cc_list`` and ``system_list`` of every row with at least one match.
 
-    The dictionaries are short configuration; each phrase becomes a literal
-    pattern of the plan and is compiled once per task.
+    The phrases are indexed by the hash of their words. A text meets the phrases whose
+    words it holds in a row, by an equi join on the hashes of its own word sequences of the
+    lengths that occur, and only these patterns are tested on it. The plan is the same
+    for any number of phrases. Equal texts are found together.
     """
     check_same_keys(synonyms, systems)
     missing = {text, "split"} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    lookup = F.create_map(*[F.lit(v) for k, s in systems.items() for v in (k.lower(), s)])
+    phrases = phrase_table(df.sparkSession, synonyms, systems)
+    lengths = sorted(r["n_words"] for r in phrases.select("n_words").distinct().collect())  # at most the longest phrase
+    body = F.coalesce(text, F.lit(""))
+    marked = df.withColumn("_digest", F.sha2(body, 256))
+    sequences = marked.select("_digest", F.explode(word_sequences(body, lengths)).alias("gram"))
+    entry = F.struct("place", "key", "system", "pattern")
+    possible = sequences.join(phrases, "gram").groupBy("_digest").agg(F.sort_array(F.collect_set(entry)).alias("_possible"))
     # A generator drops rows without a match and, unlike a filter, is never
     # evaluated a second time below the projection.
-    matched = df.select(
-        "*", F.explode(F.filter(F.array(matching_keys(F.coalesce(text, F.lit("")), synonyms)), lambda k: F.size(k) > 0)).alias("cc_list")
+    hits = F.filter("_possible", lambda e: F.rlike(body, e["pattern"]))
+    keys = let(hits, lambda h: F.array_distinct(F.transform(h, lambda e: F.struct(e["key"].alias("key"), e["system"].alias("system")))))
+    matched = marked.join(possible, "_digest").select(
+        *[f"`{c}`" for c in df.columns], F.explode(F.filter(F.array(keys), lambda k: F.size(k) > 0)).alias("_keys")
     )
-    return matched.withColumn("system_list", F.transform("cc_list", lambda k: F.element_at(lookup, k)))
+    return matched.withColumns({"cc_list": F.col("_keys.key"), "system_list": F.col("_keys.system")}).drop("_keys")
 
 
 def add_disease_vector(df: DataFrame, diseases: DataFrame, group: str = "chief_complaint") -> DataFrame:

@@ -6,6 +6,8 @@ NOTES = (
     "subject_id bigint, hadm_id bigint, charttime timestamp, ICD_CODES array<string>, "
     "admission_note string, discharge_note string, ICD_version int, data_source string, split string"
 )
+ADMISSION_FILES = "subject_id bigint, hadm_id bigint, charttime timestamp, LONG_CODES array<string>, TEXT string"
+DISCHARGE_FILES = "hadm_id bigint, text string"
 ADMISSIONS = "hadm_id bigint, admittime timestamp, dischtime timestamp"
 LABEVENTS = (
     "hadm_id bigint, itemid bigint, storetime timestamp, valuenum double, "

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import functools
+from itertools import accumulate
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from scorefold.functions.parsing import parse_list
 from scorefold.functions.text import none_if_empty, without_prefix
-from scorefold.schemas import COMPLAINT_SYNONYMS
+from scorefold.schemas import ADMISSION_FILES, COMPLAINT_SYNONYMS, DISCHARGE_FILES
+from scorefold.session import cut_lineage
+
+# The arrays of a prediction dump, with their names here.
+DUMP_KEYS = {"annotated_codes": "gold", "predicted_codes": "full", "predicted_codes@20": "top_n", "unique_labels": None}
+# List columns that result files may hold as text.
+TEXT_LISTS = ("v2_preds", "v4_preds", "v2_json", "v4_json")
 
 
 def file_path() -> Column:
@@ -17,10 +27,28 @@ def file_stem() -> Column:
     return F.regexp_extract(file_path(), r"([^/]+?)\.(?:pq|parquet|csv|json|yaml)(?:/[^/]+)?$", 1)
 
 
-def _tree(spark: SparkSession, root: str) -> DataFrame:
-    """All Parquet files below ``root``, single files and Spark output folders alike."""
+def _tree(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """All Parquet files below ``root``, single files and Spark output folders alike.
+
+    With a schema no file is opened before it is read; without one all footers are merged.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pq,parquet}")
-    return reader.option("mergeSchema", "true").parquet(root)
+    return (reader.schema(schema) if schema else reader.option("mergeSchema", "true")).parquet(root)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Adds ``pos``, the place of each row in its file (or files, by name), from 0.
+
+    A file may be read in several splits: rows are numbered inside a split and start after
+    those of the splits before it.
+    """
+    at = F.struct(file_path().alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    marked = rows.select("*", at.alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    sizes = sorted((r["_split"], r["n"]) for r in marked.groupBy("_split").agg(F.count("*").alias("n")).collect())  # one row for each split
+    before = [0, *accumulate(n for _, n in sizes)]
+    starts = rows.sparkSession.createDataFrame([(tuple(s), b) for (s, _), b in zip(sizes, before)], "_split struct<file string, start bigint>, _before bigint")
+    inside = Window.partitionBy("_split").orderBy("_at")
+    return marked.join(F.broadcast(starts), "_split").withColumn("pos", F.col("_before") + F.row_number().over(inside) - 1).drop("_split", "_at", "_before")
 
 
 NOTE_FILE = r"(train|dev|test)_(\d+)_(hosp|icu)\.pq"
@@ -43,10 +71,10 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     Files are ``<root>/{admission,discharge}_notes/icd-*/*/<split>_<version>_<source>.pq``.
     Discharge notes of all splits are looked up within one version and source.
     """
-    discharge = _tagged(_tree(spark, f"{root}/discharge_notes")).select(
+    discharge = _tagged(_tree(spark, f"{root}/discharge_notes", DISCHARGE_FILES)).select(
         "hadm_id", "ICD_version", "data_source", F.col("text").alias("discharge_note")
     )
-    admission = _tagged(_tree(spark, f"{root}/admission_notes"))
+    admission = _tagged(_tree(spark, f"{root}/admission_notes", ADMISSION_FILES))
     keys = ["hadm_id", "ICD_version", "data_source"]
     return admission.join(discharge, keys, "left").select(
         "subject_id", "hadm_id", "charttime", F.col("LONG_CODES").alias("ICD_CODES"),
@@ -91,9 +119,8 @@ def read_diseases(spark: SparkSession, root: str, complaints: list[str]) -> Data
         path = f"{root}/{complaint.replace(' ', '_')}.csv"
         raw = spark.read.csv(path, header=True)
         features = [c for c in raw.columns if c not in ("Disease", "Synonyms", "icd10_regex")]
-        numbered = raw.withColumn("pos", F.monotonically_increasing_id())
         tables.append(
-            numbered.select(
+            _in_order(raw).select(
                 F.lit(complaint).alias("chief_complaint"), F.col("pos").cast("int"),
                 F.col("Disease").alias("disease"), F.col("Synonyms").alias("synonyms"), "icd10_regex",
                 F.array(*[F.col(f"`{c}`").cast("int") for c in features]).alias("features"),
@@ -145,42 +172,83 @@ def read_models(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("com
     return df.filter(~F.col("gen_model").isin(list(exclude)) & ~F.col("gen_model").startswith("cc_"))
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """Evaluation results ``<root>/eval_results_<collection>/*.pq`` with ``collection``."""
+def read_results(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """Evaluation results ``<root>/eval_results_<collection>/*.pq`` with ``collection``.
+
+    With a schema, a filter on ``collection`` leaves the files of other collections unopened.
+    """
     folder = F.regexp_extract(file_path(), r"(eval_results_[^/]+)/", 1)
-    return _tree(spark, root).withColumn("collection", without_prefix(folder))
+    return _tree(spark, root, schema).withColumn("collection", without_prefix(folder))
 
 
-def read_newest(spark: SparkSession, root: str, experiments: list[str], k: int = 3) -> DataFrame:
+def read_newest(spark: SparkSession, root: str, experiments: list[str], k: int = 3, text_lists: tuple[str, ...] = TEXT_LISTS) -> DataFrame:
     """Rows of the ``k`` newest versions over the experiments.
 
     Files are ``<root>/<experiment>/v<N>/*.pq``; versions run from the highest
-    number down, experiments in the given order within a number.
+    number down, experiments in the given order within a number. Versions are chosen from
+    the names of the files, so that no file of another version is opened. Lists that are
+    stored as text are parsed.
     """
-    path = file_path()
-    df = _tree(spark, root).withColumns(
-        {
-            "experiment": F.regexp_extract(path, r"([^/]+)/v\d+/", 1),
-            "version": none_if_empty(F.regexp_extract(path, r"/v(\d+)/", 1)).cast("int"),
-        }
-    ).filter(F.col("experiment").isin(experiments))
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pq,parquet}").load(root)
     order = F.array_position(F.array(*[F.lit(e) for e in experiments]), F.col("experiment"))
-    newest = df.select("experiment", "version").distinct().orderBy(F.desc("version"), order).limit(k)
-    return df.join(newest, ["experiment", "version"], "left_semi")
+    found = listing.select(
+        F.regexp_extract("path", r"^(.*/v\d+)/", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)/v\d+/", 1).alias("experiment"),
+        none_if_empty(F.regexp_extract("path", r"/v(\d+)/", 1)).cast("int").alias("version"),
+    )
+    newest = found.filter(F.col("experiment").isin(experiments) & F.col("version").isNotNull()).distinct().orderBy(F.desc("version"), order).limit(k)
+    parts = [
+        _folder(spark, r["folder"]).withColumns({"experiment": F.lit(r["experiment"]), "version": F.lit(r["version"])}) for r in newest.collect()  # k rows
+    ]
+    if not parts:
+        raise FileNotFoundError(f"no version of {experiments} below {root}")
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lists = {c: parse_list(F.col(c)) for c, kind in rows.dtypes if c in text_lists and kind == "string"}
+    return rows.withColumns(lists) if lists else rows
+
+
+def _folder(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pq,parquet}").parquet(folder)
+
+
+def _dump_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(key, pos, list) of the arrays of a dump, read by as many tasks as the file has splits.
+
+    The text is cut at closing brackets, so that each record ends one inner list, or an
+    array. Keys open a section; the lists after a key follow each other. Anything else
+    between two lists, and a bracket within a code, stops the job.
+    """
+    key_pattern = r'"((?:[^"\\]|\\.)*)"\s*:\s*\['
+    records = _in_order(spark.read.text(path, lineSep="]")).select(
+        "pos", "value", F.regexp_extract("value", key_pattern, 1).alias("key"),
+        F.regexp_extract("value", r"(?s)^(.*)\[", 1).alias("head"), F.regexp_extract("value", r"(?s)([^\[]*)$", 1).alias("body"),
+    )
+    records = cut_lineage(records.withColumn("opens", F.col("value").contains("[")), "dump")
+    starts = records.filter("key <> ''").select("pos", "key").orderBy("pos").collect()  # one row for each key of the object
+    section, start = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for r in starts:
+        section = F.when(F.col("pos") >= r["pos"], F.lit(r["key"])).otherwise(section)
+        start = F.when(F.col("pos") >= r["pos"], F.lit(r["pos"])).otherwise(start)
+    # The first list of a section stands in the record of the key, behind two brackets unless the array is flat or empty.
+    placed = records.withColumns({"section": section, "start": start}).filter(F.col("opens") & F.col("section").isin(list(DUMP_KEYS)))
+    plain = F.col("head").rlike(r'^[\s,]*$') | F.col("head").rlike(r'^[\s,{]*"[^"\\]*"\s*:\s*(\[\s*)?$')
+    whole = F.length(F.regexp_replace("body", r'(?s)\\.|[^"]', "")) % 2 == 0
+    broken = F.raise_error(F.lit("a dump holds lists of codes without brackets only")).cast("array<string>")
+    items = F.when(plain & whole, F.from_json(F.concat(F.lit("["), "body", F.lit("]")), "array<string>")).otherwise(broken)
+    nested = F.col("value").rlike(r"\[\s*\[") | (F.col("key") == "")
+    return placed.select(F.col("section").alias("key"), (F.col("pos") - F.col("start")).cast("int").alias("pos"), nested.alias("nested"), items.alias("list"))
 
 
 def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A prediction dump: one row per position, and its label vocabulary."""
-    raw = spark.read.schema(
-        "annotated_codes array<array<string>>, predicted_codes array<array<string>>, "
-        "`predicted_codes@20` array<array<string>>, unique_labels array<string>"
-    ).json(path, multiLine=True)
-    zipped = F.arrays_zip(
-        F.col("annotated_codes").alias("gold"), F.col("predicted_codes").alias("full"),
-        F.col("`predicted_codes@20`").alias("top_n"),
+    """A prediction dump: one row per position, and its label vocabulary.
+
+    The file is one JSON object of parallel arrays of lists; it is read in splits.
+    """
+    lists = cut_lineage(_dump_lists(spark, path), "dump-lists")
+    columns = {name: key for key, name in DUMP_KEYS.items() if name}
+    rows = lists.filter(F.col("nested") & F.col("key").isin(list(columns.values()))).groupBy("pos").agg(
+        *[F.max_by("list", F.when(F.col("key") == key, 1)).alias(name) for name, key in columns.items()]
     )
-    rows = raw.select(F.posexplode(zipped).alias("pos", "r")).select("pos", "r.gold", "r.full", "r.top_n")
-    return rows, raw.select(F.explode("unique_labels").alias("code"))
+    return rows, lists.filter("key = 'unique_labels' AND NOT nested").select(F.explode("list").alias("code"))
 
 
 def read_metrics(spark: SparkSession, path: str, name: str = "collection") -> DataFrame:

@@ -1,10 +1,13 @@
 import datetime as dt
+import functools
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorefold.functions import text as X
+from scorefold.functions.patterns import literal_prefixes
 from scorefold.operators import (
     assignment as A, events as E, filters as FL, frequency as FR, matching as M, names as N, quality as Q, rank_metrics as RM,
     reports as RP, selection as SE, set_metrics as SM, similarity as SI,
@@ -162,6 +165,86 @@ def test_stage_three_must_reach_stage_two(spark):
     assert rows(skipped, "stage") == [(2,)]
 
 
+def test_stage_chain_reads_its_rows_once(spark, tmp_path):
+    second, third = candidates(spark, [[0.9], [0.4]], 2), candidates(spark, [[0.85], [0.95], [0.99]], 3)
+    second.unionByName(third).write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    for mode in (False, True):
+        plan = SE.accept_stages(stored, ["hadm_id"], eval_mode=mode)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_evaluation_mode_counts_the_first_valid_round(spark):
+    parts = [candidates(spark, [[None], [0.1], [0.9]], 1), candidates(spark, [[0.2]], 2), candidates(spark, [[0.9]], 3), candidates(spark, [[None], [None]], 4)]
+    got = SE.accept_stages(functools.reduce(lambda a, b: a.unionByName(b), parts), ["hadm_id"], eval_mode=True)
+    assert rows(got, "stage", "round", "rounds_used", "accepted") == [(1, 2, 2, True), (2, 1, 1, True), (4, 2, 2, False)]
+
+
+def test_running_shares_are_balanced(spark):
+    """Codes that all occur once are dealt out in ranges of like size; no window goes over the whole table."""
+    counts = spark.range(20_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("code"), F.lit(1).alias("n"))
+    shares = FR.cumulative_share(counts)
+    plan = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "Window [" in line)
+    got = shares.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r["code"], r["rank"]) for r in got) == [(f"c{k:06}", k + 1) for k in range(20_000)]
+    assert max(r["cum_share"] for r in got) == 1.0
+    mixed = spark.createDataFrame([("b", 3), ("a", 3), ("c", 5), ("d", 1)], "code string, n long")
+    assert rows(FR.cumulative_share(mixed), "rank", "code", "cum_share") == [(1, "c", 5 / 12), (2, "a", 8 / 12), (3, "b", 11 / 12), (4, "d", 1.0)]
+    assert FR.cumulative_share(mixed.limit(0)).count() == 0
+
+
+def test_phrase_index_agrees_with_patterns(spark):
+    """The indexed join finds what one pattern per phrase finds, folded letters and words without letters included."""
+    phrases = {
+        "Chest Pain": ["pain in chest", "s/p fall", "CP"], "cough": ["tussis", "Kaltes İstanbul"], "odd": ["++", "-x"], "σας": ["μας"], "ß": ["straße"],
+    }
+    systems = {k: f"s{i}" for i, k in enumerate(phrases)}
+    texts = [
+        None, "", "chest  PAIN", "chestpain", "chest, pain", "Pain\nin\tchest and cough", "s/p fall; s/p  fall", "a ++ b", "a+++b", "1 -x", "y-x",
+        "ΣΑΣ", "σας.", "ΜΑΣ μας", "STRASSE straße", "KALTES istanbul", "kaltes İSTANBUL", "tuſſis", "cp", "_cp", "cp\u0301", "coughs cough-", "cough" * 2000,
+    ]
+    df = spark.createDataFrame([(i, t, "train") for i, t in enumerate(texts)] + [(99, "cough", "dev")] * 2, "id int, cc_string string, split string")
+    want = df.select("id", X.matching_keys(F.coalesce("cc_string", F.lit("")), phrases).alias("k")).collect()
+    got = M.add_complaints(df, phrases, systems).select("id", "cc_list", "system_list").collect()
+    lowered = {k.lower(): s for k, s in systems.items()}
+    assert sorted((r["id"], r["k"]) for r in want if r["k"]) == sorted((r["id"], r["cc_list"]) for r in got)
+    assert all(r["system_list"] == [lowered[k] for k in r["cc_list"]] for r in got)
+
+
+def test_phrase_plan_has_constant_size(spark):
+    df = spark.createDataFrame([("a phrase 77 here", "train")], "cc_string string, split string")
+    many = {f"phrase {k}": [f"other words {k}"] for k in range(50_000)}
+    few = {f"phrase {k}": [f"other words {k}"] for k in range(70, 80)}
+    sizes = []
+    for phrases in (few, many):
+        out = M.add_complaints(df, phrases, {k: "s" for k in phrases})
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+        assert [r["cc_list"] for r in out.collect()] == [["phrase 77"]]
+    assert sizes[1] < 1.1 * sizes[0]
+
+
+@pytest.mark.parametrize("pattern", [
+    "E(0|1)\\d", "[EM]\\d[0-4]", "R(0[1-9]|2\\d)\\d|Z79\\d*$", ".*7$", "A?B", "AB*C", "(AB)?C", "A{2}", "[^A]B", "(?i)a", "A\\.5", "()", "A|", "K56.?6",
+    "[A-C-]x", "\\QA(\\E", "^I1[05]", "(A|B(1|2))+C", "A+B", "[0-9]+A", "\\w1", "x{0}A", "[[A]B]1", "(A", "A)B", "",
+])
+def test_matches_begin_with_a_literal_prefix(pattern):
+    import itertools
+    import re
+
+    found = literal_prefixes(pattern)
+    assert found
+    try:
+        compiled = re.compile(pattern.replace("\\QA(\\E", "A\\("))
+    except re.error:
+        return
+    for size in range(5):
+        for letters in itertools.product("AB1C05x7", repeat=size):
+            text = "".join(letters)
+            if compiled.match(text):
+                assert any(text.startswith(p) for p in found), text
+
+
 def test_nan_becomes_null(spark):
     assert spark.range(1).select(SE.no_nan(F.lit(float("nan"))).alias("s")).collect()[0]["s"] is None
 

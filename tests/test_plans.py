@@ -126,6 +126,56 @@ def test_prediction_dump(spark, tmp_path):
     assert rows(vocabulary, "code") == [("a",), ("b",)]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of 2 kB."""
+    names = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "1"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+def test_dictionary_of_several_splits_keeps_its_order(spark, tmp_path, small_splits):
+    lines = "".join(f"name {k},,^A{k},{k % 3 - 1}\n" for k in range(3000))
+    (tmp_path / "cough.csv").write_text("Disease,Synonyms,icd10_regex,Fever\n" + lines)
+    assert spark.read.csv(str(tmp_path / "cough.csv"), header=True).rdd.getNumPartitions() > 5
+    got = RD.read_diseases(spark, str(tmp_path), ["cough"]).collect()
+    assert sorted((r["pos"], r["disease"]) for r in got) == [(k, f"name {k}") for k in range(3000)]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_dump_of_several_splits(spark, tmp_path, small_splits, indent):
+    gold = [[f"a{k}", 'q"\\b'] * (k % 3) for k in range(2000)]
+    dump = {"annotated_codes": gold, "predicted_codes": [], "other": [[1, 2]], "predicted_codes@20": [["x"], [], ["y"]], "unique_labels": ["u", "v"]}
+    (tmp_path / "d.json").write_text(json.dumps(dump, indent=indent))
+    data, vocabulary = RD.read_dump(spark, str(tmp_path / "d.json"))
+    got = sorted((r["pos"], r["gold"], r["full"], r["top_n"]) for r in data.collect())
+    tops = dict(enumerate(dump["predicted_codes@20"]))
+    assert got == [(k, g, None, tops.get(k)) for k, g in enumerate(gold)]
+    assert rows(vocabulary, "code") == [("u",), ("v",)]
+
+
+@pytest.mark.parametrize("gold", [[["a]b"]], [None, ["a"]], [{"x": ["a"]}]])
+def test_dump_of_other_values_stops(spark, tmp_path, gold):
+    (tmp_path / "d.json").write_text(json.dumps({"annotated_codes": gold}))
+    with pytest.raises(Exception, match="lists of codes"):
+        RD.read_dump(spark, str(tmp_path / "d.json"))[0].collect()
+
+
+def test_older_versions_are_not_opened(spark, tmp_path):
+    for v in range(5):
+        spark.createDataFrame([(v, "['a', 'b']", "None")], "n int, v2_preds string, other string").write.parquet(str(tmp_path / "e" / f"v{v}" / "e.pq"))
+    for old in ("v0", "v1"):
+        for file in (tmp_path / "e" / old).rglob("*.parquet"):
+            file.write_bytes(b"not parquet")
+    got = RD.read_newest(spark, str(tmp_path), ["e"], 3)
+    assert rows(got, "version", "n", "v2_preds", "other") == [(v, v, ["a", "b"], "None") for v in (2, 3, 4)]
+    assert all("/v0/" not in f and "/v1/" not in f for f in got.inputFiles())
+
+
 def test_generated_and_newest_files(spark, tmp_path):
     for model in ("m1", "m2"):
         spark.range(2).write.parquet(str(tmp_path / "gen" / model / "cc_back_pain.pq"))
