@@ -77,7 +77,8 @@ def update_ledger(df: DataFrame, path: str, text: str = "text", key: str = "doc_
     """Scan the blobs that the ledger at ``path`` does not hold for these rules, append them, return the ledger.
 
     One row per blob and version of the rules: blob, rules, spans. The folder is
-    created when it is missing. A batch that is appended twice is read once.
+    created when it is missing. Two runs at once may append a blob twice; readers take one
+    of equal rows (``held_spans``).
     """
     spark, version = df.sparkSession, rules_version(rules)
     versions = df.select(F.col(key).alias("path"), blob_of(text).alias("blob"))
@@ -99,6 +100,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if there else None
 
 
+def held_spans(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """One row per blob of this version of the rules: blob, spans. Equal blobs have equal spans."""
+    return ledger.where(F.col("rules") == rules_version(rules)).select("blob", "spans").dropDuplicates(["blob"])
+
+
 def scan(df: DataFrame, ledger: str | None = None, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row of the input with the spans of its text: key, spans (empty if none).
 
@@ -107,7 +113,7 @@ def scan(df: DataFrame, ledger: str | None = None, text: str = "text", key: str
     read; an empty table gives an empty table.
     """
     held = update_ledger(df, ledger or shared_dir(df.sparkSession, "ledger"), text, key, rules)
-    held = held.where(F.col("rules") == rules_version(rules)).select("blob", "spans")
+    held = held_spans(held, rules)
     return df.select(F.col(key), blob_of(text).alias("blob")).join(held, "blob", "left").select(
         key, F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
     )
@@ -120,9 +126,7 @@ def redact(df: DataFrame, ledger: str | None = None, text: str = "text", key: st
     ``size`` gets the length of each text that was changed.
     """
     held = update_ledger(df, ledger or shared_dir(df.sparkSession, "ledger"), text, key, rules)
-    held = held.where((F.col("rules") == rules_version(rules)) & (F.size("spans") > 0)).select(
-        F.col("blob").alias("__blob"), F.col("spans").alias("__spans")
-    )
+    held = held_spans(held, rules).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     body = F.col(text)
 
     def step(acc: Column, span: Column) -> Column:
