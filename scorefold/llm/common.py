@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,6 +151,16 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
+_C = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers serve later stages too, beside the memory of the JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def bounded(batches, column: str, limit: int = 8 << 20):
     """Slice record batches so that each holds about ``limit`` bytes of text, whole rows only."""
     for batch in batches:

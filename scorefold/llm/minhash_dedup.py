@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorefold.llm.bloom import member_filter
-from scorefold.llm.common import bounded, filled, mixed, ranges, table, words
+from scorefold.llm.common import bounded, filled, mixed, ranges, release, table, words
 from scorefold.llm.components import components
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
@@ -87,8 +87,10 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
+    release()
     for batch in bounded(batches, "text", SLICE):
         yield batch, shingles(batch.column("text"))
+    release()
 
 
 def _text_rows(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -101,7 +103,7 @@ def frequencies(df: DataFrame, text: str = "text", key: str = "doc_id") -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(1 << DF_BITS, np.uint32), 0
         for batch, (made, *_) in _slices(batches):
-            total += np.bincount((made >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS).astype(np.uint32)
+            np.add.at(total, (made >> np.uint64(64 - DF_BITS)).astype(np.int64), np.uint32(1))
             docs += batch.num_rows
         if docs:
             parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, 1 << DF_BLOCK_BITS)]

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorefold.llm.common import Known, bounded, filled, held_out, table, words
+from scorefold.llm.common import Known, bounded, filled, held_out, release, table, words
 from scorefold.llm.labelled import newton, training_rows
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
@@ -184,6 +184,7 @@ def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]
     column = text if text in keep else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = Known(1, KNOWN)
         for batch in bounded(batches, column, SLICE):
             spans = words(batch.column(column))
