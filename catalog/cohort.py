@@ -235,12 +235,15 @@ def code_pattern_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j04_code_pattern_match_joined",
-    f"""WITH {CODE_MATCH_SQL} SELECT l.system, l.id, coalesce(array_to_string(ds, ','), '') AS diseases, coalesce(rs[1], -1)::INT AS disease_icd_rank
+    f"""WITH {CODE_MATCH_SQL.replace("dict USING (complaint)\n    WHERE", "dict USING (complaint)\n    WHERE disease <> 'beta' AND")}
+    SELECT l.system, l.id, coalesce(array_to_string(ds, ','), '') AS diseases, coalesce(rs[1], -1)::INT AS disease_icd_rank
     FROM lists l JOIN adm USING (id) LEFT JOIN m USING (system, id)""",
 )
 def code_pattern_match_joined(spark: SparkSession, d: str) -> DataFrame:
-    """The way taken for dictionaries too large to become literals."""
-    matched = M.add_code_matches(cohort_rows(spark, d), diseases(spark), ["system", "id"])
+    """A dictionary with missing patterns, and each pattern there twice: the place decides, nulls match nothing."""
+    dictionary = diseases(spark).withColumn("icd10_regex", F.when(F.col("disease") != "beta", F.col("icd10_regex")))
+    later = dictionary.withColumns({"pos": F.col("pos") + 100, "disease": F.lit("later")})
+    matched = M.add_code_matches(cohort_rows(spark, d), dictionary.unionByName(later), ["system", "id"])
     return matched.select(
         "system", "id", F.array_join("diseases_by_icd_match", ",").alias("diseases"), "disease_icd_rank"
     )
@@ -356,13 +359,13 @@ def ranked_mrr(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {NOTES_SQL}, {SECTION_SQL}, {_window(120)}, {FIRST_SQL},
     t AS (SELECT hadm_id, string_agg({_LAB_TEXT}, ' | ' ORDER BY itemid) AS labs FROM firsts GROUP BY 1),
     m AS (SELECT doc_id, list_transform({_phrase_sql("coalesce(cc_string, '')")}, lambda h: h.k) AS ks FROM cc)
-    SELECT array_to_string(ks, ',') AS cc_list, count(*) AS n, count(labs) AS n_labs, {text_sum_sql('cc_string')} AS sections
-    FROM m JOIN cc USING (doc_id) LEFT JOIN t ON doc_id = hadm_id WHERE len(ks) > 0 GROUP BY 1""",
+    SELECT array_to_string(ks, ',') AS cc_list, array_to_string(list_transform(ks, lambda k: {_SYSTEM_SQL}), ',') AS system_list, count(*) AS n, count(labs) AS n_labs, {text_sum_sql('cc_string')} AS sections
+    FROM m JOIN cc USING (doc_id) LEFT JOIN t ON doc_id = hadm_id WHERE len(ks) > 0 GROUP BY 1, 2""",
 )
 def annotate_notes(spark: SparkSession, d: str) -> DataFrame:
     rows = notes(spark, d).select(F.col("doc_id").alias("hadm_id"), F.col("note").alias("discharge_note"), F.lit("train").alias("split"))
     out = plan.annotate(rows, timed_events(spark, d), stays(spark, d), SYNONYMS, SYSTEMS, RULES, 120)
-    return out.groupBy(F.array_join("cc_list", ",").alias("cc_list")).agg(
+    return out.groupBy(F.array_join("cc_list", ",").alias("cc_list"), F.array_join("system_list", ",").alias("system_list")).agg(
         F.count("*").alias("n"), F.count("labs").alias("n_labs"), text_sum(F.col("cc_string")).alias("sections")
     )
 

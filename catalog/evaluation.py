@@ -10,7 +10,7 @@ from catalog.inputs import (
 )
 from catalog.registry import query
 from scorefold.functions import codes as C, scoring as S
-from scorefold.operators import frequency as FR, rank_metrics as RM, reports as RP, set_metrics as SM
+from scorefold.operators import frequency as FR, matching as M, rank_metrics as RM, reports as RP, set_metrics as SM
 
 MM_SQL = f"WITH {CODE_ROWS}, {PAIRS}, {counts_sql('system')}, {scored_sql()}, {micro_macro_sql('system')}"
 
@@ -291,11 +291,9 @@ def set_f1(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT system, id, list_transform(pred, lambda c: substr(c, 1, 3)) AS r FROM lists), space""",
 )
 def short_in_label_space(spark: SparkSession, d: str) -> DataFrame:
-    # Short codes have three characters, so the label space is bounded.
-    gold = code_rows(spark, d).filter("is_gold")
-    space = gold.agg(F.collect_set(C.short_code("code")).alias("s")).scalar()
-    kept = C.keep_in(C.ranked_categories("pred"), space)
-    return answer_lists(spark, d).select("system", "id", F.array_join(kept, ",").alias("codes"))
+    space = code_rows(spark, d).filter("is_gold").select(C.short_code("code").alias("code"))
+    kept = M.keep_known(answer_lists(spark, d).withColumn("ranked", C.ranked_categories("pred")), "ranked", space, ["system", "id"])
+    return kept.select("system", "id", F.array_join("ranked", ",").alias("codes"))
 
 
 @query("a34_label_space", f"WITH {CODE_ROWS}, {ADMISSIONS} SELECT DISTINCT complaint, substr(code, 1, 3) AS label FROM code_rows JOIN adm USING (id) WHERE is_gold")

@@ -9,6 +9,7 @@ from catalog.inputs import ADMISSIONS, CODE_ROWS, LISTS, admissions, answer_list
 from catalog.registry import query
 from scorefold.functions import parsing as P
 from scorefold.operators import filters as FL, selection as SE, similarity as SI
+from scorefold.sources import sinks as SK
 
 # --- scored candidates ----------------------------------------------------------
 
@@ -86,6 +87,46 @@ def stage_chain(spark: SparkSession, d: str) -> DataFrame:
     return chain.select("hadm_id", "stage", "round", "score", "rounds_used", "accepted")
 
 
+_EVAL_KEPT = "SELECT hadm_id, stage, round, choice_idx, max(score) AS score FROM cand WHERE stage <> 3 GROUP BY ALL"
+_EVAL_SQL = f"""{SCORED}, kept AS ({_EVAL_KEPT}),
+  firsts AS (SELECT hadm_id, stage, round, score FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id, stage, round ORDER BY (score IS NULL)::INT, choice_idx) AS rn FROM kept) WHERE rn = 1),
+  {_accept_sql('score >= -1', 'firsts', 'e')}"""
+
+
+@query("l03_evaluation_chain", f"WITH {_EVAL_SQL} SELECT * FROM e")
+def evaluation_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Stages 1, 2 and 4 in evaluation mode: the first valid choice of the first round that has one."""
+    best = scored(spark, d).groupBy(*KEY, "choice_idx").agg(F.max("score").alias("score"))
+    chain = SE.accept_stages(best, ["hadm_id"], eval_mode=True)
+    return chain.select("hadm_id", "stage", "round", "score", "rounds_used", "accepted")
+
+
+@query(
+    "s14_next_step",
+    f"""WITH {_EVAL_SQL}, last AS (SELECT max(struct_pack(stage := stage, round := round)) AS m FROM cand),
+    o AS (SELECT count(*) AS n FROM (SELECT DISTINCT hadm_id FROM cand) WHERE hadm_id NOT IN (SELECT hadm_id FROM e, last WHERE accepted AND stage = m.stage))
+    SELECT m.stage::INT AS stage, m.round::INT AS round, n AS n_open, n = 0 OR m.round >= 4 AS stage_done FROM last, o""",
+)
+def next_step(spark: SparkSession, d: str) -> DataFrame:
+    """Where an evaluation run resumes: its last stage and round, and the items without an accepted answer there."""
+    rows = scored(spark, d)
+    best = rows.groupBy(*KEY, "choice_idx").agg(F.max("score").alias("score"))
+    accepted = SE.accept_stages(best, ["hadm_id"], eval_mode=True)
+    step = SK.next_step(rows, accepted, rows.select("hadm_id").distinct(), ["hadm_id"], SE.BUDGET)
+    return step.withColumns({"stage": F.col("stage").cast("int"), "round": F.col("round").cast("int")})
+
+
+@query(
+    "l04_missing_answers",
+    "SELECT l_orderkey AS hadm_id, count(*) AS n FROM lineitem WHERE l_quantity > 45 OR l_linenumber = 3 GROUP BY 1",
+)
+def missing_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation mode: what is asked again are rows without an answer, whatever their score."""
+    answer = F.when(F.col("l_linenumber") == 3, "None").when(F.col("l_quantity") <= 45, "[]")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hadm_id"), answer.alias("v1_json"))
+    return FL.without_answer(rows, "v1_json").groupBy("hadm_id").agg(F.count("*").alias("n"))
+
+
 @query(
     "l04_open_items",
     f"WITH {STAGES_SQL} SELECT DISTINCT hadm_id FROM rounds WHERE hadm_id NOT IN (SELECT hadm_id FROM chain WHERE stage = 4 AND accepted)",

@@ -96,11 +96,6 @@ def gold_full_codes(codes: Column | str) -> Column:
     return F.array_distinct(F.filter(up, lambda c: c.isNotNull() & (c != "")))
 
 
-def keep_in(codes: Column | str, label_space: Column) -> Column:
-    """Codes that belong to the label space; a null list stays null."""
-    return F.array_intersect(_col(codes), label_space)
-
-
 def is_history(code: Column) -> Column:
     return F.substring(code, 1, 2).isin("Z8", "Z9")
 

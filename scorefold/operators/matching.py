@@ -73,6 +73,18 @@ def add_rank_columns(df: DataFrame, diseases: DataFrame, keys: list[str], group:
     )
 
 
+def keep_known(df: DataFrame, codes: str, label_space: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct codes of a list column that are in ``label_space`` (code), in their order; a null list stays null.
+
+    ``keys`` identify a row. The label space is joined, whatever its size.
+    """
+    exploded = df.select(*keys, F.posexplode(F.array_distinct(codes)).alias("_pos", "code"))
+    known = exploded.join(label_space.select("code").distinct(), "code", "left_semi")
+    lists = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "code")))["code"].alias("_known"))
+    empty = F.when(F.col(codes).isNotNull(), F.array().cast("array<string>"))
+    return df.join(lists, keys, "left").withColumn(codes, F.coalesce("_known", empty)).drop("_known")
+
+
 def check_same_keys(synonyms: dict[str, list[str]], systems: dict[str, str]) -> None:
     """Both dictionaries must know the same complaints."""
     a, b = {k.lower() for k in synonyms}, {k.lower() for k in systems}
