@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorefold.llm.bpe import encoded, vocabulary
-from scorefold.llm.common import table
+from scorefold.llm.common import release, table
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
 
@@ -89,6 +89,7 @@ def pieces(df: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, ids, begin in encoded(batches, "text", vocabulary(path)):
             rows, starts, lengths, crcs, totals, raws = [], [], [], [], [], []
             raw, end = ids.astype("<u4").tobytes(), np.uint32(end_id).astype("<u4").tobytes()
