@@ -55,10 +55,13 @@ def _met(items: DataFrame, labels: DataFrame, keys: list[str], group: str | None
     A frequent group is spread: its label blocks are copied once for each SPREAD blocks
     of items, so that no key of the join holds more than about SPREAD of them.
     """
-    by = F.lit(0) if group is None else F.col(group)
+    # Without groups all rows are of group 0. The condition always holds; it keeps a constant
+    # group from being folded away, so that the joins stay equi joins.
+    name = F.lit(0) if group is None else F.col(group)
+    by, other_by = (F.when(F.pmod(F.hash(*c), F.lit(1)) == 0, name) for c in (keys, ["pos", "label"]))
     double = "array<double>"
     own = items.select(by.alias(GROUP), F.struct(*keys).alias("key"), F.col("embedding").cast(double).alias("vector"), *extra).where(F.col(GROUP).isNotNull())
-    other = labels.select(by.alias(GROUP), "pos", "label", F.col("embedding").cast(double).alias("vector")).where(F.col(GROUP).isNotNull())
+    other = labels.select(other_by.alias(GROUP), "pos", "label", F.col("embedding").cast(double).alias("vector")).where(F.col(GROUP).isNotNull())
     item_sizes, label_sizes = _sizes(own, ITEM), _sizes(other, LABEL)
     item_blocks = _blocks(own, item_sizes, ITEM, F.xxhash64("key"), ["key", "vector", *extra])
     label_blocks = _blocks(other, label_sizes, LABEL, F.xxhash64("pos", "label"), ["pos", "label", "vector"])
