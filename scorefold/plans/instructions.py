@@ -225,7 +225,8 @@ def with_template(rows: DataFrame, templates: DataFrame, stage: Column, complain
     """
     own = templates.select(F.col("stage").alias("_stage"), F.col("complaint").alias("_complaint"), F.col("template").alias("_own"))
     generic = templates.where("complaint = 'generic'").select(F.col("stage").alias("_stage"), F.col("template").alias("_generic"))
-    keyed = rows.withColumns({"_stage": stage, "_complaint": complaint})
+    # The condition always holds; it keeps a constant stage from being folded out of the join.
+    keyed = rows.withColumns({"_stage": F.when(F.pmod(F.hash(complaint), F.lit(1)) == 0, stage), "_complaint": complaint})
     found = keyed.join(own, ["_stage", "_complaint"], "left").join(generic, "_stage", "left")
     return found.withColumn("template", F.coalesce("_own", "_generic")).drop("_stage", "_complaint", "_own", "_generic")
 
