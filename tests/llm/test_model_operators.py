@@ -1,5 +1,6 @@
 """Near-dedup, embeddings, classifiers, language model, pipeline: brute force on small tables."""
 
+import functools
 import math
 import random
 import re
@@ -232,53 +233,65 @@ def test_quality_rules(spark):
     assert quality.score(docs(spark, []), model, keep=["doc_id"]).count() == 0
 
 
-def katz(rows, folds=10):
+def katz(rows, order, folds=10):
     """Brute force: (n_tokens, n_known, base, score) of each text."""
     cut = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) + [b" "]
-    one, two, top = Counter(), Counter(), katz_lm.TOP
+    top = katz_lm.TOP
+    count = [Counter() for _ in range(order + 1)]  # by length; a text begins after an end
     for i, t in rows:
         if zlib.crc32(b"" if i is None else str(i).encode()) % folds:
             w = cut(t)
-            one.update(w)
-            two.update(zip([b" "] + w[:-1], w))
-    d1, d2 = (katz_lm.discounts([sum(v == r for v in c.values()) for r in range(1, top + 2)]) for c in (one, two))
-    n = max(sum(one.values()), 1)
-    p1 = {w: d1[min(c, top + 1)] * c / n for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    seen, rest = defaultdict(float), defaultdict(float)
-    for (h, w), c in two.items():
-        seen[h] += p1[w]
-        rest[h] += (1 - d2[min(c, top + 1)]) * c / one[h]
+            count[1].update((x,) for x in w)
+            for n in range(2, order + 1):
+                count[n].update(tuple(([b" "] + w)[k : k + n]) for k in range(len(w) + 2 - n))
+    d = [None] + [katz_lm.discounts([sum(v == r for v in c.values()) for r in range(1, top + 2)]) for c in count[1:]]
+    total = max(sum(count[1].values()), 1)
+    unknown = 1 - sum(d[1][min(c, top + 1)] * c / total for c in count[1].values())
+    after = defaultdict(list)
+    for n in range(2, order + 1):
+        for g in count[n]:
+            after[g[:-1]].append(g[-1])
+
+    @functools.cache
+    def weight(h):
+        n = len(h) + 1
+        rest = 1 - math.fsum(d[n][min(count[n][(*h, w)], top + 1)] * count[n][(*h, w)] / count[n - 1][h] for w in after[h])
+        return rest / (1 - math.fsum(p(h[1:], w) for w in after[h]))
 
     def p(h, w):
-        if c := two.get((h, w)):
-            return d2[min(c, top + 1)] * c / one[h]
-        return p1.get(w, unknown) * (rest[h] / (1 - seen[h]) if h in one else 1)
-
-    for h in list(one)[:20]:
-        assert abs(sum(p(h, w) for w in one) + p(h, b"\0") - 1) < 1e-9
+        n = len(h) + 1
+        c = count[n][(*h, w)]
+        if n == 1:
+            return d[1][min(c, top + 1)] * c / total if c else unknown
+        if c:
+            return d[n][min(c, top + 1)] * c / count[n - 1][h]
+        return p(h[1:], w) * (weight(h) if after[h] else 1)
+
+    for h in [*list(after)[:20], *list(after)[-20:]]:
+        assert abs(math.fsum(p(h, w) for w, in count[1]) + p(h, b"\0") - 1) < 1e-9
     out = []
     for i, t in rows:
         w = cut(t)
-        base = sum(math.log10((one[x] + 0.1) / (sum(one.values()) + 0.1 * (len(one) + 1))) for x in w)
-        out.append((i, len(w), sum(x in one for x in w), base, sum(math.log10(p(h, x)) for h, x in zip([b" "] + w[:-1], w))))
+        base = sum(math.log10((count[1][(x,)] + 0.1) / (sum(count[1].values()) + 0.1 * (len(count[1]) + 1))) for x in w)
+        log = math.fsum(math.log10(p(tuple(([b" "] + w)[max(0, k + 2 - order) : k + 1]) if order > 1 else (), x)) for k, x in enumerate(w))
+        out.append((i, len(w), sum((x,) in count[1] for x in w), base, log))
     return out
 
 
-@pytest.mark.parametrize("ranges", [1_000_000, 500])
-def test_katz_equals_brute_force(spark, monkeypatch, ranges):
+@pytest.mark.parametrize("ranges, order", [(1_000_000, 3), (500, 3), (500, 1), (500, 2), (2000, 4)])
+def test_katz_equals_brute_force(spark, monkeypatch, ranges, order):
     monkeypatch.setattr(katz_lm, "RANGE_TOKENS", ranges)
     rng = random.Random(6)
     common_words = random_text(rng, 80).split()
-    rows = [(i, " ".join(rng.choice(common_words) for _ in range(60))) for i in range(150)]
-    rows += [(500, None), (501, ""), (None, "Some null key"), (502, "same same same " * 3000), (7, rows[7][1]), (503, "É é\x0bNew word")]
-    got = sorted(katz_lm.score(docs(spark, rows)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
-    want = sorted(katz(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    rows = [(i, " ".join(rng.choice(common_words[: rng.randint(5, 80)]) for _ in range(60))) for i in range(150)]
+    rows += [(500, None), (501, ""), (None, "Some null key"), (502, "same same same " * 3000), (7, rows[7][1]), (503, "É é\x0bNew word"), (504, "one")]
+    got = sorted(katz_lm.score(docs(spark, rows), order=order).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    want = sorted(katz(rows, order), key=lambda r: (r[0] is None, r[0] or 0))
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert (g.doc_id, g.n_tokens, g.n_known) == w[:3]
-        assert abs(g.base_score - w[3]) < 1e-6 and abs(g.score - w[4]) < 1e-4 * g.n_tokens
-    assert katz_lm.score(docs(spark, [])).count() == 0
+        assert abs(g.base_score - w[3]) < 1e-9 * g.n_tokens and abs(g.score - w[4]) < 1e-9 * g.n_tokens
+    assert katz_lm.score(docs(spark, []), order=order).count() == 0
 
 
 def test_packed_arrays():
