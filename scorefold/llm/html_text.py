@@ -110,7 +110,7 @@ class Element:
     ``key`` is the hash of all it holds, ``inside`` tells whether it is part of an article.
     Of those around articles, ``place`` is the hash of tags and names from the root, ``below`` the
     hashes of tags and names it holds, and ``named`` tells whether it or what is around it has a
-    name and it holds neither an article nor a main heading.
+    class, an id or a tag that says its role and it holds neither an article nor a main heading.
     """
 
     __slots__ = ("key", "inside", "place", "below", "named")
@@ -224,7 +224,7 @@ def read_blocks(html: str, names: bool = True, everything: bool = False) -> tupl
                     mark = xxhash.xxh64_intdigest(f"{tag} {own}")
                     element.place = xxhash.xxh64_intdigest(f"{around[-1].place if around else 0} {mark}")
                     if element.named is False:
-                        element.named = bool(own or around and around[-1].named)
+                        element.named = bool(own or tag in DROPPED_TAGS or tag == "header" or around and around[-1].named)
                     for e in around:
                         e.below.add(mark)
                 elements.append(element)
