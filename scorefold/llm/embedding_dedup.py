@@ -184,7 +184,27 @@ def _links(reps: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFram
     return found, components(compared.select(F.col("id").alias("a"), F.col("low").alias("b")))
 
 
-@query("op6_embedding_dedup")
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+  FROM embeddings),
+u AS (SELECT vec_id, label, len(e) AS n, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v WHERE fine),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+found AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
+FROM v LEFT JOIN found ON found.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
+
+
+@query("op6_embedding_dedup", SQL)
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return link(table(spark, sf_dir, "embeddings"))
