@@ -34,9 +34,12 @@ def newton(X: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, loss:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, label: str, text: str, key: str, folds: int) -> DataFrame:
-    """At most MAX_TRAIN labelled rows outside the held-out fold, chosen by the hash of the key: k, text, y."""
+    """Rows of at most MAX_TRAIN labelled keys outside the held-out fold, chosen by the hash of the key: k, text, y.
+
+    Of different labels of one key the largest counts.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key), folds))
-    known = known.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
+    known = known.groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("k")).limit(MAX_TRAIN)
     # The labels are at most MAX_TRAIN rows of two numbers.
     return cut_lineage(df.select(F.col(key).alias("k"), filled(text).alias("text")).join(F.broadcast(known), "k").repartition(32), "training")

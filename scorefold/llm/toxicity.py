@@ -8,7 +8,7 @@ product of subsequence counts, the fitted machine is then compiled into one weig
 each subsequence, and a word is scored by adding up weights.
 
 Labels are known for whole texts only. A word is a positive example when it stands in
-toxic texts far more often than in others; copies of a text count once. A text's score is
+toxic texts far more often than in others; a group of near copies counts as one text. A text's score is
 a logistic function of its largest word margin and of the number of words past the margin.
 """
 
@@ -24,7 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorefold.llm.common import Known, bounded, filled, held_out, release, table, words
+from scorefold.llm.common import Known, bounded, filled, held_out, mixed, release, table, words
+from scorefold.llm.components import components
 from scorefold.llm.labelled import newton, training_rows
 from scorefold.llm.registry import query
 from scorefold.session import cut_lineage
@@ -33,6 +34,8 @@ DECAY = 0.6
 SPAN = 6  # letters between the first and the last of a subsequence, at most
 LETTERS = 48
 MAX_WORDS = 20_000  # example words
+MAX_POSITIVE = 2_000  # of them positive ones, the clearest first
+BANDS, MINIMA = 8, 4  # texts that share all minima of a band over runs of three words are near copies
 LANDMARKS = 256
 LONG = 24  # a longer word is cut into overlapping windows of this size
 LEAST_Z = 5.0
@@ -223,27 +226,55 @@ def text_features(df: DataFrame, weights: np.ndarray, text: str, keep: list[str]
 
 
 def _text_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of each text, with a number that near copies of the text mostly share."""
+    """The distinct words of each text."""
     for part in parts:
         out: list[tuple[int, int, str]] = []
-        for y, text in zip(part.y, part.text):
-            found = {EDGE.sub("", w) for w in set(text.lower().split())}
-            copy = min((zlib.crc32(w.encode("utf-8", "replace")) for w in found if len(w) >= 5), default=0)
-            out += [(y, copy, w) for w in found if 2 <= len(w) <= LONG]
-        yield pd.DataFrame(out, columns=["y", "copy", "w"])
+        for y, node, text in zip(part.y, part.node, part.text):
+            out += [(y, node, w) for w in {EDGE.sub("", w) for w in set(text.lower().split())} if 2 <= len(w) <= LONG]
+        yield pd.DataFrame(out, columns=["y", "node", "w"])
+
+
+def _bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hash of each band of minima of a text; texts without words have none."""
+    seeds = mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64))
+    for part in parts:
+        nodes, keys = [], []
+        for node, text in zip(part.node, part.text):
+            h = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in text.lower().split()], np.uint64)
+            if not len(h):
+                continue
+            runs = np.concatenate([h[:1], h[:1], h])  # a text of one word has a run too
+            h = np.unique(mixed(mixed(mixed(runs[:-2]) + runs[1:-1]) + runs[2:]))
+            low = np.array([mixed(h ^ seed).min() for seed in seeds]).reshape(BANDS, MINIMA)
+            key = np.arange(BANDS, dtype=np.uint64)
+            for column in low.T:
+                key = mixed(key + column)
+            nodes += [node] * BANDS
+            keys += key.astype(np.int64).tolist()
+        yield pd.DataFrame({"node": nodes, "key": keys})
+
+
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """(node, component) of the texts (node, text) that are linked to near copies."""
+    bands = cut_lineage(rows.select("node", "text").dropDuplicates(["node"]).mapInPandas(_bands, "node long, key long"), "bands")
+    lowest = bands.groupBy("key").agg(F.min("node").alias("low"))
+    return components(bands.join(lowest, "key").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
 
 
 def example_words(rows: DataFrame) -> tuple[list[str], DataFrame]:
-    """Positive words, the clearest first, and a table of negative words; near copies of a text count once."""
-    per = rows.mapInPandas(_text_words, "y int, copy long, w string").distinct()
+    """Positive words, the clearest first, and a table of negative words; a group of near copies counts as one text of each label."""
+    rows = rows.select("y", F.xxhash64("text").alias("node"), "text")
+    groups = copy_groups(rows)
+    in_group = lambda df: df.join(groups, "node", "left").withColumn("text", F.coalesce("component", "node")).drop("node", "component")
+    per = in_group(rows.mapInPandas(_text_words, "y int, node long, w string")).distinct()
     counts = cut_lineage(per.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")), "words")
-    rate = rows.agg(F.avg("y")).collect()[0][0]
+    rate = in_group(rows.select("y", "node")).distinct().agg(F.avg("y")).collect()[0][0]
     if not rate or rate == 1:
         return [], counts.where("false")
     spread = F.sqrt((F.col("p") + F.col("n")) * rate * (1 - rate))
     ranked = counts.withColumn("z", (F.col("p") - (F.col("p") + F.col("n")) * rate) / spread)
     clear = (F.col("z") >= LEAST_Z) & (F.col("p") >= 10 * F.col("n")) & (F.col("p") >= 3)
-    positive = ranked.where(clear).orderBy(F.desc("z"), "w").limit(2000).collect()
+    positive = ranked.where(clear).orderBy(F.desc("z"), "w").limit(MAX_POSITIVE).collect()
     return [r["w"] for r in positive], ranked.where((F.col("n") > 0) & (F.col("z") < 1)).select("w")
 
 
