@@ -201,32 +201,6 @@ def test_toxicity_tolerates_gaps(spark):
     assert toxicity.score(docs(spark, []), model, keep=["doc_id"]).count() == 0
 
 
-def test_near_copies_are_one_group(spark):
-    rng = random.Random(8)
-    base = [random_text(rng, 120).split() for _ in range(6)]
-    texts = []
-    for i, words in enumerate(base):
-        for _ in range(5):
-            at = rng.randrange(len(words))
-            texts.append((i, " ".join(words[:at] + ["changed"] + words[at + 1 :])))
-    texts += [(10 + i, random_text(rng, 60)) for i in range(30)] + [(50, ""), (51, "one"), (51, "one")]
-    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "node long, text string")
-    group = {r.node: r.component for r in toxicity.copy_groups(rows).collect()}
-    of = [group.get(k, k) for k in range(len(texts))]
-    want = [g for g, _ in texts]
-    same = lambda x: {(a, b) for a in range(len(x)) for b in range(a) if x[a] == x[b]}
-    assert same(of) == same(want)
-
-
-def test_words_of_near_copies_count_once(spark):
-    rng = random.Random(9)
-    copies = [(1, random_text(rng, 100) + " copied") for _ in range(1)]
-    copies += [(1, copies[0][1].replace("copied", "copied " + w)) for w in ("a1", "b2", "c3", "d4", "e5", "f6")]
-    rows = copies + [(1, random_text(rng, 30) + " insult") for _ in range(6)] + [(0, random_text(rng, 30)) for _ in range(60)]
-    positive, _ = toxicity.example_words(spark.createDataFrame(rows, "y int, text string"))
-    assert positive == ["insult"]
-
-
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, [(1, "a")]), none)
