@@ -165,7 +165,7 @@ def read_schemes(spark: SparkSession, d: str) -> DataFrame:
     SELECT pos::INT AS pos, array_to_string(gold, ',') AS gold, array_to_string(pred, ',') AS "full", array_to_string(pred[1:2], ',') AS top_n FROM x""",
 )
 def read_dump(spark: SparkSession, d: str) -> DataFrame:
-    """All lists as the parallel arrays of one JSON object, written in order by ranges and read in splits."""
+    """All lists as the parallel arrays of one JSON object, written in order by ranges, one file each, and read in splits."""
     path = shared_dir(spark, "dump")
     rows = cut_lineage(answer_lists(spark, d), "lists")
     first = rows.agg(F.min(F.struct("system", "id"))).first()[0]
@@ -176,7 +176,7 @@ def read_dump(spark: SparkSession, d: str) -> DataFrame:
         "k", "system", "id", F.concat(F.when(opens, F.get(starts, F.col("k"))).otherwise(", "), "v").alias("line")
     )
     end = spark.createDataFrame([(len(columns), "", 0, '], "unique_labels": ["A00"]}')], lines.schema)
-    lines.unionByName(end).coalesce(1).sortWithinPartitions("k", "system", "id").select("line").write.text(f"{path}/dump.json")
+    lines.unionByName(end).orderBy("k", "system", "id").select("line").write.text(f"{path}/dump.json")
     rows, _ = RD.read_dump(spark, f"{path}/dump.json")
     return rows.select("pos", *[F.array_join(c, ",").alias(c) for c in ("gold", "full", "top_n")])
 

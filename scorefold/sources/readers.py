@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorefold.functions.parsing import parse_list
 from scorefold.functions.text import none_if_empty, without_prefix
@@ -36,19 +36,30 @@ def _tree(spark: SparkSession, root: str, schema: str | None = None) -> DataFram
     return (reader.schema(schema) if schema else reader.option("mergeSchema", "true")).parquet(root)
 
 
+def _marked(rows: DataFrame) -> DataFrame:
+    """Adds the split a row of files is read in, and its place there."""
+    at = F.struct(file_path().alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return rows.select("*", at.alias("_split"), F.monotonically_increasing_id().alias("_at"))
+
+
+def _numbered(marked: DataFrame) -> DataFrame:
+    """Adds ``pos`` in place of the marks. Rows of a split stand in a row, so the first place of each split is all it takes."""
+    splits = marked.groupBy("_split").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
+    found = sorted((r["_split"], r["first"], r["n"]) for r in splits.collect())  # one row for each split
+    before = [0, *accumulate(n for _, _, n in found)]
+    starts = marked.sparkSession.createDataFrame(
+        [(tuple(s), b - first) for (s, first, _), b in zip(found, before)], "_split struct<file string, start bigint>, _shift bigint"
+    )
+    return marked.join(F.broadcast(starts), "_split").withColumn("pos", F.col("_shift") + F.col("_at")).drop("_split", "_at", "_shift")
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """Adds ``pos``, the place of each row in its file (or files, by name), from 0.
 
     A file may be read in several splits: rows are numbered inside a split and start after
-    those of the splits before it.
+    those of the splits before it. Nothing is sorted or shuffled.
     """
-    at = F.struct(file_path().alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    marked = rows.select("*", at.alias("_split"), F.monotonically_increasing_id().alias("_at"))
-    sizes = sorted((r["_split"], r["n"]) for r in marked.groupBy("_split").agg(F.count("*").alias("n")).collect())  # one row for each split
-    before = [0, *accumulate(n for _, n in sizes)]
-    starts = rows.sparkSession.createDataFrame([(tuple(s), b) for (s, _), b in zip(sizes, before)], "_split struct<file string, start bigint>, _before bigint")
-    inside = Window.partitionBy("_split").orderBy("_at")
-    return marked.join(F.broadcast(starts), "_split").withColumn("pos", F.col("_before") + F.row_number().over(inside) - 1).drop("_split", "_at", "_before")
+    return _numbered(_marked(rows))
 
 
 NOTE_FILE = r"(train|dev|test)_(\d+)_(hosp|icu)\.pq"
@@ -215,21 +226,24 @@ def _dump_lists(spark: SparkSession, path: str) -> DataFrame:
 
     The text is cut at closing brackets, so that each record ends one inner list, or an
     array. Keys open a section; the lists after a key follow each other. Anything else
-    between two lists, and a bracket within a code, stops the job.
+    between two lists, and a bracket within a code, stops the job. The text may stand in
+    several files of a folder, in the order of their names, each of whole lists.
     """
     key_pattern = r'"((?:[^"\\]|\\.)*)"\s*:\s*\['
-    records = _in_order(spark.read.text(path, lineSep="]")).select(
-        "pos", "value", F.regexp_extract("value", key_pattern, 1).alias("key"),
+    # Records that open no list end an array, the object or a file; they take no place.
+    text = spark.read.text(path, lineSep="]").where(F.col("value").contains("["))
+    marked = _marked(text).select(
+        "_split", "_at", "value", F.regexp_extract("value", key_pattern, 1).alias("key"),
         F.regexp_extract("value", r"(?s)^(.*)\[", 1).alias("head"), F.regexp_extract("value", r"(?s)([^\[]*)$", 1).alias("body"),
     )
-    records = cut_lineage(records.withColumn("opens", F.col("value").contains("[")), "dump")
+    records = _numbered(cut_lineage(marked, "dump"))
     starts = records.filter("key <> ''").select("pos", "key").orderBy("pos").collect()  # one row for each key of the object
     section, start = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for r in starts:
         section = F.when(F.col("pos") >= r["pos"], F.lit(r["key"])).otherwise(section)
         start = F.when(F.col("pos") >= r["pos"], F.lit(r["pos"])).otherwise(start)
     # The first list of a section stands in the record of the key, behind two brackets unless the array is flat or empty.
-    placed = records.withColumns({"section": section, "start": start}).filter(F.col("opens") & F.col("section").isin(list(DUMP_KEYS)))
+    placed = records.withColumns({"section": section, "start": start}).filter(F.col("section").isin(list(DUMP_KEYS)))
     plain = F.col("head").rlike(r'^[\s,]*$') | F.col("head").rlike(r'^[\s,{]*"[^"\\]*"\s*:\s*(\[\s*)?$')
     whole = F.length(F.regexp_replace("body", r'(?s)\\.|[^"]', "")) % 2 == 0
     broken = F.raise_error(F.lit("a dump holds lists of codes without brackets only")).cast("array<string>")
