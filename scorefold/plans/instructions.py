@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorefold.functions import parsing as P, rendering as R
 from scorefold.functions.scoring import no_nan
 from scorefold.functions.text import reasoning, strip_newlines
 from scorefold.operators.filters import with_any
-from scorefold.operators.selection import THRESHOLDS, best_generator, keep_first
+from scorefold.operators.selection import THRESHOLDS, keep_first
 from scorefold.schemas import CODE_LIST, DIAGNOSIS_LIST, FINDING_MAP, INSTRUCTION_COLUMNS
 
 STAGES = (1, 2, 3, 4)
@@ -45,15 +45,23 @@ VARIANTS = {
 }
 
 
-def stage_rows(patients: DataFrame, complaint: str = "cc") -> DataFrame:
-    """One raw row per (admission, model, stage); rows without any score are left out."""
+def stage_rows(patients: DataFrame, complaint: str = "cc", mark_best: bool = False) -> DataFrame:
+    """One raw row per (admission, model, stage); rows without any score are left out.
+
+    ``mark_best`` adds ``is_best``: the model has the highest score of the stage, ties go to
+    the first name. It is found among the few rows of an admission, before stages and texts
+    are made, so that no text is shuffled or sorted for it.
+    """
     scored = with_any(patients, [f"v{s}_score" for s in STAGES])
+    if mark_best:
+        scored = with_best(scored.withColumn("_row", F.monotonically_increasing_id()))
 
     def stage(s: int) -> Column:
+        best = [F.col(f"_best{s}").alias("is_best")] if mark_best else []
         return F.struct(
             F.lit(s).alias("Verifier"), F.col(f"v{s}_score").cast("double").alias("Score"),
             F.col(f"v{s}_prompt").alias("Input"), F.col(f"v{s}_json").alias("answer"),
-            F.col(f"v{s}_text").alias("text"),
+            F.col(f"v{s}_text").alias("text"), *best,
         )
 
     return scored.select(
@@ -62,6 +70,18 @@ def stage_rows(patients: DataFrame, complaint: str = "cc") -> DataFrame:
     )
 
 
+def with_best(rows: DataFrame) -> DataFrame:
+    """``_best<s>`` for every stage: the first row of the admission by falling score, model and ``_row``."""
+    admission = Window.partitionBy("hadm_id")
+
+    def is_best(s: int) -> Column:
+        score = no_nan(F.col(f"v{s}_score").cast("double"))
+        place = F.struct(score.isNull().alias("none"), (-score).alias("s"), F.col("model"), F.col("_row"))
+        return F.min(place).over(admission)["_row"] == F.col("_row")
+
+    return rows.withColumns({f"_best{s}": is_best(s) for s in STAGES}).drop("_row")
+
+
 def _lookup(thresholds: dict[int, float] | None) -> Column:
     table = thresholds or NO_THRESHOLDS
     return F.create_map(*[F.lit(v) for s in STAGES for v in (s, float(table.get(s, 0.0)))])
@@ -74,6 +94,8 @@ def _variant_column(variants: dict[str, Variant], model: Column, stage: Column)
         copies = F.when(stage.isin(list(v.duplicates)), 2).otherwise(1) if v.duplicates else F.lit(1)
         if v.models is not None:
             copies = F.when(model.isin(list(v.models)), copies).otherwise(0)
+        if v.best_per_id:
+            copies = F.when(F.col("is_best"), copies).otherwise(0)
         use = F.struct(
             F.lit(name).alias("variant"), F.element_at(_lookup(v.thresholds), stage).alias("threshold"),
             F.lit(v.drop).alias("drop"),
@@ -146,18 +168,12 @@ def build_variants(patients: DataFrame, variants: dict[str, Variant] | None = No
 
     Every raw row is parsed and rendered once; exploding the short list of
     variants it belongs to only chooses among the rendered texts. Best-per-id
-    variants share one selection of the best generator per stage.
+    variants use the rows of the best generator per stage.
     """
     variants = variants or VARIANTS
-    raw = stage_rows(patients, complaint)
-    plain = {n: v for n, v in variants.items() if not v.best_per_id}
-    best = {n: v for n, v in variants.items() if v.best_per_id}
-    parts = []
-    for chosen, rows in ((plain, raw), (best, best_generator(raw, ["hadm_id", "Verifier"]))):
-        if chosen:
-            uses = _variant_column(chosen, F.col("model"), F.col("Verifier"))
-            parts.append(route(rendered_arms(rows).select("*", F.inline(uses))))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    raw = stage_rows(patients, complaint, any(v.best_per_id for v in variants.values()))
+    uses = _variant_column(variants, F.col("model"), F.col("Verifier"))
+    return route(rendered_arms(raw).select("*", F.inline(uses)))
 
 
 def build_instructions(patients: DataFrame, variant: Variant = Variant(), complaint: str = "cc") -> DataFrame:

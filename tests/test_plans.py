@@ -73,6 +73,24 @@ def test_variants_agree_with_single_builds(spark):
             rows(alone, "hadm_id", "Verifier", "trace", "Output", "Thinking")
 
 
+def test_variants_are_made_in_one_pass_without_texts_in_a_sort(spark):
+    df = patients(spark, [1.0, 0.7], lambda i: str(CODES))
+    plan = I.build_variants(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "row_number" not in plan and plan.count("Window [") == 1
+    order = [line for line in plan.splitlines() if "Sort [" in line]
+    assert len(order) == 1 and "Verifier" not in order[0]
+
+
+def test_best_generator_of_each_stage(spark):
+    """Ties go to the first name, a missing score is last, a repeated row is taken once."""
+    def of(score, model):
+        return patients(spark, [score], lambda i: str(CODES)).withColumn("model", F.lit(model)).withColumn("v2_score", F.lit(float("nan")))
+
+    df = of(0.5, "c").unionByName(of(0.5, "b")).unionByName(of(0.5, "b")).unionByName(of(0.2, "a")).unionByName(of(None, "d").withColumn("v3_score", F.lit(0.9)))
+    got = I.build_instructions(df, I.Variant(best_per_id=True))
+    assert rows(got, "Verifier", "model") == [(2, "a"), (3, "d"), (4, "b")]
+
+
 # --- cohort --------------------------------------------------------------------------
 
 
@@ -158,6 +176,20 @@ def test_dump_of_several_splits(spark, tmp_path, small_splits, indent):
     assert rows(vocabulary, "code") == [("u",), ("v",)]
 
 
+def test_dump_of_several_files(spark, tmp_path):
+    """A folder of files, each of whole lists and with a line break at its end, is one dump; numbering it sorts nothing."""
+    parts = ['{"annotated_codes": [["a0"]\n, ["a1"]\n', ', ["a2"]\n], "predicted_codes": [["p0"]\n', ', []\n', ', ["p2"]\n], "unique_labels": ["u"]}\n']
+    (tmp_path / "d.json").mkdir()
+    for k, text in enumerate(parts):
+        (tmp_path / "d.json" / f"part-0000{k}.txt").write_text(text)
+    data, vocabulary = RD.read_dump(spark, str(tmp_path / "d.json"))
+    assert rows(data, "pos", "gold", "full") == [(0, ["a0"], ["p0"]), (1, ["a1"], []), (2, ["a2"], ["p2"])]
+    assert rows(vocabulary, "code") == [("u",)]
+    numbered = RD._in_order(spark.read.text(str(tmp_path / "d.json")))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("gold", [[["a]b"]], [None, ["a"]], [{"x": ["a"]}]])
 def test_dump_of_other_values_stops(spark, tmp_path, gold):
     (tmp_path / "d.json").write_text(json.dumps({"annotated_codes": gold}))
