@@ -197,6 +197,14 @@ def test_dump_of_other_values_stops(spark, tmp_path, gold):
         RD.read_dump(spark, str(tmp_path / "d.json"))[0].collect()
 
 
+def test_file_stem_looks_at_the_last_two_names_only(spark, tmp_path):
+    """A folder further up that looks like a file does not count, and no long path is searched letter by letter."""
+    spark.range(1).coalesce(1).write.parquet(str(tmp_path / "a.pq" / "b" / "m0.pq"))
+    read = RD.read_models(spark, str(tmp_path / "a.pq"))
+    assert rows(read, "gen_model") == [("m0",)]
+    assert "substring_index(" in read._jdf.queryExecution().analyzed().toString()
+
+
 def test_older_versions_are_not_opened(spark, tmp_path):
     for v in range(5):
         spark.createDataFrame([(v, "['a', 'b']", "None")], "n int, v2_preds string, other string").write.parquet(str(tmp_path / "e" / f"v{v}" / "e.pq"))
