@@ -46,7 +46,7 @@ def answer_lists(spark: SparkSession, d: str, keys: tuple[str, ...] = ("system",
     """Ordered gold and predicted codes per system and admission."""
     rows = code_rows(spark, d)
     lists = code_lists(
-        rows, list(keys), "code", F.col("line"), -F.col("price"), F.col("is_gold"), F.col("is_pred")
+        rows, list(keys), "code", F.col("line"), -F.col("price"), F.col("is_gold"), F.col("is_pred"), ["id"] if "id" in keys else None
     )
     return lists
 

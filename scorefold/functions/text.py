@@ -237,7 +237,7 @@ def reasoning(text: Column) -> Column:
 
 
 def strip_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\n+|\n+\z", "")
+    return F.btrim(text, F.lit("\n"))
 
 
 def seed_of(name: Column) -> Column:

@@ -294,9 +294,12 @@ def align_to_reference(systems: DataFrame, reference: DataFrame, key: str) -> Da
 
 
 def code_lists(rows: DataFrame, keys: list[str], code: str, gold_order: Column, pred_order: Column,
-               is_gold: Column, is_pred: Column) -> DataFrame:
+               is_gold: Column, is_pred: Column, near: list[str] | None = None) -> DataFrame:
     """Ordered gold and predicted lists per key from one row per (key, code).
 
+    ``near`` names keys of which all lists stay in one partition, so that a later join or
+    window by them needs no shuffle of its own.
+
     Repeated codes are reduced to their best place first, so a list never has
     more entries than there are codes.
     """
@@ -305,7 +308,9 @@ def code_lists(rows: DataFrame, keys: list[str], code: str, gold_order: Column,
     )
 
     def ordered(place: str) -> Column:
-        entry = F.when(F.col(place).isNotNull(), F.struct(F.col(place).alias("o"), F.col(code).alias("c")))
-        return F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["c"])
+        own = F.filter("entries", lambda e: e[place].isNotNull())
+        return F.transform(F.sort_array(F.transform(own, lambda e: F.struct(e[place].alias("o"), e["c"].alias("c")))), lambda e: e["c"])
 
-    return best.groupBy(*keys).agg(ordered("g").alias("gold"), ordered("p").alias("pred"))
+    placed = best.repartition(*near) if near else best
+    lists = placed.groupBy(*keys).agg(F.collect_list(F.struct("g", "p", F.col(code).alias("c"))).alias("entries"))
+    return lists.select(*keys, ordered("g").alias("gold"), ordered("p").alias("pred"))
