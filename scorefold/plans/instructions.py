@@ -110,6 +110,7 @@ def rendered_arms(raw: DataFrame) -> DataFrame:
     ``kept`` is the answer with a score of 1 or more, ``fixed`` the answer
     moved towards the reference, ``gold_only`` the target without any answer,
     ``told`` the reasoning (which names the moved answer below a score of 1).
+    The last two are null where no variant can use them.
     """
     v, score = F.col("Verifier"), no_nan(F.col("Score"))
     is_name, is_code = v.isin(2, 3), v == 4
@@ -128,16 +129,17 @@ def rendered_arms(raw: DataFrame) -> DataFrame:
         .otherwise(thinking)
     )
     full = score >= 1.0
+    usable = names.isNotNull() | codes.isNotNull() | findings.isNotNull()
     return parsed.select(
         *raw.columns,
-        (names.isNotNull() | codes.isNotNull() | findings.isNotNull()).alias("usable"),
-        strip_newlines(told).alias("told"),
+        usable.alias("usable"),
+        F.when(usable & (score > 0), strip_newlines(told)).alias("told"),
         F.when(full & is_name, R.json_entries(names, "name"))
         .when(full & is_code, R.json_entries(codes, "icd_code")).alias("kept"),
         F.when(is_name, R.json_entries(R.target_first(names, F.col("disease")), "name"))
         .when(is_code, R.json_entries(R.align_codes(codes, F.col("ICD_CODES")), "icd_code"))
         .otherwise(R.json_findings(findings)).alias("fixed"),
-        F.when(is_code, R.gold_codes_target(F.col("ICD_CODES")))
+        F.when(usable, None).when(is_code, R.gold_codes_target(F.col("ICD_CODES")))
         .when(is_name & F.col("disease").isNotNull(), R.gold_name_target(F.col("disease"))).alias("gold_only"),
     )
 
@@ -229,22 +231,24 @@ def direct_rows(combined: DataFrame, schemes: DataFrame, labels: DataFrame, temp
     }
     return rows.select(
         "hadm_id", "subject_id", "split", "chief_complaint", "Verifier",
-        R.fill_template(F.col("template"), slots, strict=True).alias("Input"), "Output",
+        R.fill_parts(F.col("parts"), slots, strict=True).alias("Input"), "Output",
     )
 
 
 def with_template(rows: DataFrame, templates: DataFrame, stage: Column, complaint: Column) -> DataFrame:
-    """Adds ``template``: the stage's template for the complaint, else its generic one, else null.
+    """Adds ``template``: the stage's template for the complaint, else its generic one, else null; and ``parts`` of it.
 
     ``templates`` has one row per stage and complaint; it is joined twice by equal keys,
-    whatever its size.
+    whatever its size. A template is taken apart once, not in every row it is filled for.
     """
-    own = templates.select(F.col("stage").alias("_stage"), F.col("complaint").alias("_complaint"), F.col("template").alias("_own"))
-    generic = templates.where("complaint = 'generic'").select(F.col("stage").alias("_stage"), F.col("template").alias("_generic"))
+    cut = templates.withColumn("_text", F.when(F.col("template").isNotNull(), F.struct("template", R.template_parts(F.col("template")).alias("parts"))))
+    own = cut.select(F.col("stage").alias("_stage"), F.col("complaint").alias("_complaint"), F.col("_text").alias("_own"))
+    generic = cut.where("complaint = 'generic'").select(F.col("stage").alias("_stage"), F.col("_text").alias("_generic"))
     # The condition always holds; it keeps a constant stage from being folded out of the join.
     keyed = rows.withColumns({"_stage": F.when(F.pmod(F.hash(complaint), F.lit(1)) == 0, stage), "_complaint": complaint})
     found = keyed.join(own, ["_stage", "_complaint"], "left").join(generic, "_stage", "left")
-    return found.withColumn("template", F.coalesce("_own", "_generic")).drop("_stage", "_complaint", "_own", "_generic")
+    text = F.coalesce("_own", "_generic")
+    return found.withColumns({"template": text["template"], "parts": text["parts"]}).drop("_stage", "_complaint", "_own", "_generic")
 
 
 def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, templates: DataFrame,
@@ -272,7 +276,7 @@ def build_prompts(patients: DataFrame, schemes: DataFrame, labels: DataFrame, te
         "diagnose_format_example": F.lit(R.DIAGNOSIS_FORMAT),
         "icd_format_example": F.lit(R.CODE_FORMAT),
     }
-    return rows.select("hadm_id", R.fill_template(F.col("template"), slots, limit, strict=True).alias("prompt"))
+    return rows.select("hadm_id", R.fill_parts(F.col("parts"), slots, limit, strict=True).alias("prompt"))
 
 
 # --- training text --------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scorefold.functions.text import LineRules
 from scorefold.operators import selection as SE, set_metrics as SM
 from scorefold.operators.selection import THRESHOLDS
+from scorefold.functions import rendering as R
 from scorefold.plans import cohort as CO, instructions as I, merge as MG, scorecard as SC
 from scorefold.session import shared_dir
 from scorefold.sources import metric_table as MT, readers as RD, sinks as SK
@@ -81,6 +82,21 @@ def test_variants_are_made_in_one_pass_without_texts_in_a_sort(spark):
     assert len(order) == 1 and "Verifier" not in order[0]
 
 
+def test_values_without_a_slot_are_not_computed(spark):
+    df = spark.createDataFrame([("{a} {{b}}", "x"), (None, "y")], "template string, a string")
+    costly = F.raise_error(F.concat(F.lit("computed "), "a")).cast("string")
+    filled = R.fill_template(F.col("template"), {"a": F.col("a"), "c": costly}, strict=True)
+    assert [r["t"] for r in df.select(filled.alias("t")).collect()] == ["x {b}", None]
+
+
+def test_lists_of_an_admission_meet_it_without_another_shuffle(spark):
+    from catalog.inputs import admissions, answer_lists
+    d = "/root/testdata/sf0.001"
+    joined = answer_lists(spark, d).join(admissions(spark, d).hint("merge"), "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(id") == 2 and "hashpartitioning(system#" in plan and plan.count("hashpartitioning(system#") == 1
+
+
 def test_best_generator_of_each_stage(spark):
     """Ties go to the first name, a missing score is last, a repeated row is taken once."""
     def of(score, model):
