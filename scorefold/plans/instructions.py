@@ -50,7 +50,8 @@ def stage_rows(patients: DataFrame, complaint: str = "cc", mark_best: bool = Fal
 
     ``mark_best`` adds ``is_best``: the model has the highest score of the stage, ties go to
     the first name. It is found among the few rows of an admission, before stages and texts
-    are made, so that no text is shuffled or sorted for it.
+    are made: no stage row is shuffled or sorted for it, and rows that a join has brought
+    together by admission already are not sorted again.
     """
     scored = with_any(patients, [f"v{s}_score" for s in STAGES])
     if mark_best:
